@@ -11,11 +11,11 @@ of any length is cut to as many sequences as it needs. No rows give no sequences
 
 from __future__ import annotations
 
+import re
 import zlib
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,28 +33,48 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-class Ids(dict):
-    """Word between white space -> its ids as little-endian unsigned 32-bit. The vocabulary's ids of a text are those of its words, after each other."""
+class Ids:
+    """Part of a text (run of letters, digit, run of other signs) -> its ids as little-endian unsigned 32-bit.
 
-    #: White space to Python but not to the tokenizer or the other way round, and special tokens: such texts are encoded whole.
-    ODD = regex.compile("[\x1c-\x1f\x85᠎​-‍﻿]|<\\|")
+    The tokenizer splits lower-cased text into such parts and encodes each by itself, so a text's ids are those of its
+    parts after each other. Texts with characters for which that was not checked, or with special tokens, are encoded whole.
+    """
 
-    def __init__(self, path: str, limit: int = 1_000_000):
-        super().__init__()
+    LETTERS = "a-zß-öø-ÿ"
+    PART = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[^\s{LETTERS}0-9]+").findall
+    ODD = re.compile("[^\t\n\r\x20-\x7eÀ-ÖØ-öø-ÿ«»·–—‘’“”„…€£§©®°]|<\\|").search
+
+    def __init__(self, path: str, limit: int = 2_000_000):
         from tokenizers import Tokenizer
 
+        self.known: dict[str, bytes] = {}
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
+        self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)  # ids that end a part
+        for token, k in self.tokenizer.get_vocab().items():
+            self.last[k] = token.endswith("</w>")
 
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= self.limit:
-            self.clear()
-        found = self[word] = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-        return found
+    def encoded(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
     def of(self, text: str) -> bytes:
-        if self.ODD.search(text):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        return b"".join(map(self.__getitem__, text.split()))
+        if self.ODD(text):
+            return self.encoded(text).tobytes()
+        parts = self.PART(text.lower())
+        new = set(parts).difference(self.known)
+        if new:
+            if len(self.known) + len(new) > self.limit:
+                self.known.clear()
+                new = set(parts)
+            names = list(new)
+            ids = self.encoded(" ".join(names))
+            ends = (4 * (np.flatnonzero(self.last[ids]) + 1)).tolist()
+            if len(ends) != len(names):
+                return self.encoded(text).tobytes()
+            data, start = ids.tobytes(), 0
+            for name, end in zip(names, ends):
+                self.known[name] = data[start:end]
+                start = end
+        return b"".join(map(self.known.__getitem__, parts))
 
 
 class Bin:
