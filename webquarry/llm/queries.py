@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, near_dedup, packing, toxicity, url_filter
+from . import exact_dedup, fingerprint, html_extract, mixing, near_dedup, packing, toxicity, url_filter
 
 QUERIES = {
+    "op2_fingerprint": fingerprint.op2_fingerprint,
     "op4_mixing": mixing.op4_mixing,
     "op5_packing": packing.op5_packing,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
+    "op7_html_extract": html_extract.op7_html_extract,
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_near_dedup": near_dedup.op9_near_dedup,
     "op10_url_filter": url_filter.op10_url_filter,
