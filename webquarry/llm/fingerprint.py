@@ -3,7 +3,7 @@
 A paragraph is a line, a section a run of paragraphs between blank lines. A paragraph's node is the SHA-256
 of its text, a section's of its paragraphs' nodes, the root of the sections' nodes: roots are equal exactly when
 texts are (for all but a SHA-256 collision). Below the paragraphs are marks: stretches up to the end of a
-sentence or MARK characters, each with a hash and its length, which say how much two texts share. A
+clause or MARK characters, each with a hash and its length, which say how much two texts share. A
 fingerprint is written root:marks; `differing` locates an edit by the branches that differ.
 
 Only DataFrame functions are used. The next document of each is found by ranges of doc_id whose edges are
@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from .common import cut, table, text_or_empty
 
-MARK = 160
-MARKS = rf"(?s)[^.!?\n]{{1,{MARK}}}[.!?\n]*|[.!?\n]+"
+MARK = 48
+MARKS = rf"[^.!?,;\n]{{1,{MARK}}}[.!?,;\n]*|[.!?,;\n]+"
 
 
 def paragraph_nodes(text):
@@ -38,9 +38,9 @@ def root_of(nodes):
 
 
 def marks_of(text):
-    """Per mark: 48 bits of its hash, 16 bits of its length."""
+    """Per mark: 40 bits of its hash, 8 bits of its length."""
     found = F.regexp_extract_all(text, F.lit(MARKS), F.lit(0))
-    return F.transform(found, lambda m: F.shiftleft(F.xxhash64(m), 16).bitwiseOR(F.least(F.length(m), F.lit(65535)).cast("long")))
+    return F.transform(found, lambda m: F.shiftleft(F.shiftrightunsigned(F.xxhash64(m), 24), 8).bitwiseOR(F.least(F.length(m), F.lit(255)).cast("long")))
 
 
 def tree(text):
@@ -55,7 +55,7 @@ def written(t):
 def likeness(a, b):
     """Share of characters in common marks, 0 to 1; 1 for equal roots."""
     def size(marks):
-        return F.aggregate(F.array_distinct(marks), F.lit(0).cast("long"), lambda total, m: total + m.bitwiseAND(F.lit(65535)))
+        return F.aggregate(F.array_distinct(marks), F.lit(0).cast("long"), lambda total, m: total + m.bitwiseAND(F.lit(255)))
 
     both, one, other = size(F.array_intersect(a["marks"], b["marks"])), size(a["marks"]), size(b["marks"])
     return F.when(a["root"] == b["root"], F.lit(1.0)).when(one + other == 0, F.lit(0.0)).otherwise(2.0 * both / (one + other)).cast("double")
