@@ -9,11 +9,13 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from webquarry.llm import mixing, packing, toxicity
+from webquarry.llm import exact_dedup, mixing, near_dedup, packing, toxicity
 from webquarry.llm.common import ensure_checkpoint_dir, table
 
 STAGES = [
     ("toxicity", toxicity.stage),
+    ("exact_dedup", exact_dedup.stage),
+    ("near_dedup", near_dedup.stage),
     ("mixing", mixing.stage),
     ("packing", packing.stage),
 ]
