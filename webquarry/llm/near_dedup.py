@@ -8,9 +8,11 @@ signature give candidates; J_P of every candidate pair is then computed exactly
 pairs of 0.8 or more are links.
 
 Texts with equal weights are one text from the start, so copies never make pairs. Within a band's bucket
-every pair is compared up to SMALL_BUCKET texts; in a larger one each text is compared with the bucket's first
-text, those that are not similar to it with the first of them, and so on until none is left. Links are
-joined to classes by label propagation in tables, cut at each step. A class keeps its smallest doc_id.
+every pair is compared up to SMALL_BUCKET texts. In a larger one each text is compared with the bucket's
+first and with two others of a hand dealt by a hash; then turn by turn with others that links have not joined
+to it, and in the end every pair of the bucket that is still apart. So each class comes out as if all pairs of each
+bucket were compared, while pairs within a class that is joined already are left out. Links are joined to
+classes by label propagation in tables, cut at each step. A class keeps its smallest doc_id.
 
 Defined cases: a null text counts as empty. Texts without words are alike only if their characters are the
 same. A text of one to four words has one shingle, all its words. Repeated rows are copies of each other;
@@ -27,11 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, cut, pieces, table, text_or_empty, word_lists
+from .common import WordHashes, cut, pieces, stored, table, text_or_empty, word_lists
 
 SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 32, 6
 SMALL_BUCKET = 8
+#: Texts that are dealt together of a larger bucket; turns of dealing at most; all that are still apart are compared once they make so few pairs for each text.
+HAND, TURNS, FEW_PAIRS = 16, 8, 4
 #: Pairs of one text that meet in one task; a text with more of them is copied to several tasks.
 SALT_PAIRS = 256
 #: Ids of candidates that are broadcast to filter the texts (8 bytes each); more are joined.
@@ -162,9 +166,6 @@ def sketched(docs: DataFrame) -> DataFrame:
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """pairs (a, b) with their J_P. texts: id, text. A text with many pairs is copied to as many tasks as they need."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    if ids.count() <= BROADCAST_IDS:
-        texts = texts.join(F.broadcast(ids), "id", "left_semi")
     many = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / F.lit(SALT_PAIRS)).cast("int").alias("parts"))
     left = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(many, "b")
     left = left.withColumn("part", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int")).drop("parts")
@@ -189,36 +190,77 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return left.join(right, ["b", "part"]).select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, similarity double")
 
 
-def links(rows: DataFrame, texts: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """a, b, similarity: verified links between distinct texts. rows: id, bands."""
+def members_of(rows: DataFrame) -> DataFrame:
+    """band, id, n: texts in buckets of n > 1 texts."""
     keyed = rows.select("id", F.explode("bands").alias("band")).filter("band != 0")
     shared = keyed.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    pending = cut(keyed.join(shared, "band"))
-    small = pending.filter(F.col("n") <= SMALL_BUCKET).select("band", "id")
-    some = small.groupBy("band").agg(F.sort_array(F.collect_set("id")).alias("ids"))
+    return cut(keyed.join(shared, "band"))
+
+
+def all_pairs(members: DataFrame) -> DataFrame:
+    """a, b: every pair within buckets, which are small."""
+    some = members.groupBy("band").agg(F.sort_array(F.collect_set("id")).alias("ids"))
     within = F.flatten(F.transform(F.col("ids"), lambda b, k: F.transform(F.slice(F.col("ids"), k + 2, F.size("ids")), lambda a: F.struct(a.alias("a"), b.alias("b")))))
-    pairs = some.select(F.explode(within).alias("p")).select("p.a", "p.b")
-    pending = pending.filter(F.col("n") > SMALL_BUCKET).select("band", "id")
-    found = None
-    while True:
-        firsts = pending.groupBy("band").agg(F.min("id").alias("first"))
-        against = pending.join(firsts, "band").filter(F.col("id") != F.col("first"))
-        wanted = against.select(F.col("id").alias("a"), F.col("first").alias("b"))
-        wanted = (wanted if found is not None else wanted.unionByName(pairs)).distinct()
-        if found is not None:
-            wanted = wanted.join(found, ["a", "b"], "left_anti")
-        new = cut(verified(cut(wanted), texts))
-        found = new if found is None else found.unionByName(new)
-        # Those of large buckets that are not like the first one go on among themselves.
-        unlike = found.filter(F.col("similarity") < similar).select(F.col("a").alias("id"), F.col("b").alias("first"))
-        pending = cut(against.join(unlike, ["id", "first"], "left_semi").select("band", "id"))
-        pending = pending.join(pending.groupBy("band").count().filter("count > 1").select("band"), "band", "left_semi")
-        if pending.isEmpty():
-            return found.filter(F.col("similarity") >= similar)
+    return some.select(F.explode(within).alias("p")).select("p.a", "p.b")
+
+
+def star_pairs(members: DataFrame) -> DataFrame:
+    """a, b: each text with the first of its bucket."""
+    firsts = members.groupBy("band").agg(F.min("id").alias("first"))
+    return members.join(firsts, "band").filter("id != first").select(F.col("id").alias("a"), F.col("first").alias("b"))
 
 
-def classes(edges: DataFrame) -> DataFrame:
-    """node, label: the smallest id that can be reached, for each end of a link (a, b)."""
+def dealt_pairs(members: DataFrame, turn: int) -> DataFrame:
+    """a, b: within hands of about HAND texts of a bucket, dealt anew each turn, each text of another class with the first and the next of its hand. members: band, id, n, label."""
+    hands = F.pow(F.lit(2), F.ceil(F.log2(F.col("n") / HAND))).cast("long")  # powers of two: most pairs come up alike in several bands
+    hand = F.pmod(F.xxhash64("id", F.lit(turn)), F.greatest(F.lit(1).cast("long"), hands))
+    dealt = members.withColumn("hand", hand).groupBy("band", "hand").agg(F.sort_array(F.collect_set(F.struct("id", "label"))).alias("own"))
+    first, own = F.get("own", F.lit(0)), F.col("own")
+    beside = F.transform(own, lambda x, k: F.struct(x["id"].alias("a"), F.get(own, k - 1)["id"].alias("b"), (x["label"] != F.get(own, k - 1)["label"]).alias("apart")))
+    below = F.transform(own, lambda x: F.struct(x["id"].alias("a"), first["id"].alias("b"), (x["label"] != first["label"]).alias("apart")))
+    pairs = dealt.select(F.explode(F.concat(beside, below)).alias("p")).filter("p.apart")
+    return pairs.select(F.greatest("p.a", "p.b").alias("a"), F.least("p.a", "p.b").alias("b"))
+
+
+def apart_pairs(members: DataFrame) -> DataFrame:
+    """a, b: every pair within a bucket that is of different classes. members: band, id, label, main (the class that most of the bucket is of)."""
+    few = members.filter("label != main").select("band", F.col("id").alias("x"), F.col("label").alias("of"))
+    pairs = few.join(members.select("band", "id", "label"), "band").filter("label != of")
+    return pairs.select(F.greatest("x", "id").alias("a"), F.least("x", "id").alias("b"))
+
+
+def links(rows: DataFrame, texts: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """a, b, similarity: verified links between distinct texts, enough of them to join every class. rows: id, bands."""
+    members = members_of(rows)
+    ids = cut(members.select("id").distinct())
+    texts = stored(texts.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi"))
+    large = members.filter(F.col("n") > SMALL_BUCKET)
+    wanted = all_pairs(members.filter(F.col("n") <= SMALL_BUCKET)).unionByName(star_pairs(large)).unionByName(dealt_pairs(large.withColumn("label", F.col("id")), 0))
+    found, turn, last = None, 0, False
+    while True:
+        wanted = cut(wanted.distinct() if found is None else wanted.distinct().join(found, ["a", "b"], "left_anti"))
+        new = cut(verified(wanted, texts))
+        found = new if found is None else found.unionByName(new)
+        joined = found.filter(F.col("similarity") >= similar)
+        if last:
+            return joined
+        # Texts of a large bucket that no link has joined yet are compared again, with others; in the end, all that are apart.
+        labels = classes(joined, 2)
+        named = large.join(labels, F.col("id") == F.col("node"), "left").withColumn("label", F.coalesce("label", "id")).select("band", "id", "n", "label")
+        sizes = named.groupBy("band", "label").agg(F.count(F.lit(1)).alias("size"))
+        sizes = sizes.groupBy("band").agg(F.max_by("label", F.struct("size", "label")).alias("main"), F.sum("size").alias("all"), F.sum(F.col("size") * F.col("size")).alias("squares"))
+        apart = cut(sizes.filter(F.col("squares") < F.col("all") * F.col("all")))
+        pairs, texts_left = apart.agg(F.sum((F.col("all") * F.col("all") - F.col("squares")) / 2), F.sum("all")).first()
+        if not pairs:
+            return joined
+        named = named.join(apart.select("band", "main"), "band")
+        turn += 1
+        last = pairs <= FEW_PAIRS * texts_left or turn == TURNS
+        wanted = apart_pairs(named) if last else dealt_pairs(named, turn)
+
+
+def classes(edges: DataFrame, steps: int | None = None) -> DataFrame:
+    """node, label: the smallest id that can be reached, for each end of a link (a, b); after some steps only, a small one."""
     both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = cut(both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("node"), F.least("a", "low").alias("label")))
     while True:
@@ -228,7 +270,8 @@ def classes(edges: DataFrame) -> DataFrame:
         step = cut(step.join(jump, "label", "left").select("node", "before", F.least("label", F.coalesce("further", "label")).alias("label")))
         moved = not step.filter("label < before").isEmpty()
         labels = step.select("node", "label")
-        if not moved:
+        steps = steps and steps - 1
+        if not moved or steps == 0:
             return labels
 
 
