@@ -229,6 +229,15 @@ def apart_pairs(members: DataFrame) -> DataFrame:
     return pairs.select(F.greatest("x", "id").alias("a"), F.least("x", "id").alias("b"))
 
 
+def nearby(edges: DataFrame) -> DataFrame:
+    """node, label: the smallest id within a few links, in one query. Texts of one class may still differ in it, those of one label are of one class."""
+    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(edges.select("a", F.col("a").alias("b")))
+    low = both.groupBy("a").agg(F.min("b").alias("low"))
+    low = both.join(low.select(F.col("a").alias("b"), "low"), "b").groupBy("a").agg(F.min("low").alias("low"))
+    jump = low.select(F.col("a").alias("low"), F.col("low").alias("lower"))
+    return low.join(jump, "low", "left").select(F.col("a").alias("node"), F.coalesce("lower", "low").alias("label"))
+
+
 def links(rows: DataFrame, texts: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """a, b, similarity: verified links between distinct texts, enough of them to join every class. rows: id, bands."""
     members = members_of(rows)
@@ -245,22 +254,21 @@ def links(rows: DataFrame, texts: DataFrame, similar: float = SIMILAR) -> DataFr
         if last:
             return joined
         # Texts of a large bucket that no link has joined yet are compared again, with others; in the end, all that are apart.
-        labels = classes(joined, 2)
-        named = large.join(labels, F.col("id") == F.col("node"), "left").withColumn("label", F.coalesce("label", "id")).select("band", "id", "n", "label")
+        named = large.join(nearby(joined), F.col("id") == F.col("node"), "left").withColumn("label", F.coalesce("label", "id")).select("band", "id", "n", "label")
         sizes = named.groupBy("band", "label").agg(F.count(F.lit(1)).alias("size"))
         sizes = sizes.groupBy("band").agg(F.max_by("label", F.struct("size", "label")).alias("main"), F.sum("size").alias("all"), F.sum(F.col("size") * F.col("size")).alias("squares"))
-        apart = cut(sizes.filter(F.col("squares") < F.col("all") * F.col("all")))
-        pairs, texts_left = apart.agg(F.sum((F.col("all") * F.col("all") - F.col("squares")) / 2), F.sum("all")).first()
+        apart = sizes.filter(F.col("squares") < F.col("all") * F.col("all")).withColumn("pairs", (F.col("all") * F.col("all") - F.col("squares")) / 2)
+        named = cut(named.join(apart.select("band", "main", (F.col("pairs") / F.col("all")).alias("share")), "band"))
+        pairs, texts_left = named.agg(F.sum("share"), F.count(F.lit(1))).first()
         if not pairs:
             return joined
-        named = named.join(apart.select("band", "main"), "band")
         turn += 1
         last = pairs <= FEW_PAIRS * texts_left or turn == TURNS
         wanted = apart_pairs(named) if last else dealt_pairs(named, turn)
 
 
-def classes(edges: DataFrame, steps: int | None = None) -> DataFrame:
-    """node, label: the smallest id that can be reached, for each end of a link (a, b); after some steps only, a small one."""
+def classes(edges: DataFrame) -> DataFrame:
+    """node, label: the smallest id that can be reached, for each end of a link (a, b)."""
     both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = cut(both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("node"), F.least("a", "low").alias("label")))
     while True:
@@ -270,8 +278,7 @@ def classes(edges: DataFrame, steps: int | None = None) -> DataFrame:
         step = cut(step.join(jump, "label", "left").select("node", "before", F.least("label", F.coalesce("further", "label")).alias("label")))
         moved = not step.filter("label < before").isEmpty()
         labels = step.select("node", "label")
-        steps = steps and steps - 1
-        if not moved or steps == 0:
+        if not moved:
             return labels
 
 
