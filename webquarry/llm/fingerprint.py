@@ -6,8 +6,9 @@ texts are (for all but a SHA-256 collision). Below the paragraphs are marks: str
 clause or MARK characters, each with a hash and its length, which say how much two texts share. A
 fingerprint is written root:marks; `differing` locates an edit by the branches that differ.
 
-Only DataFrame functions are used. The next document of each is found by ranges of doc_id whose edges are
-joined, and the two halves of an edited text meet by one grouping on the id.
+Only DataFrame functions are used. Documents go to blocks of neighbouring ids, where each meets the next one; the
+last of a block meets the first of the next block by a join. Ids that lie far apart are put in order by
+ranges first, and the two halves of an edited text meet by a grouping on the id.
 
 Defined cases: null text is empty; an empty text has one empty paragraph and no marks; two texts without marks
 are alike (1) if their roots are equal. Of rows that repeat a doc_id, the first by text in byte order counts
@@ -22,6 +23,8 @@ from pyspark.sql import functions as F
 
 from .common import cut, table, text_or_empty
 
+#: Documents in a block of neighbouring ids, on average; ids are taken for close together if they spread over so many times their number.
+BLOCK, SPREAD, BROADCAST_IDS = 512, 16, 200_000
 MARK = 48
 MARKS = rf"[^.!?,;\n]{{1,{MARK}}}[.!?,;\n]*|[.!?,;\n]+"
 
@@ -90,26 +93,9 @@ def neighbours(ids: DataFrame) -> DataFrame:
     return around.select("doc_id", "n", F.coalesce("next", "after.doc_id").alias("next_id"), previous["doc_id"].alias("previous_id"), previous["n"].alias("previous_n"))
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for each document."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).filter(F.col("doc_id").isNotNull())
-    ids = cut(texts.groupBy("doc_id").agg(F.max(F.length("text")).alias("n"), F.count(F.lit(1)).alias("rows")))
-    if not ids.filter("rows > 1").isEmpty():
-        texts = texts.groupBy("doc_id").agg(F.min("text").alias("text"))
-        ids = texts.select("doc_id", F.length("text").alias("n"))
-    around = neighbours(ids.select("doc_id", "n"))
-    own = texts.join(around, "doc_id").withColumn("t", tree(F.col("text")))
-    # What a document gives to its own edited text, and to that of the document before it.
-    first = F.left("text", F.col("n") - F.floor(F.col("n") / 2).cast("int"))
-    second = F.left("text", F.floor(F.col("previous_n") / 2).cast("int"))
-    kind = own.schema["t"].dataType.simpleString()
-    parts = F.array(
-        F.struct(F.col("doc_id").alias("key"), F.struct(first.alias("text"), F.col("t").alias("t"), F.col("n").alias("n")).alias("own"), F.lit(None).cast(f"struct<text:string,t:{kind}>").alias("other")),
-        F.struct(F.col("previous_id").alias("key"), F.lit(None).cast(f"struct<text:string,t:{kind},n:int>").alias("own"), F.struct(second.alias("text"), F.col("t").alias("t")).alias("other")),
-    )
-    met = own.select(F.explode(parts).alias("p")).select("p.*").groupBy("key").agg(F.first("own", ignorenulls=True).alias("own"), F.first("other", ignorenulls=True).alias("other"))
-    edited = F.concat("own.text", "other.text")
-    met = met.select(F.col("key").alias("doc_id"), F.col("own.n").cast("long").alias("n_chars"), F.col("own.t").alias("a"), F.col("other.t").alias("c"), tree(edited).alias("b"))
+def finished(met: DataFrame) -> DataFrame:
+    """The result for rows (doc_id, n, head, tail, a: own tree, c: the next document's tree)."""
+    met = met.select("doc_id", F.col("n").cast("long").alias("n_chars"), "a", "c", tree(F.concat("head", "tail")).alias("b"))
     return met.select(
         "doc_id",
         "n_chars",
@@ -121,5 +107,52 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     )
 
 
+def half(n):
+    return F.floor(n / 2).cast("int")
+
+
+def by_blocks(texts: DataFrame, ids: DataFrame, low: int, width: int) -> DataFrame:
+    """Texts cross the network once, to blocks of ids next to each other; a block's last document gets the next block's first by a join on the block."""
+    block = F.floor((F.col("doc_id") - low) / F.lit(width)).cast("long")
+    firsts = cut(ids.groupBy(block.alias("block")).agg(F.min("doc_id").alias("doc_id")))
+    after = neighbours(firsts.select("doc_id", F.lit(0).alias("n"))).select("doc_id", "next_id").join(firsts, "doc_id").select("block", F.col("next_id").alias("doc_id"))
+    few = firsts.count() <= BROADCAST_IDS
+    starts = firsts.select("doc_id")
+    edges = texts.join(F.broadcast(starts) if few else starts, "doc_id", "left_semi").join(after, "doc_id")
+    edges = edges.select("block", F.col("text").alias("edge_text"), tree(F.col("text")).alias("edge_tree"))
+    # The exchange goes by the block, before the trees are made, so that these are not moved.
+    rows = texts.withColumn("block", block).repartition("block").withColumns({"a": tree(F.col("text")), "n": F.length("text")})
+    order = W.partitionBy("block").orderBy("doc_id")
+    rows = rows.withColumn("next", F.lead(F.struct("text", "a")).over(order)).join(edges, "block", "left")
+    last = F.col("next").isNull()
+    following = F.when(last, F.col("edge_text")).otherwise(F.col("next.text"))
+    return finished(rows.select("doc_id", "n", F.left("text", F.col("n") - half(F.col("n"))).alias("head"), F.left(following, half(F.col("n"))).alias("tail"), "a", F.when(last, F.col("edge_tree")).otherwise(F.col("next.a")).alias("c")))
+
+
+def by_ids(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """For ids that lie far apart: the neighbours are joined to the texts, and the two halves meet by a grouping."""
+    own = texts.join(neighbours(ids), "doc_id").withColumn("t", tree(F.col("text")))
+    head, tail = F.left("text", F.col("n") - half(F.col("n"))), F.left("text", half(F.col("previous_n")))
+    kind = own.schema["t"].dataType.simpleString()
+    none = F.lit(None)
+    mine = F.struct(F.col("doc_id").alias("key"), F.struct(head.alias("text"), F.col("t").alias("t"), F.col("n").alias("n")).alias("own"), none.cast(f"struct<text:string,t:{kind}>").alias("other"))
+    given = F.struct(F.col("previous_id").alias("key"), none.cast(f"struct<text:string,t:{kind},n:int>").alias("own"), F.struct(tail.alias("text"), F.col("t").alias("t")).alias("other"))
+    met = own.select(F.explode(F.array(mine, given)).alias("p")).select("p.*").groupBy("key").agg(F.first("own", ignorenulls=True).alias("own"), F.first("other", ignorenulls=True).alias("other"))
+    return finished(met.select(F.col("key").alias("doc_id"), F.col("own.n").alias("n"), F.col("own.text").alias("head"), F.col("other.text").alias("tail"), F.col("own.t").alias("a"), F.col("other.t").alias("c")))
+
+
+def fingerprints(docs: DataFrame) -> DataFrame:
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for each document."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).filter(F.col("doc_id").isNotNull())
+    ids = texts.select("doc_id")
+    if not ids.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        texts = texts.groupBy("doc_id").agg(F.min("text").alias("text"))
+        ids = ids.distinct()
+    low, high, n = ids.agg(F.min("doc_id"), F.max("doc_id"), F.count(F.lit(1))).first()
+    if not n or (high - low + 1) <= SPREAD * n:
+        return by_blocks(texts, ids, low or 0, max(1, BLOCK * ((high or 0) - (low or 0) + 1) // max(n, 1)))
+    return by_ids(texts, texts.select("doc_id", F.length("text").alias("n")))
+
+
 def op2_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(table(spark, sf_dir, "documents"))
