@@ -7,12 +7,13 @@ texts agree in a component with the probability Jaccard similarity J_P of their
 signature give candidates; J_P of every candidate pair is then computed exactly from the whole texts, and
 pairs of 0.8 or more are links.
 
-Texts with equal weights are one text from the start, so copies never make pairs. Within a band's bucket
-every pair is compared up to SMALL_BUCKET texts. In a larger one each text is compared with the bucket's
-first and with two others of a hand dealt by a hash; then turn by turn with others that links have not joined
-to it, and in the end every pair of the bucket that is still apart. So each class comes out as if all pairs of each
-bucket were compared, while pairs within a class that is joined already are left out. Links are joined to
-classes by label propagation in tables, cut at each step. A class keeps its smallest doc_id.
+Texts with equal weights are one text from the start, so copies never make pairs. A band's bucket is dealt to
+hands of about HAND texts. Of a hand, pairs whose signatures agree enough are likely; a forest of the most
+alike of them is verified, as many pairs as there are texts. Turn by turn, texts that links have not joined to
+the rest of their bucket are dealt anew, and in the last turn they meet every other text of the bucket. So
+classes come out as if all likely pairs of each bucket were verified, while pairs within a class that is
+joined already are left out. Links are joined to classes by label propagation in tables, cut at each step.
+A class keeps its smallest doc_id.
 
 Defined cases: a null text counts as empty. Texts without words are alike only if their characters are the
 same. A text of one to four words has one shingle, all its words. Repeated rows are copies of each other;
@@ -33,9 +34,10 @@ from .common import WordHashes, cut, pieces, stored, table, text_or_empty, word_
 
 SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 32, 6
-SMALL_BUCKET = 8
-#: Texts that are dealt together of a larger bucket; turns of dealing at most; all that are still apart are compared once they make so few pairs for each text.
-HAND, TURNS, FEW_PAIRS = 16, 8, 4
+#: Texts that are dealt together of a bucket; up to SMALL_HAND all pairs that are likely are taken; turns, of which the last compares all that is still apart.
+HAND, SMALL_HAND, TURNS = 64, 8, 4
+#: Least share of agreeing components of a likely pair: four standard deviations under SIMILAR.
+LIKELY = 0.68
 #: Pairs of one text that meet in one task; a text with more of them is copied to several tasks.
 SALT_PAIRS = 256
 #: Ids of candidates that are broadcast to filter the texts (8 bytes each); more are joined.
@@ -138,17 +140,19 @@ def text_key():
 
 
 def sketched(docs: DataFrame) -> DataFrame:
-    """doc_id, row, text_key, same (16 bytes, equal for equal weights), bands for each row."""
+    """doc_id, row, text_key, same (16 bytes, equal for equal weights), bands, signature (a byte for each component) for each row."""
 
     def run(batches):
         shingles = Shingles()
         for b in batches:
-            same, keys = [], []
+            same, keys, brief = [], [], []
             for _, texts in pieces(b.column(3)):
                 for first in range(0, len(texts), 2048):
                     some = texts[first : first + 2048]
                     found, often, starts = shingles(some)
-                    keys.append(bands(signatures(found, often, len(some))))
+                    signature = signatures(found, often, len(some))
+                    keys.append(bands(signature))
+                    brief += [row.tobytes() for row in signature.astype(np.uint8)]
                     for k, text in enumerate(some):
                         own = slice(starts[k], starts[k + 1])
                         wordless = starts[k] == starts[k + 1]
@@ -158,10 +162,10 @@ def sketched(docs: DataFrame) -> DataFrame:
                             keys[-1][k] = 0
             flat = np.concatenate(keys).view(np.int64).ravel() if keys else np.zeros(0, np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, BANDS), pa.int32()), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(same, pa.binary()), lists], ["doc_id", "row", "text_key", "same", "bands"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(same, pa.binary()), lists, pa.array(brief, pa.binary())], ["doc_id", "row", "text_key", "same", "bands", "signature"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), text_key().alias("text_key"), text_or_empty().alias("text"))
-    return rows.mapInArrow(run, "doc_id long, row long, text_key long, same binary, bands array<long>")
+    return rows.mapInArrow(run, "doc_id long, row long, text_key long, same binary, bands array<long>, signature binary")
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -191,42 +195,67 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def members_of(rows: DataFrame) -> DataFrame:
-    """band, id, n: texts in buckets of n > 1 texts."""
+    """band, id, n, signature: texts in buckets of n > 1 texts."""
     keyed = rows.select("id", F.explode("bands").alias("band")).filter("band != 0")
     shared = keyed.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    return cut(keyed.join(shared, "band"))
+    return cut(keyed.join(shared, "band").join(rows.select("id", "signature"), "id"))
 
 
-def all_pairs(members: DataFrame) -> DataFrame:
-    """a, b: every pair within buckets, which are small."""
-    some = members.groupBy("band").agg(F.sort_array(F.collect_set("id")).alias("ids"))
-    within = F.flatten(F.transform(F.col("ids"), lambda b, k: F.transform(F.slice(F.col("ids"), k + 2, F.size("ids")), lambda a: F.struct(a.alias("a"), b.alias("b")))))
-    return some.select(F.explode(within).alias("p")).select("p.a", "p.b")
-
-
-def star_pairs(members: DataFrame) -> DataFrame:
-    """a, b: each text with the first of its bucket."""
-    firsts = members.groupBy("band").agg(F.min("id").alias("first"))
-    return members.join(firsts, "band").filter("id != first").select(F.col("id").alias("a"), F.col("first").alias("b"))
-
-
-def dealt_pairs(members: DataFrame, turn: int) -> DataFrame:
-    """a, b: within hands of about HAND texts of a bucket, dealt anew each turn, each text of another class with the first and the next of its hand. members: band, id, n, label."""
-    hands = F.pow(F.lit(2), F.ceil(F.log2(F.col("n") / HAND))).cast("long")  # powers of two: most pairs come up alike in several bands
-    hand = F.pmod(F.xxhash64("id", F.lit(turn)), F.greatest(F.lit(1).cast("long"), hands))
-    dealt = members.withColumn("hand", hand).groupBy("band", "hand").agg(F.sort_array(F.collect_set(F.struct("id", "label"))).alias("own"))
-    first, own = F.get("own", F.lit(0)), F.col("own")
-    beside = F.transform(own, lambda x, k: F.struct(x["id"].alias("a"), F.get(own, k - 1)["id"].alias("b"), (x["label"] != F.get(own, k - 1)["label"]).alias("apart")))
-    below = F.transform(own, lambda x: F.struct(x["id"].alias("a"), first["id"].alias("b"), (x["label"] != first["label"]).alias("apart")))
-    pairs = dealt.select(F.explode(F.concat(beside, below)).alias("p")).filter("p.apart")
-    return pairs.select(F.greatest("p.a", "p.b").alias("a"), F.least("p.a", "p.b").alias("b"))
+def likely_pairs(hands: DataFrame, turn: int, every: bool = False) -> DataFrame:
+    """a, b: pairs of texts of different classes in a hand that may be similar by their signatures. hands: own, an array of (id, label, signature).
 
+    Of a small hand all of them; of a larger one a forest that joins the most alike first, or all of them on demand.
+    """
 
-def apart_pairs(members: DataFrame) -> DataFrame:
-    """a, b: every pair within a bucket that is of different classes. members: band, id, label, main (the class that most of the bucket is of)."""
-    few = members.filter("label != main").select("band", F.col("id").alias("x"), F.col("label").alias("of"))
-    pairs = few.join(members.select("band", "id", "label"), "band").filter("label != of")
-    return pairs.select(F.greatest("x", "id").alias("a"), F.least("x", "id").alias("b"))
+    def run(batches):
+        for batch in batches:
+            one, other = [], []
+            for own in batch.column(0).to_pylist():
+                ids, labels = np.array([x["id"] for x in own]), np.array([x["label"] for x in own])
+                brief = np.frombuffer(b"".join(x["signature"] for x in own), np.uint8).reshape(len(own), -1)
+                for lo in range(0, len(own), 256):  # so that memory stays bounded for any hand
+                    agree = np.stack([(brief[lo:] == row).mean(axis=1) for row in brief[lo : lo + 256]])
+                    i, j = np.nonzero((agree - 1 / 256 >= LIKELY) & (labels[lo : lo + 256, None] != labels[None, lo:]))
+                    i, j, alike = (x[i < j] for x in (i, j, agree[i, j]))
+                    i, j = i + lo, j + lo
+                    if not every and len(own) > SMALL_HAND:
+                        if turn:  # other pairs than before, among those about as much alike
+                            noise = mixed(ids[i].astype(U) * U(31) + ids[j].astype(U) + U(turn))
+                            alike = alike + 0.05 * (noise >> U(40)).astype(float) / 2**24
+                        chosen, root = [], {x: x for x in labels.tolist()}
+                        for k in np.argsort(-alike, kind="stable").tolist():
+                            x, y = root[labels[i[k]].item()], root[labels[j[k]].item()]
+                            while root[x] != x:
+                                x = root[x]
+                            while root[y] != y:
+                                y = root[y]
+                            if x != y:
+                                root[max(x, y)] = min(x, y)
+                                chosen.append(k)
+                        i, j = i[chosen], j[chosen]
+                    one += np.maximum(ids[i], ids[j]).tolist()
+                    other += np.minimum(ids[i], ids[j]).tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(one, pa.int64()), pa.array(other, pa.int64())], ["a", "b"])
+
+    return hands.select("own").mapInArrow(run, "a long, b long").distinct()
+
+
+def hands_of(n):
+    """Hands that a bucket of n texts is dealt to; powers of two, so that most pairs come up alike in several bands."""
+    return F.greatest(F.lit(1).cast("long"), F.pow(F.lit(2), F.ceil(F.log2(n / HAND))).cast("long"))
+
+
+def dealt(members: DataFrame, turn: int) -> DataFrame:
+    """Each bucket's texts (band, id, n, label, signature) in hands of about HAND texts, by a hash that is new each turn."""
+    hand = F.pmod(F.xxhash64("id", F.lit(turn)), hands_of(F.col("n")))
+    return members.withColumn("hand", hand).groupBy("band", "hand").agg(F.collect_list(F.struct("id", "label", "signature")).alias("own")).filter(F.size("own") > 1)
+
+
+def dealt_to_all(members: DataFrame) -> DataFrame:
+    """Hands in which each text that is not of its bucket's main class meets all others of the bucket: it is in every hand. members also has main."""
+    hands = hands_of(F.col("n"))
+    hand = F.explode(F.when(F.col("label") == F.col("main"), F.array(F.pmod(F.xxhash64("id"), hands))).otherwise(F.sequence(F.lit(0).cast("long"), hands - 1)))
+    return members.withColumn("hand", hand).groupBy("band", "hand").agg(F.collect_list(F.struct("id", "label", "signature")).alias("own")).filter(F.size("own") > 1)
 
 
 def nearby(edges: DataFrame) -> DataFrame:
@@ -239,32 +268,24 @@ def nearby(edges: DataFrame) -> DataFrame:
 
 
 def links(rows: DataFrame, texts: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """a, b, similarity: verified links between distinct texts, enough of them to join every class. rows: id, bands."""
+    """a, b, similarity: verified links between distinct texts, enough of them to join every class. rows: id, bands, signature."""
     members = members_of(rows)
     ids = cut(members.select("id").distinct())
     texts = stored(texts.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi"))
-    large = members.filter(F.col("n") > SMALL_BUCKET)
-    wanted = all_pairs(members.filter(F.col("n") <= SMALL_BUCKET)).unionByName(star_pairs(large)).unionByName(dealt_pairs(large.withColumn("label", F.col("id")), 0))
-    found, turn, last = None, 0, False
-    while True:
-        wanted = cut(wanted.distinct() if found is None else wanted.distinct().join(found, ["a", "b"], "left_anti"))
+    wanted, found = likely_pairs(dealt(members.withColumn("label", F.col("id")), 0), 0), None
+    for turn in range(1, TURNS + 1):
+        wanted = cut(wanted if found is None else wanted.join(found, ["a", "b"], "left_anti"))
         new = cut(verified(wanted, texts))
         found = new if found is None else found.unionByName(new)
         joined = found.filter(F.col("similarity") >= similar)
-        if last:
-            return joined
-        # Texts of a large bucket that no link has joined yet are compared again, with others; in the end, all that are apart.
-        named = large.join(nearby(joined), F.col("id") == F.col("node"), "left").withColumn("label", F.coalesce("label", "id")).select("band", "id", "n", "label")
-        sizes = named.groupBy("band", "label").agg(F.count(F.lit(1)).alias("size"))
-        sizes = sizes.groupBy("band").agg(F.max_by("label", F.struct("size", "label")).alias("main"), F.sum("size").alias("all"), F.sum(F.col("size") * F.col("size")).alias("squares"))
-        apart = sizes.filter(F.col("squares") < F.col("all") * F.col("all")).withColumn("pairs", (F.col("all") * F.col("all") - F.col("squares")) / 2)
-        named = cut(named.join(apart.select("band", "main", (F.col("pairs") / F.col("all")).alias("share")), "band"))
-        pairs, texts_left = named.agg(F.sum("share"), F.count(F.lit(1))).first()
-        if not pairs:
-            return joined
-        turn += 1
-        last = pairs <= FEW_PAIRS * texts_left or turn == TURNS
-        wanted = apart_pairs(named) if last else dealt_pairs(named, turn)
+        # Texts of a bucket that no link has joined yet meet others, in the last turn all others of the bucket.
+        named = members.filter("n > 2").join(nearby(joined), F.col("id") == F.col("node"), "left").withColumn("label", F.coalesce("label", "id")).drop("node")
+        sizes = named.groupBy("band", "label").agg(F.count(F.lit(1)).alias("size")).groupBy("band").agg(F.max_by("label", F.struct("size", "label")).alias("main"), F.count(F.lit(1)).alias("classes"))
+        named = cut(named.join(sizes.filter("classes > 1").select("band", "main"), "band"))
+        if turn == TURNS or named.isEmpty():
+            break
+        wanted = likely_pairs(dealt(named, turn) if turn < TURNS - 1 else dealt_to_all(named), turn, turn == TURNS - 1)
+    return joined
 
 
 def classes(edges: DataFrame) -> DataFrame:
@@ -302,7 +323,7 @@ def near_dedup(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
         rows, texts = cut(with_id(rows)), with_id(texts).groupBy("id").agg(F.first("text").alias("text"))
     first = rows.groupBy("same").agg(F.min(F.struct("id", "row")).alias("first"), F.min("doc_id").alias("copy_of"))
     first = cut(first.select("same", "copy_of", F.col("first.id").alias("head"), F.col("first.row").alias("row")))
-    heads = rows.join(first.select("row"), "row", "left_semi").select("id", "bands")
+    heads = rows.join(first.select("row"), "row", "left_semi").select("id", "bands", "signature")
     labels = classes(links(heads, texts, similar))
     named = first.drop("row").join(labels, F.col("head") == F.col("node"), "left").select("same", "copy_of", F.coalesce("label", "head").alias("label"))
     rows = rows.select("doc_id", "row", "text_key", "same").join(named, "same")
