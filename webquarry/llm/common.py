@@ -51,7 +51,7 @@ EDGES = " \t\n\r.,;:!?\"'()[]{}<>|*%&$#@~^_=+-/\\`«»„“”‚‘’…·"
 class WordHashes(dict):
     """Raw word -> 64-bit hash of the word without the punctuation around it; bounded by starting anew when full."""
 
-    def __init__(self, limit: int = 1_000_000, stem: int = 0):
+    def __init__(self, limit: int = 200_000, stem: int = 0):
         super().__init__()
         self.limit, self.stem = limit, stem
 
@@ -77,7 +77,7 @@ def word_lists(texts: list) -> tuple[list, np.ndarray]:
     return words, counts
 
 
-def pieces(column, limit: int = 4_000_000):
+def pieces(column, limit: int = 2_000_000):
     """Runs of rows of an Arrow string column with about `limit` bytes each: (first row, list of texts)."""
     texts, first, size = [], 0, 0
     for k, value in enumerate(column):

@@ -44,7 +44,7 @@ class Ids:
     PART = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[^\s{LETTERS}0-9]+").findall
     ODD = re.compile("[^\t\n\r\x20-\x7eÀ-ÖØ-öø-ÿ«»·–—‘’“”„…€£§©®°]|<\\|").search
 
-    def __init__(self, path: str, limit: int = 2_000_000):
+    def __init__(self, path: str, limit: int = 400_000):
         from tokenizers import Tokenizer
 
         self.known: dict[str, bytes] = {}

@@ -38,7 +38,7 @@ class Tokens(dict):
     """Raw word -> number of its letters part (low 16 bits) and of the signs around it (high bits)."""
 
     def __missing__(self, raw: str) -> int:
-        if len(self) >= 1_000_000:
+        if len(self) >= 200_000:
             self.clear()
         core = raw.strip(EDGES)
         word = xxhash.xxh32_intdigest(core.lower().encode("utf-8", "surrogatepass")) >> (32 - WORD_BITS) if core else 0
