@@ -10,8 +10,8 @@ pairs of 0.8 or more are links.
 Texts with equal weights are one text from the start, so copies never make pairs. A band's bucket is dealt to
 hands of about HAND texts. Of a hand, pairs whose signatures agree enough are likely; a forest of the most
 alike of them is verified, as many pairs as there are texts. Turn by turn, texts that links have not joined to
-the rest of their bucket are dealt anew, and in the last turn they meet every other text of the bucket. So
-classes come out as if all likely pairs of each bucket were verified, while pairs within a class that is
+the rest of their bucket are dealt anew, and in the last turn each of them meets every other text of the
+bucket, hand by hand, and is verified against the most alike of each hand. Pairs within a class that is
 joined already are left out. Links are joined to classes by label propagation in tables, cut at each step.
 A class keeps its smallest doc_id.
 
@@ -34,8 +34,8 @@ from .common import WordHashes, cut, pieces, stored, table, text_or_empty, word_
 
 SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 32, 6
-#: Texts that are dealt together of a bucket; up to SMALL_HAND all pairs that are likely are taken; turns, of which the last compares all that is still apart.
-HAND, SMALL_HAND, TURNS = 64, 8, 4
+#: Texts that are dealt together of a bucket; up to SMALL_HAND all pairs that are likely are taken; turns, in the last of which what is still apart meets all others of its bucket.
+HAND, SMALL_HAND, TURNS = 64, 8, 6
 #: Least share of agreeing components of a likely pair: four standard deviations under SIMILAR.
 LIKELY = 0.68
 #: Pairs of one text that meet in one task; a text with more of them is copied to several tasks.
@@ -201,10 +201,31 @@ def members_of(rows: DataFrame) -> DataFrame:
     return cut(keyed.join(shared, "band").join(rows.select("id", "signature"), "id"))
 
 
-def likely_pairs(hands: DataFrame, turn: int, every: bool = False) -> DataFrame:
-    """a, b: pairs of texts of different classes in a hand that may be similar by their signatures. hands: own, an array of (id, label, signature).
+def forest(ids, labels, i, j, alike, turn: int) -> list[int]:
+    """Numbers of pairs (i, j) that join their labels, the most alike first; in later turns others among those about as much alike."""
+    if turn:
+        noise = mixed(ids[i].astype(U) * U(31) + ids[j].astype(U) + U(turn))
+        alike = alike + 0.05 * (noise >> U(40)).astype(float) / 2**24
+    root, chosen = {x: x for x in labels.tolist()}, []
 
-    Of a small hand all of them; of a larger one a forest that joins the most alike first, or all of them on demand.
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for k in np.argsort(-alike, kind="stable").tolist():
+        x, y = top(labels[i[k]].item()), top(labels[j[k]].item())
+        if x != y:
+            root[max(x, y)] = min(x, y)
+            chosen.append(k)
+    return chosen
+
+
+def likely_pairs(hands: DataFrame, turn: int, last: bool = False) -> DataFrame:
+    """a, b: pairs of texts of different classes in a hand that may be similar by their signatures.
+
+    Of a small hand all of them; of a larger one a forest that joins the most alike first. With last, for each text that is
+    not of its bucket's main class, the one that is most like it. hands: own, an array of (id, label, rest, signature).
     """
 
     def run(batches):
@@ -213,26 +234,20 @@ def likely_pairs(hands: DataFrame, turn: int, every: bool = False) -> DataFrame:
             for own in batch.column(0).to_pylist():
                 ids, labels = np.array([x["id"] for x in own]), np.array([x["label"] for x in own])
                 brief = np.frombuffer(b"".join(x["signature"] for x in own), np.uint8).reshape(len(own), -1)
+                rest = np.array([x["rest"] for x in own])
                 for lo in range(0, len(own), 256):  # so that memory stays bounded for any hand
-                    agree = np.stack([(brief[lo:] == row).mean(axis=1) for row in brief[lo : lo + 256]])
-                    i, j = np.nonzero((agree - 1 / 256 >= LIKELY) & (labels[lo : lo + 256, None] != labels[None, lo:]))
-                    i, j, alike = (x[i < j] for x in (i, j, agree[i, j]))
-                    i, j = i + lo, j + lo
-                    if not every and len(own) > SMALL_HAND:
-                        if turn:  # other pairs than before, among those about as much alike
-                            noise = mixed(ids[i].astype(U) * U(31) + ids[j].astype(U) + U(turn))
-                            alike = alike + 0.05 * (noise >> U(40)).astype(float) / 2**24
-                        chosen, root = [], {x: x for x in labels.tolist()}
-                        for k in np.argsort(-alike, kind="stable").tolist():
-                            x, y = root[labels[i[k]].item()], root[labels[j[k]].item()]
-                            while root[x] != x:
-                                x = root[x]
-                            while root[y] != y:
-                                y = root[y]
-                            if x != y:
-                                root[max(x, y)] = min(x, y)
-                                chosen.append(k)
-                        i, j = i[chosen], j[chosen]
+                    agree = np.stack([(brief == row).mean(axis=1) for row in brief[lo : lo + 256]]) - 1 / 256
+                    agree[labels[lo : lo + 256, None] == labels[None]] = 0
+                    if last and len(own) > SMALL_HAND:
+                        i = np.flatnonzero(rest[lo : lo + 256] & (agree.max(axis=1) >= LIKELY))
+                        j = agree[i].argmax(axis=1)
+                        i = i + lo
+                    else:
+                        i, j = np.nonzero(agree >= LIKELY)
+                        i, j, alike = i[j > i + lo] + lo, j[j > i + lo], agree[i, j][j > i + lo]
+                        if len(own) > SMALL_HAND:
+                            chosen = forest(ids, labels, i, j, alike, turn)
+                            i, j = i[chosen], j[chosen]
                     one += np.maximum(ids[i], ids[j]).tolist()
                     other += np.minimum(ids[i], ids[j]).tolist()
             yield pa.RecordBatch.from_arrays([pa.array(one, pa.int64()), pa.array(other, pa.int64())], ["a", "b"])
@@ -248,14 +263,14 @@ def hands_of(n):
 def dealt(members: DataFrame, turn: int) -> DataFrame:
     """Each bucket's texts (band, id, n, label, signature) in hands of about HAND texts, by a hash that is new each turn."""
     hand = F.pmod(F.xxhash64("id", F.lit(turn)), hands_of(F.col("n")))
-    return members.withColumn("hand", hand).groupBy("band", "hand").agg(F.collect_list(F.struct("id", "label", "signature")).alias("own")).filter(F.size("own") > 1)
+    return members.withColumn("hand", hand).groupBy("band", "hand").agg(F.collect_list(F.struct("id", "label", F.lit(False).alias("rest"), "signature")).alias("own")).filter(F.size("own") > 1)
 
 
 def dealt_to_all(members: DataFrame) -> DataFrame:
     """Hands in which each text that is not of its bucket's main class meets all others of the bucket: it is in every hand. members also has main."""
     hands = hands_of(F.col("n"))
     hand = F.explode(F.when(F.col("label") == F.col("main"), F.array(F.pmod(F.xxhash64("id"), hands))).otherwise(F.sequence(F.lit(0).cast("long"), hands - 1)))
-    return members.withColumn("hand", hand).groupBy("band", "hand").agg(F.collect_list(F.struct("id", "label", "signature")).alias("own")).filter(F.size("own") > 1)
+    return members.withColumn("hand", hand).groupBy("band", "hand").agg(F.collect_list(F.struct("id", "label", (F.col("label") != F.col("main")).alias("rest"), "signature")).alias("own")).filter(F.size("own") > 1)
 
 
 def nearby(edges: DataFrame) -> DataFrame:
