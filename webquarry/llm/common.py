@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,6 +43,33 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.parquet(path)
 
 
+#: Rows of a batch that goes to Python, so that a batch of long texts stays small; a smaller setting of the session is kept.
+BATCH_ROWS = 1000
+
+
+def tidy(function):
+    """function over batches, after which the worker, which Spark keeps for other tasks, gives its memory back."""
+
+    def run(batches):
+        try:
+            yield from function(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+                libc.malloc_trim(0)
+
+    return run
+
+
+def mapped(df: DataFrame, function, schema) -> DataFrame:
+    """df.mapInArrow with small batches and tidy workers."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name, "10000")) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    return df.mapInArrow(tidy(function), schema)
+
+
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 

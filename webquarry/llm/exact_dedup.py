@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, pieces, table, text_or_empty
+from .common import cut, mapped, pieces, table, text_or_empty
 
 MIN_CHUNK, MAX_CHUNK, CUT_BITS = 256, 8192, 10
 #: More identifiers than these with two contents (expected: none below 10^10 chunks) would not be broadcast.
@@ -84,7 +84,7 @@ def distinct_chunks(docs: DataFrame) -> DataFrame:
                 hashes = np.array([xxhash.xxh3_64_intdigest(c) for c in found], np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), pa.array(found.keys(), pa.binary())], ["h", "content"])
 
-    return docs.select(text_or_empty().alias("text")).mapInArrow(run, "h long, content binary").distinct()
+    return mapped(docs.select(text_or_empty().alias("text")), run, "h long, content binary").distinct()
 
 
 def collided(docs: DataFrame) -> list[int]:
@@ -115,7 +115,7 @@ def recipes(docs: DataFrame, doubtful: list[int]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.binary()), pa.array(shas, pa.string())], ["doc_id", "row", "recipe", "text_sha256"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), text_or_empty().alias("text"))
-    return rows.mapInArrow(run, "doc_id long, row long, recipe binary, text_sha256 string")
+    return mapped(rows, run, "doc_id long, row long, recipe binary, text_sha256 string")
 
 
 def exact_dedup(docs: DataFrame) -> DataFrame:

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, pieces, table
+from .common import cut, mapped, pieces, table
 from .url_filter import with_parts
 
 GAMMA, THRESHOLD, MIN_PAGES = 0.9, 0.3, 4
@@ -209,7 +209,7 @@ def node_sums(pages: DataFrame) -> DataFrame:
         if sums:
             yield flush()
 
-    rows = pages.select("host", "html").mapInArrow(run, "node long, kind byte, value long, t double, l double")
+    rows = mapped(pages.select("host", "html"), run, "node long, kind byte, value long, t double, l double")
     return rows.groupBy("node", "kind", "value").agg(F.sum("t").alias("t"), F.sum("l").alias("l"))
 
 
@@ -258,7 +258,7 @@ def extract(pages: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
                     texts.append(Page(page or "").main_text(hosts[k], shared.value if few else frozenset(own[k].as_py() or ())))
             yield pa.RecordBatch.from_arrays([*[b.column(k) for k in range(len(names))], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [*names, "text", "n_chars"])
 
-    return source.mapInArrow(run, schema)
+    return mapped(source, run, schema)
 
 
 def with_low(hosted: DataFrame, low: DataFrame) -> DataFrame:
@@ -275,7 +275,7 @@ def with_low(hosted: DataFrame, low: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(nodes, pa.int64())], ["own", "node"])
 
     own = F.xxhash64("host", "html")
-    have = hosted.select("host", "html", own.alias("own")).mapInArrow(run, "own long, node long").distinct()
+    have = mapped(hosted.select("host", "html", own.alias("own")), run, "own long, node long").distinct()
     marked = have.join(low, "node").groupBy("own").agg(F.collect_list("node").alias("low"))
     return hosted.withColumn("own", own).join(marked, "own", "left").select(*names, "low")
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, cut, pieces, stored, table, text_or_empty, word_lists
+from .common import cut, mapped, pieces, stored, table, text_or_empty, word_lists, WordHashes
 
 SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 32, 6
@@ -165,7 +165,7 @@ def sketched(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(same, pa.binary()), lists, pa.array(brief, pa.binary())], ["doc_id", "row", "text_key", "same", "bands", "signature"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), text_key().alias("text_key"), text_or_empty().alias("text"))
-    return rows.mapInArrow(run, "doc_id long, row long, text_key long, same binary, bands array<long>, signature binary")
+    return mapped(rows, run, "doc_id long, row long, text_key long, same binary, bands array<long>, signature binary")
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -191,7 +191,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 out.append(probability_jaccard(weights(one.as_py()), second))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.float64())], ["a", "b", "similarity"])
 
-    return left.join(right, ["b", "part"]).select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, similarity double")
+    return mapped(left.join(right, ["b", "part"]).select("a", "b", "text_a", "text_b"), run, "a long, b long, similarity double")
 
 
 def members_of(rows: DataFrame) -> DataFrame:
@@ -252,7 +252,7 @@ def likely_pairs(hands: DataFrame, turn: int, last: bool = False) -> DataFrame:
                     other += np.minimum(ids[i], ids[j]).tolist()
             yield pa.RecordBatch.from_arrays([pa.array(one, pa.int64()), pa.array(other, pa.int64())], ["a", "b"])
 
-    return hands.select("own").mapInArrow(run, "a long, b long").distinct()
+    return mapped(hands.select("own"), run, "a long, b long").distinct()
 
 
 def hands_of(n):

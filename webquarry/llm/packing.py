@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_or_empty
+from .common import mapped, table, text_or_empty
 
 MAX_TOKENS, MAX_SEGMENTS, END_ID = 4096, 512, 2
 OPEN_BINS = 24
@@ -98,7 +98,7 @@ class Packer:
         return min(tokens - b.tokens, int((most - b.loss) / loss) if loss else tokens)
 
     def put(self, b: Bin, key, start: int, n: int, loss: float):
-        b.pieces.append((key, start, n))
+        b.pieces.append((key, start, n, loss))
         b.tokens += n
         b.loss += n * loss
 
@@ -113,7 +113,7 @@ class Packer:
                 b = Bin()
                 self.put(b, key, start, full, loss)
                 start, n = start + full, n - full
-                yield b.pieces
+                yield [p[:3] for p in b.pieces]
                 continue
             best, score = None, -1.0
             for b in self.bins:
@@ -146,22 +146,22 @@ class Packer:
             size = left if left == self.limits[0] else 1 << (left.bit_length() - 1)
             out, need = [], size
             while need:
-                key, start, n = pieces[at]
+                key, start, n, loss = pieces[at]
                 if n <= need:
                     out.append((key, start, n))
                     at += 1
                 else:
                     out.append((key, start, need))
-                    pieces[at] = (key, start + need, n - need)
+                    pieces[at] = (key, start + need, n - need, loss)
                 need -= min(n, need)
             left -= size
             yield out
 
     def finish(self):
         """The open sequences, joined to full ones first."""
-        rest = [(p, b.loss / b.tokens) for b in self.bins for p in b.pieces]
+        rest = [p for b in self.bins for p in b.pieces]
         self.bins, self.open_bins = [], 1
-        for (key, start, n), loss in rest:
+        for key, start, n, loss in rest:
             yield from self.add(key, n, loss, start)
         for b in list(self.bins):
             yield from self.shut(b)
@@ -208,7 +208,7 @@ def pack(docs: DataFrame, path: str | None = None, max_tokens: int = MAX_TOKENS,
             emit(sequence)
         yield flush()
 
-    return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(run, SCHEMA)
+    return mapped(docs.select("doc_id", text_or_empty().alias("text")), run, SCHEMA)
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import EDGES, pieces, table, text_or_empty
+from .common import EDGES, mapped, pieces, table, text_or_empty
 from .toxicity import bucket
 
 TRAIN_ROWS, POOL_ROWS, ROUNDS, STEPS = 4_000, 4_000, 3, 60
@@ -271,7 +271,8 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, pool
             rows += zip(*(c.to_pylist() for c in b.columns))
         yield pa.RecordBatch.from_arrays([pa.array([fit(rows)], pa.binary())], ["model"])
 
-    return sample.select("doc_id", "text", "lang", "source", "n_chars", "label").repartition(1).mapInArrow(learn, "model binary").collect()[0][0]
+    found = mapped(sample.select("doc_id", "text", "lang", "source", "n_chars", "label").repartition(1), learn, "model binary").collect()
+    return found[0][0] if found else pickle.dumps(0.5)  # no row for an empty table
 
 
 def classify(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, pool_rows: int = POOL_ROWS) -> DataFrame:
@@ -288,7 +289,7 @@ def classify(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, p
             out = np.concatenate(found, axis=1)
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(x) for x in out]], ["doc_id", "text_score", "meta_score", "score"])
 
-    scored = columns(docs.withColumn("doc_id", F.col("doc_id").cast("long"))).mapInArrow(run, "doc_id long, text_score double, meta_score double, score double")
+    scored = mapped(columns(docs.withColumn("doc_id", F.col("doc_id").cast("long"))), run, "doc_id long, text_score double, meta_score double, score double")
     return scored.select("doc_id", (bucket(F.col("doc_id")) == 1).alias("held_out"), "text_score", "meta_score", "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).cast("int").alias("predicted"))
 
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, pieces, table, text_or_empty, word_lists
+from .common import mapped, pieces, table, text_or_empty, word_lists, WordHashes
 
 BITS = 24
 TRAIN_ROWS = 8_000
@@ -183,8 +183,8 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, epoc
         yield pa.RecordBatch.from_arrays([pa.array(np.append(found, -1)), pa.array(np.append(weights, bias))], ["id", "weight"])
 
     sample = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(known), "doc_id")
-    rows = sample.select("doc_id", "text", "label").repartition(1).mapInArrow(learn, "id long, weight double").collect()
-    bias = next(r["weight"] for r in rows if r["id"] == -1)
+    rows = mapped(sample.select("doc_id", "text", "label").repartition(1), learn, "id long, weight double").collect()
+    bias = next((r["weight"] for r in rows if r["id"] == -1), -4.0)  # no rows at all for an empty table
     kept = [r for r in rows if r["id"] >= 0]
     return np.array([r["id"] for r in kept], np.int64), np.array([r["weight"] for r in kept]), bias
 
@@ -203,7 +203,7 @@ def score(docs: DataFrame, model) -> DataFrame:
             scores = np.concatenate([scorer(t) for _, t in pieces(b.column(text))] or [np.zeros(0)])
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores, pa.float64())], [*names, "score"])
 
-    return docs.mapInArrow(run, schema)
+    return mapped(docs, run, schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, train_rows: int = TRAIN_ROWS) -> DataFrame:

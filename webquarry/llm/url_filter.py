@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import mapped, table
 
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 #: The trie of so many rules stays within about 100 MB of an executor's memory.
@@ -89,12 +89,12 @@ def by_trie(parts: DataFrame, rules) -> DataFrame:
                 found.append(memo[key])
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([r for _, r in found], pa.string()), pa.array([v for v, _ in found], pa.string())], [*names, "rule", "verdict"])
 
-    return parts.mapInArrow(run, schema)
+    return mapped(parts, run, schema)
 
 
 def by_join(parts: DataFrame, rules: DataFrame) -> DataFrame:
     """The same verdicts for any number of rules: distinct (host, path) pairs spread to host suffixes, joined on the host; then the prefix test."""
-    rules = rules.select("verdict", F.col("host").alias("rule_host"), F.concat(F.lit("/"), F.ltrim(F.lit("/"), F.coalesce("path", F.lit("")))).alias("rule_path"))
+    rules = rules.select("verdict", F.col("host").alias("rule_host"), F.concat(F.lit("/"), F.regexp_replace(F.coalesce("path", F.lit("")), "^/", "")).alias("rule_path"))
     rules = rules.groupBy("rule_host", "rule_path").agg(F.max("verdict").alias("verdict"))  # block is after allow
     lengths = sorted(r[0] for r in rules.select(F.length("rule_path")).distinct().limit(10_000).collect())
     pairs = parts.select("host", "path").distinct().filter(F.col("host") != "")
