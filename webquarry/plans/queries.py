@@ -407,7 +407,10 @@ def fanout(spark, sf_dir):
     return rows.select("strategy", "url", F.array_join(probes.methods_for(F.col("url"), F.lit(None).cast("array<string>"), F.col("strategy")), ",").alias("methods"))
 
 
-@query("permutation")
+@query("permutation", f"""WITH s AS (SELECT DISTINCT target FROM ({SEEDS}) WHERE kind = 'no_js'), b AS (SELECT target, unnest(['', '/app']) AS base FROM s),
+p AS (SELECT target, '/app/api' AS prefix FROM s UNION SELECT target, '/api' FROM ({PATHS}) WHERE contains(path, 'api/')),
+e AS (SELECT target, CASE WHEN starts_with(path, '/api/') THEN substring(path, 5) WHEN starts_with(path, '/') THEN path ELSE '/' || path END AS ending, coalesce(method, '') AS methods FROM ({PATHS}) WHERE NOT starts_with(path, 'http'))
+SELECT DISTINCT target, rtrim(target, '/') || base || prefix || ending AS url, methods, 'permutate' AS source FROM b JOIN p USING (target) JOIN e USING (target)""")
 def permutation(spark, sf_dir):
     found = probes.permuted(targets.parsed(made(spark, sf_dir, SITES)), made(spark, sf_dir, SEEDS), made(spark, sf_dir, PATHS))
     return found.select("target", "url", F.array_join("methods", ",").alias("methods"), "source")
@@ -525,7 +528,8 @@ def targets_by_rule(spark, sf_dir):
     return report.targets_by_rule(events(spark, sf_dir))
 
 
-@query("sheet_rows")
+@query("sheet_rows", f"""SELECT sheet, n::BIGINT AS n FROM (SELECT unnest([{', '.join(sql_text(x) for x in report.SHEETS)}]) AS sheet, unnest([(SELECT count(*) FROM pages), 0, (SELECT count(*) FROM ({SPLIT}) WHERE NOT regexp_matches(path, '[.][^./]*$')), 0, 0, 0, 0,
+(SELECT count(*) FROM ({PROBED_SQL}) WHERE kept), (SELECT count(*) FROM ({URL_HITS}) WHERE kind <> 'sensitive'), (SELECT count(*) FROM ({URL_HITS}) WHERE kind = 'sensitive')]) AS n)""")
 def sheet_rows(spark, sf_dir):
     found = report.sheets(events(spark, sf_dir))
     rows = [t.agg(F.lit(n).alias("sheet"), F.count(F.lit(1)).alias("n")) for n, t in found.items()]
