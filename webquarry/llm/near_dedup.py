@@ -361,4 +361,4 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "copy_of", "group_size", "kept")
+    return near_dedup(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "group_size", "kept")
