@@ -152,12 +152,6 @@ def extract_scripts(spark, sf_dir):
     return extract.extract(made(spark, sf_dir, SCRIPTS), ["id"]).select("id", "kind", "value", "method")
 
 
-@query("extract_pages")
-def extract_pages(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages").select("page_id", F.col("html").alias("body"))
-    return extract.extract(pages, ["page_id"]).select("page_id", "kind", "value", "pattern", "method")
-
-
 def tier_sql(patterns, kind: str) -> str:
     union = sql_text("|".join(f"({p})" for p in patterns))
     groups = [f"regexp_extract_all(html, {union}, {k + 1})" for k in range(len(patterns))]
@@ -202,7 +196,10 @@ def js_filter(spark, sf_dir):
     return made(spark, sf_dir, RAW).select("raw", candidates.script(F.col("raw")).alias("value")).filter("value is not null")
 
 
-@query("static_filter", f"SELECT raw, s AS value FROM (SELECT raw, {STRIP.format('raw')} AS s FROM ({RAW})) WHERE octet_length(encode(s)) >= 3 AND NOT regexp_matches(s, '\\.[mc]?js$') AND NOT regexp_matches(lower(s), {re2_any(values.STATIC_FILE_PARTS)}) AND NOT regexp_matches(s, {BLACK})")
+STATIC_SQL = f"SELECT raw, s AS value FROM (SELECT raw, {STRIP.format('raw')} AS s FROM ({RAW})) WHERE octet_length(encode(s)) >= 3 AND NOT regexp_matches(s, '\\.[mc]?js$') AND NOT regexp_matches(lower(s), {re2_any(values.STATIC_FILE_PARTS)}) AND NOT regexp_matches(s, {BLACK})"
+
+
+@query("static_filter", STATIC_SQL)
 def static_filter(spark, sf_dir):
     return made(spark, sf_dir, RAW).select("raw", candidates.static(F.col("raw")).alias("value")).filter("value is not null")
 
@@ -228,6 +225,37 @@ def api_filter(spark, sf_dir):
     return made(spark, sf_dir, RAW).select("raw", candidates.api(F.col("raw")).alias("value")).filter("value is not null")
 
 
+# ---- extraction of whole pages ----------------------------------------------------------------------------
+
+
+def matches_sql(tier: str, alternatives) -> str:
+    """page_id, tier, kind, slash, bare: what an alternation takes from pages, as `extract.scan` reads it."""
+    union = sql_text("|".join(f"({p})" for _, _, p, _, _ in alternatives))
+    at, columns, values_ = 1, [], []
+    for k, (_, _, pattern, group, _) in enumerate(alternatives):
+        columns.append(f"unnest(regexp_extract_all(html, {union}, {at + group})) AS g{k}")
+        values_.append(f"nullif(g{k}, '')")
+        at += 1 + extract.groups_in(pattern)
+    pick = lambda c: "CASE " + " ".join(f"WHEN coalesce(g{k}, '') <> '' THEN {sql_text(a[c]) if c < 4 else a[c]}" for k, a in enumerate(alternatives)) + " END"
+    raw = f"coalesce({', '.join(values_)})"
+    return f"SELECT page_id, '{tier}' AS tier, {pick(1)} AS kind, {pick(4)} AS slash, {STRIP.format(raw)} AS bare FROM (SELECT page_id, {', '.join(columns)} FROM pages)"
+
+
+EXTRACTED = f"""WITH m AS ({' UNION ALL '.join(matches_sql(t, a) for t, a in extract.tiers())}),
+v AS (SELECT DISTINCT 'extra' AS tier, slash, bare, CASE WHEN slash AND NOT starts_with(bare, '/') AND NOT contains(bare, '://') THEN '/' || bare ELSE bare END AS value FROM m WHERE tier = 'extra' AND bare <> ''
+UNION ALL SELECT 'js', FALSE, raw, value FROM ({JS_SQL.replace(f'({RAW})', "(SELECT DISTINCT bare AS raw FROM m WHERE tier = 'js')")})
+UNION ALL SELECT 'static', FALSE, raw, value FROM ({STATIC_SQL.replace(f'({RAW})', "(SELECT DISTINCT bare AS raw FROM m WHERE tier = 'static')")})
+UNION ALL SELECT 'api', FALSE, raw, value FROM ({API_SQL.replace(f'({RAW})', "(SELECT DISTINCT bare AS raw FROM m WHERE tier = 'api')")})),
+f AS (SELECT page_id, kind, value FROM m JOIN v USING (tier, slash, bare))
+SELECT DISTINCT page_id, kind, value FROM (SELECT * FROM f UNION ALL SELECT page_id, 'js', value FROM f WHERE kind <> 'js' AND regexp_matches(value, '\\.[mc]?js$'))"""
+
+
+@query("extract_pages", EXTRACTED)
+def extract_pages(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select("page_id", F.col("html").alias("body"))
+    return extract.extract(pages, ["page_id"]).select("page_id", "kind", "value")
+
+
 # ---- urls -------------------------------------------------------------------------------------------------
 
 SPLIT = """SELECT page_id, regexp_extract(url, '^([a-z]+):', 1) AS scheme, regexp_extract(url, '//([^/?#]*)', 1) AS host, regexp_extract(url, '//[^/?#]*([^?#]*)', 1) AS path,
