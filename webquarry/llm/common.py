@@ -34,6 +34,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def lean(df: DataFrame, rows: int = 10_000) -> DataFrame:
+    """cut, and then as few partitions as its rows need: a small table that goes on with many makes as many small shuffle files at each step."""
+    df = cut(df)
+    return df.coalesce(max(1, -(-df.count() // rows)))
+
+
+def settle(spark: SparkSession) -> None:
+    """Has the driver drop what nothing refers to any more, so that Spark's cleaner removes the shuffle files of steps that are over."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Like cut, for texts: as Parquet in the same folder, which takes less room and is read by column."""
     spark = df.sparkSession

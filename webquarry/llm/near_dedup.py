@@ -10,7 +10,7 @@ pairs of 0.8 or more are links.
 Texts with equal weights are one text from the start, so copies never make pairs. A band's bucket is dealt to
 hands of about HAND texts. Of a hand, pairs whose signatures agree enough are likely; a forest of the most
 alike of them is verified, as many pairs as there are texts. Turn by turn, texts that links have not joined to
-the rest of their bucket are dealt anew, and in the last turn each of them meets every other text of the
+the rest of their bucket are dealt anew as long as that joins many; in the last turn each of them meets every other text of the
 bucket, hand by hand, and is verified against the most alike of each hand. Pairs within a class that is
 joined already are left out. Links are joined to classes by label propagation in tables, cut at each step.
 A class keeps its smallest doc_id.
@@ -24,18 +24,21 @@ through `stage`.
 from __future__ import annotations
 
 import hashlib
+import itertools
+import math
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, mapped, pieces, stored, table, text_or_empty, word_lists, WordHashes
+from .common import cut, lean, mapped, pieces, settle, stored, table, text_or_empty, word_lists, WordHashes
 
 SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 32, 6
-#: Texts that are dealt together of a bucket; up to SMALL_HAND all pairs that are likely are taken; turns, in the last of which what is still apart meets all others of its bucket.
-HAND, SMALL_HAND, TURNS = 64, 8, 6
+#: Texts that are dealt together of a bucket; up to SMALL_HAND all pairs that are likely are taken. Dealing goes on for at most TURNS turns, while less than
+#: WORTH of what was apart still is; in the last turn what is apart meets all others of its bucket.
+HAND, SMALL_HAND, TURNS, WORTH = 64, 8, 8, 0.7
 #: Least share of agreeing components of a likely pair: four standard deviations under SIMILAR.
 LIKELY = 0.68
 #: Pairs of one text that meet in one task; a text with more of them is copied to several tasks.
@@ -267,10 +270,16 @@ def dealt(members: DataFrame, turn: int) -> DataFrame:
 
 
 def dealt_to_all(members: DataFrame) -> DataFrame:
-    """Hands in which each text that is not of its bucket's main class meets all others of the bucket: it is in every hand. members also has main."""
-    hands = hands_of(F.col("n"))
-    hand = F.explode(F.when(F.col("label") == F.col("main"), F.array(F.pmod(F.xxhash64("id"), hands))).otherwise(F.sequence(F.lit(0).cast("long"), hands - 1)))
-    return members.withColumn("hand", hand).groupBy("band", "hand").agg(F.collect_list(F.struct("id", "label", (F.col("label") != F.col("main")).alias("rest"), "signature")).alias("own")).filter(F.size("own") > 1)
+    """Hands in which each text that is not of its bucket's main class meets all others of the bucket.
+
+    Buckets with the same main class go together, so a text and a class meet once, not in each band: the class is dealt, and
+    the text is in every hand of it. members also has main.
+    """
+    rows = members.select("main", "id", "label", "signature", (F.col("label") != F.col("main")).alias("rest")).dropDuplicates(["main", "id"])
+    sizes = rows.groupBy("main").agg(F.count(F.lit(1)).alias("n"))
+    rows = rows.join(sizes, "main").withColumn("hands", hands_of(F.col("n")))
+    hand = F.explode(F.when(F.col("rest"), F.sequence(F.lit(0).cast("long"), F.col("hands") - 1)).otherwise(F.array(F.pmod(F.xxhash64("id"), F.col("hands")))))
+    return rows.withColumn("hand", hand).groupBy("main", "hand").agg(F.collect_list(F.struct("id", "label", "rest", "signature")).alias("own")).filter(F.size("own") > 1)
 
 
 def nearby(edges: DataFrame) -> DataFrame:
@@ -287,33 +296,36 @@ def links(rows: DataFrame, texts: DataFrame, similar: float = SIMILAR) -> DataFr
     members = members_of(rows)
     ids = cut(members.select("id").distinct())
     texts = stored(texts.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi"))
-    wanted, found = likely_pairs(dealt(members.withColumn("label", F.col("id")), 0), 0), None
-    for turn in range(1, TURNS + 1):
-        wanted = cut(wanted if found is None else wanted.join(found, ["a", "b"], "left_anti"))
-        new = cut(verified(wanted, texts))
+    wanted, found, rest, last = likely_pairs(dealt(members.withColumn("label", F.col("id")), 0), 0), None, math.inf, False
+    for turn in itertools.count(1):
+        wanted = lean(wanted if found is None else wanted.join(found, ["a", "b"], "left_anti"))
+        new = lean(verified(wanted, texts))
         found = new if found is None else found.unionByName(new)
         joined = found.filter(F.col("similarity") >= similar)
         # Texts of a bucket that no link has joined yet meet others, in the last turn all others of the bucket.
         named = members.filter("n > 2").join(nearby(joined), F.col("id") == F.col("node"), "left").withColumn("label", F.coalesce("label", "id")).drop("node")
         sizes = named.groupBy("band", "label").agg(F.count(F.lit(1)).alias("size")).groupBy("band").agg(F.max_by("label", F.struct("size", "label")).alias("main"), F.count(F.lit(1)).alias("classes"))
-        named = cut(named.join(sizes.filter("classes > 1").select("band", "main"), "band"))
-        if turn == TURNS or named.isEmpty():
-            break
-        wanted = likely_pairs(dealt(named, turn) if turn < TURNS - 1 else dealt_to_all(named), turn, turn == TURNS - 1)
-    return joined
+        named = lean(named.join(sizes.filter("classes > 1").select("band", "main"), "band"))
+        before, rest = rest, named.filter("label != main").count()
+        settle(members.sparkSession)
+        if last or not rest:
+            return joined
+        last = rest > WORTH * before or turn == TURNS
+        wanted = likely_pairs(dealt_to_all(named) if last else dealt(named, turn), turn, last)
 
 
 def classes(edges: DataFrame) -> DataFrame:
     """node, label: the smallest id that can be reached, for each end of a link (a, b)."""
-    both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = cut(both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("node"), F.least("a", "low").alias("label")))
+    both = lean(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = lean(both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("node"), F.least("a", "low").alias("label")))
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         step = labels.join(near, "node").select("node", F.col("label").alias("before"), F.least("label", "near").alias("label"))
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        step = cut(step.join(jump, "label", "left").select("node", "before", F.least("label", F.coalesce("further", "label")).alias("label")))
+        step = lean(step.join(jump, "label", "left").select("node", "before", F.least("label", F.coalesce("further", "label")).alias("label")))
         moved = not step.filter("label < before").isEmpty()
         labels = step.select("node", "label")
+        settle(labels.sparkSession)
         if not moved:
             return labels
 
