@@ -167,3 +167,10 @@ def test_near_repeated_ids_and_empty(spark):
     assert len(got) == 5 and sum(r["kept"] for r in got) == 3
     assert len(near_dedup.stage(spark, docs(spark, rows), "").collect()) == 3
     assert near_dedup.near_dedup(docs(spark, [])).collect() == []
+
+
+def test_classes_of_long_chains(spark):
+    edges = [(k + 1, k) for k in range(100, 140)] + [(7, 3), (9, 7), (3, 9), (500, 2), (501, 500), (501, 2)]
+    got = {r["node"]: r["label"] for r in near_dedup.classes(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**{k: 100 for k in range(100, 141)}, 3: 3, 7: 3, 9: 3, 2: 2, 500: 2, 501: 2}
+    assert near_dedup.classes(spark.createDataFrame([], "a long, b long")).collect() == []

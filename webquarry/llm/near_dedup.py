@@ -284,9 +284,10 @@ def dealt_to_all(members: DataFrame) -> DataFrame:
 
 def nearby(edges: DataFrame) -> DataFrame:
     """node, label: the smallest id within a few links, in one query. Texts of one class may still differ in it, those of one label are of one class."""
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(edges.select("a", F.col("a").alias("b")))
-    low = both.groupBy("a").agg(F.min("b").alias("low"))
-    low = both.join(low.select(F.col("a").alias("b"), "low"), "b").groupBy("a").agg(F.min("low").alias("low"))
+    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    low = both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low"))
+    near = both.join(low.select(F.col("a").alias("b"), "low"), "b").groupBy("a").agg(F.min("low").alias("near"))
+    low = low.join(near, "a").select("a", F.least("low", "near").alias("low"))
     jump = low.select(F.col("a").alias("low"), F.col("low").alias("lower"))
     return low.join(jump, "low", "left").select(F.col("a").alias("node"), F.coalesce("lower", "low").alias("label"))
 
@@ -315,19 +316,23 @@ def links(rows: DataFrame, texts: DataFrame, similar: float = SIMILAR) -> DataFr
 
 
 def classes(edges: DataFrame) -> DataFrame:
-    """node, label: the smallest id that can be reached, for each end of a link (a, b)."""
-    both = lean(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    """node, label: the smallest id that can be reached, for each end of a link (a, b). Nodes are joined by what is nearby first; the labels that links still join are few."""
+    near = lean(nearby(edges))
+    one, other = near.select(F.col("node").alias("a"), F.col("label").alias("x")), near.select(F.col("node").alias("b"), F.col("label").alias("y"))
+    between = edges.select("a", "b").join(one, "a").join(other, "b").filter("x != y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))
+    both = lean(between.unionByName(between.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = lean(both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("node"), F.least("a", "low").alias("label")))
-    while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        step = labels.join(near, "node").select("node", F.col("label").alias("before"), F.least("label", "near").alias("label"))
+    moved = not labels.isEmpty()
+    while moved:
+        step = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
+        step = labels.join(step, "node").select("node", F.col("label").alias("before"), F.least("label", "near").alias("label"))
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
         step = lean(step.join(jump, "label", "left").select("node", "before", F.least("label", F.coalesce("further", "label")).alias("label")))
         moved = not step.filter("label < before").isEmpty()
         labels = step.select("node", "label")
         settle(labels.sparkSession)
-        if not moved:
-            return labels
+    last = labels.select(F.col("node").alias("label"), F.col("label").alias("least"))
+    return near.join(last, "label", "left").select("node", F.coalesce("least", "label").alias("label"))
 
 
 def near_dedup(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
