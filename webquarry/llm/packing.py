@@ -44,7 +44,7 @@ class Ids:
     PART = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[^\s{LETTERS}0-9]+").findall
     ODD = re.compile("[^\t\n\r\x20-\x7eÀ-ÖØ-öø-ÿ«»·–—‘’“”„…€£§©®°]|<\\|").search
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 600_000):
         from tokenizers import Tokenizer
 
         self.known: dict[str, bytes] = {}
@@ -77,6 +77,16 @@ class Ids:
         return b"".join(map(self.known.__getitem__, parts))
 
 
+#: The parts that a Python worker knows, by tokenizer: Spark uses a worker for many tasks.
+KNOWN: dict[str, Ids] = {}
+
+
+def known(path: str) -> Ids:
+    if path not in KNOWN:
+        KNOWN[path] = Ids(path)
+    return KNOWN[path]
+
+
 class Bin:
     __slots__ = ("loss", "pieces", "tokens")
 
@@ -172,7 +182,8 @@ def pack(docs: DataFrame, path: str | None = None, max_tokens: int = MAX_TOKENS,
     path = path or tokenizer_path()
 
     def run(batches):
-        ids, packer = Ids(path), Packer(max_tokens, max_segments, max_loss)
+        packer = Packer(max_tokens, max_segments, max_loss)
+        ids = known(path)
         first = TaskContext.get().partitionId() << 36
         held: dict[int, list] = {}  # by key: doc_id, ids, those not yet out
         count, rows = 0, []
