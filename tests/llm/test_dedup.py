@@ -160,6 +160,25 @@ def test_near_large_groups(spark):
     assert len(set(want.values())) > 2 and len(wrong) <= 1, wrong
 
 
+def one_bucket(spark, more, band):
+    """rows and texts for `links`: 1 is most like 2 by its signature and alike to 3 alone; 3 and those from 4 on are one text, 2 is alike to them."""
+    base = words(100, 31)
+    one, two = list(base), list(base)
+    one[20], one[70], two[35], two[85] = "a1", "a2", "b1", "b2"
+    signature = np.zeros((4, near_dedup.BANDS * near_dedup.ROWS), np.uint8)
+    signature[1, 186:], signature[2, 140:], signature[3, 120:] = 1, 1, 1
+    ids = range(1, 4 + more)
+    bands = [band] + [0] * (near_dedup.BANDS - 1)
+    rows = spark.createDataFrame([(k, bands, bytearray(signature[min(k, 4) - 1].tobytes())) for k in ids], "id long, bands array<long>, signature binary")
+    return rows, spark.createDataFrame([(k, " ".join({1: one, 2: two}.get(k, base))) for k in ids], "id long, text string")
+
+
+def test_links_go_on_after_the_most_alike(spark):
+    """The likeliest pair of a text is none; its link is its next likely one, which no forest needs."""
+    found = near_dedup.links(*one_bucket(spark, 8, 4)).collect()
+    assert (3, 1) in {(r["a"], r["b"]) for r in found}
+
+
 def test_near_repeated_ids_and_empty(spark):
     base = words(60, 5)
     rows = [(1, " ".join(base)), (1, " ".join(base)), (1, "quite another text of six words"), (2, edited(base, 1, 3)), (None, "x y z")]

@@ -10,9 +10,9 @@ pairs of 0.8 or more are links.
 Texts with equal weights are one text from the start, so copies never make pairs. A band's bucket is dealt to
 hands of about HAND texts. Of a hand, pairs whose signatures agree enough are likely; a forest of the most
 alike of them is verified, as many pairs as there are texts. Turn by turn, texts that links have not joined to
-the rest of their bucket are dealt anew as long as that joins many; in the last turn each of them meets every other text of the
-bucket, hand by hand, and is verified against the most alike of each hand. Pairs within a class that is
-joined already are left out. Links are joined to classes by label propagation in tables, cut at each step.
+the rest of their bucket are dealt anew as long as that joins many. Then each of them meets every other text of the
+bucket, hand by hand, and is verified against the most alike of each hand, then against the next, until no
+likely pair of two classes is left that has not been verified. Links are joined to classes by label propagation in tables, cut at each step.
 A class keeps its smallest doc_id.
 
 Defined cases: a null text counts as empty. Texts without words are alike only if their characters are the
@@ -37,8 +37,10 @@ from .common import cut, lean, mapped, pieces, settle, stored, table, text_or_em
 SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 32, 6
 #: Texts that are dealt together of a bucket; up to SMALL_HAND all pairs that are likely are taken. Dealing goes on for at most TURNS turns, while less than
-#: WORTH of what was apart still is; in the last turn what is apart meets all others of its bucket.
+#: WORTH of what was apart still is; then what is apart meets all others of its bucket.
 HAND, SMALL_HAND, TURNS, WORTH = 64, 8, 8, 0.7
+#: In the end, how many times as many partners of a hand a text is verified against as the time before.
+MORE = 16
 #: Least share of agreeing components of a likely pair: four standard deviations under SIMILAR.
 LIKELY = 0.68
 #: Pairs of one text that meet in one task; a text with more of them is copied to several tasks.
@@ -224,11 +226,10 @@ def forest(ids, labels, i, j, alike, turn: int) -> list[int]:
     return chosen
 
 
-def likely_pairs(hands: DataFrame, turn: int, last: bool = False) -> DataFrame:
+def likely_pairs(hands: DataFrame, turn: int) -> DataFrame:
     """a, b: pairs of texts of different classes in a hand that may be similar by their signatures.
 
-    Of a small hand all of them; of a larger one a forest that joins the most alike first. With last, for each text that is
-    not of its bucket's main class, the one that is most like it. hands: own, an array of (id, label, rest, signature).
+    Of a small hand all of them; of a larger one a forest that joins the most alike first. hands: own, an array of (id, label, signature).
     """
 
     def run(batches):
@@ -237,20 +238,14 @@ def likely_pairs(hands: DataFrame, turn: int, last: bool = False) -> DataFrame:
             for own in batch.column(0).to_pylist():
                 ids, labels = np.array([x["id"] for x in own]), np.array([x["label"] for x in own])
                 brief = np.frombuffer(b"".join(x["signature"] for x in own), np.uint8).reshape(len(own), -1)
-                rest = np.array([x["rest"] for x in own])
                 for lo in range(0, len(own), 256):  # so that memory stays bounded for any hand
                     agree = np.stack([(brief == row).mean(axis=1) for row in brief[lo : lo + 256]]) - 1 / 256
                     agree[labels[lo : lo + 256, None] == labels[None]] = 0
-                    if last and len(own) > SMALL_HAND:
-                        i = np.flatnonzero(rest[lo : lo + 256] & (agree.max(axis=1) >= LIKELY))
-                        j = agree[i].argmax(axis=1)
-                        i = i + lo
-                    else:
-                        i, j = np.nonzero(agree >= LIKELY)
-                        i, j, alike = i[j > i + lo] + lo, j[j > i + lo], agree[i, j][j > i + lo]
-                        if len(own) > SMALL_HAND:
-                            chosen = forest(ids, labels, i, j, alike, turn)
-                            i, j = i[chosen], j[chosen]
+                    i, j = np.nonzero(agree >= LIKELY)
+                    i, j, alike = i[j > i + lo] + lo, j[j > i + lo], agree[i, j][j > i + lo]
+                    if len(own) > SMALL_HAND:
+                        chosen = forest(ids, labels, i, j, alike, turn)
+                        i, j = i[chosen], j[chosen]
                     one += np.maximum(ids[i], ids[j]).tolist()
                     other += np.minimum(ids[i], ids[j]).tolist()
             yield pa.RecordBatch.from_arrays([pa.array(one, pa.int64()), pa.array(other, pa.int64())], ["a", "b"])
@@ -258,6 +253,37 @@ def likely_pairs(hands: DataFrame, turn: int, last: bool = False) -> DataFrame:
     return mapped(hands.select("own"), run, "a long, b long").distinct()
 
 
+def next_pairs(hands: DataFrame, most: int) -> DataFrame:
+    """a, b: for each text of a hand that is not of its bucket's main class, the most texts at home in the hand that are most like it.
+
+    Only likely pairs of two classes that are not verified yet. hands: own, an array of (id, label, rest, home, signature, met).
+    """
+
+    def run(batches):
+        for batch in batches:
+            one, other = [], []
+            for hand in batch.column(0):
+                own = hand.as_py()
+                ids, labels = np.array([x["id"] for x in own]), np.array([x["label"] for x in own])
+                brief = np.frombuffer(b"".join(x["signature"] for x in own), np.uint8).reshape(len(own), -1)
+                home = np.flatnonzero([x["home"] for x in own])
+                ids_home, labels_home, brief_home = ids[home], labels[home], brief[home]
+                for k, x in enumerate(own):
+                    if not x["rest"]:
+                        continue
+                    agree = (brief_home == brief[k]).mean(axis=1) - 1 / 256
+                    agree[labels_home == labels[k]] = 0
+                    if x["met"]:
+                        agree[np.isin(ids_home, x["met"])] = 0
+                    best = np.flatnonzero(agree >= LIKELY)
+                    for j in ids_home[best[np.argsort(-agree[best], kind="stable")[:most]]].tolist():
+                        one.append(max(x["id"], j))
+                        other.append(min(x["id"], j))
+            yield pa.RecordBatch.from_arrays([pa.array(one, pa.int64()), pa.array(other, pa.int64())], ["a", "b"])
+
+    return mapped(hands.select("own"), run, "a long, b long").distinct()
+
+
 def hands_of(n):
     """Hands that a bucket of n texts is dealt to; powers of two, so that most pairs come up alike in several bands."""
     return F.greatest(F.lit(1).cast("long"), F.pow(F.lit(2), F.ceil(F.log2(n / HAND))).cast("long"))
@@ -270,20 +296,29 @@ def dealt(members: DataFrame, turn: int) -> DataFrame:
     """
     members = members.filter((F.col("n") <= HAND) | (F.pmod(F.col("band"), F.lit(4)) == turn % 4))
     hand = F.pmod(F.xxhash64("id", F.lit(turn)), hands_of(F.col("n")))
-    return members.withColumn("hand", hand).groupBy("band", "hand").agg(F.collect_list(F.struct("id", "label", F.lit(False).alias("rest"), "signature")).alias("own")).filter(F.size("own") > 1)
+    return members.withColumn("hand", hand).groupBy("band", "hand").agg(F.collect_list(F.struct("id", "label", "signature")).alias("own")).filter(F.size("own") > 1)
 
 
-def dealt_to_all(members: DataFrame) -> DataFrame:
+def dealt_to_all(members: DataFrame, found: DataFrame) -> DataFrame:
     """Hands in which each text that is not of its bucket's main class meets all others of the bucket.
 
-    Buckets with the same main class go together, so a text and a class meet once, not in each band: the class is dealt, and
-    the text is in every hand of it. members also has main.
+    Buckets with the same main class go together, so a text and a class meet once, not in each band: every text has a hand
+    that is its home, and the text is in every other hand too. members also has main. found: pairs (a, b) that are verified.
     """
     rows = members.select("main", "id", "label", "signature", (F.col("label") != F.col("main")).alias("rest")).dropDuplicates(["main", "id"])
     sizes = rows.groupBy("main").agg(F.count(F.lit(1)).alias("n"))
     rows = rows.join(sizes, "main").withColumn("hands", hands_of(F.col("n") / 2))
-    hand = F.explode(F.when(F.col("rest"), F.sequence(F.lit(0).cast("long"), F.col("hands") - 1)).otherwise(F.array(F.pmod(F.xxhash64("id"), F.col("hands")))))
-    return rows.withColumn("hand", hand).groupBy("main", "hand").agg(F.collect_list(F.struct("id", "label", "rest", "signature")).alias("own")).filter(F.size("own") > 1)
+    both = found.select(F.col("a").alias("id"), F.col("b").alias("with")).unionByName(found.select(F.col("b").alias("id"), F.col("a").alias("with")))
+    both = both.join(rows.filter("rest").select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.collect_list("with").alias("with"))
+
+    def home(x):
+        return F.pmod(F.xxhash64(x), F.col("hands"))
+
+    hand = F.explode(F.when(F.col("rest"), F.sequence(F.lit(0).cast("long"), F.col("hands") - 1)).otherwise(F.array(home(F.col("id")))))
+    rows = rows.join(both, "id", "left").withColumn("hand", hand)
+    of_hand = F.when(F.col("rest"), F.filter("with", lambda x: home(x) == F.col("hand"))).alias("met")
+    own = F.struct("id", "label", "rest", (home(F.col("id")) == F.col("hand")).alias("home"), "signature", of_hand)
+    return rows.groupBy("main", "hand").agg(F.collect_list(own).alias("own")).filter(F.size("own") > 1)
 
 
 def nearby(edges: DataFrame) -> DataFrame:
@@ -296,27 +331,54 @@ def nearby(edges: DataFrame) -> DataFrame:
     return low.join(jump, "low", "left").select(F.col("a").alias("node"), F.coalesce("lower", "low").alias("label"))
 
 
+def apart(named: DataFrame) -> DataFrame:
+    """named (members with label) with main, the label that most of its bucket has, of buckets with several labels.
+
+    Buckets of up to SMALL_HAND texts are left out, as all their likely pairs were verified in the first turn.
+    """
+    named = named.filter(F.col("n") > SMALL_HAND)
+    sizes = named.groupBy("band", "label").agg(F.count(F.lit(1)).alias("size")).groupBy("band").agg(F.max_by("label", F.struct("size", "label")).alias("main"), F.count(F.lit(1)).alias("classes"))
+    return lean(named.join(sizes.filter("classes > 1").select("band", "main"), "band"))
+
+
+def labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """members with label, their own id if labels (node, label) has none."""
+    return members.join(labels, F.col("id") == F.col("node"), "left").withColumn("label", F.coalesce("label", "id")).drop("node")
+
+
+def merged(named: DataFrame, joined: DataFrame) -> DataFrame:
+    """named with labels that links between them join."""
+    ids = named.select("id", "label").distinct()
+    one, other = ids.select(F.col("id").alias("a"), F.col("label").alias("x")), ids.select(F.col("id").alias("b"), F.col("label").alias("y"))
+    edges = lean(joined.join(one, "a").join(other, "b").filter("x != y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())
+    lower = nearby(edges).select(F.col("node").alias("label"), F.col("label").alias("lower"))
+    return named.drop("main").join(lower, "label", "left").withColumn("label", F.coalesce("lower", "label")).drop("lower")
+
+
 def links(rows: DataFrame, texts: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """a, b, similarity: verified links between distinct texts, enough of them to join every class. rows: id, bands, signature."""
     members = members_of(rows)
     ids = cut(members.select("id").distinct())
     texts = stored(texts.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi"))
-    wanted, found, rest, last = likely_pairs(dealt(members.withColumn("label", F.col("id")), 0), 0), None, math.inf, False
+    wanted, found, rest, most = likely_pairs(dealt(members.withColumn("label", F.col("id")), 0), 0), None, math.inf, 0
     for turn in itertools.count(1):
         wanted = lean(wanted if found is None else wanted.join(found, ["a", "b"], "left_anti"))
+        if most and wanted.isEmpty():
+            return joined
         new = lean(verified(wanted, texts))
         found = new if found is None else found.unionByName(new)
         joined = found.filter(F.col("similarity") >= similar)
-        # Texts of a bucket that no link has joined yet meet others, in the last turn all others of the bucket.
-        named = members.filter("n > 2").join(nearby(joined), F.col("id") == F.col("node"), "left").withColumn("label", F.coalesce("label", "id")).drop("node")
-        sizes = named.groupBy("band", "label").agg(F.count(F.lit(1)).alias("size")).groupBy("band").agg(F.max_by("label", F.struct("size", "label")).alias("main"), F.count(F.lit(1)).alias("classes"))
-        named = lean(named.join(sizes.filter("classes > 1").select("band", "main"), "band"))
+        # Texts of a bucket that no link has joined yet meet others, in the end all others of the bucket.
+        named = apart(merged(named, joined) if most else labelled(members, nearby(joined)))
         before, rest = rest, named.filter("label != main").count()
         settle(members.sparkSession)
-        if last or not rest:
+        if not rest:
             return joined
-        last = rest > WORTH * before or turn == TURNS
-        wanted = likely_pairs(dealt_to_all(named) if last else dealt(named, turn), turn, last)
+        if not most and (rest > WORTH * before or turn == TURNS):
+            most, named = 1, apart(labelled(members, classes(joined)))
+        elif most:
+            most *= MORE
+        wanted = next_pairs(dealt_to_all(named, found), most) if most else likely_pairs(dealt(named, turn), turn)
 
 
 def classes(edges: DataFrame) -> DataFrame:
