@@ -179,6 +179,20 @@ def test_links_go_on_after_the_most_alike(spark):
     assert (3, 1) in {(r["a"], r["b"]) for r in found}
 
 
+def test_large_buckets_of_each_band_are_dealt(spark, monkeypatch):
+    """A bucket of several hands in the last quarter of the bands."""
+    own, hands = near_dedup.dealt, []
+
+    def dealt(members, turn):
+        found = own(members, turn)
+        hands.append(found.count())
+        return found
+
+    monkeypatch.setattr(near_dedup, "dealt", dealt)
+    near_dedup.links(*one_bucket(spark, 100, 7))
+    assert hands[:3] == [0, 0, 0] and hands[3] == 2
+
+
 def test_near_repeated_ids_and_empty(spark):
     base = words(60, 5)
     rows = [(1, " ".join(base)), (1, " ".join(base)), (1, "quite another text of six words"), (2, edited(base, 1, 3)), (None, "x y z")]

@@ -39,6 +39,8 @@ BANDS, ROWS = 32, 6
 #: Texts that are dealt together of a bucket; up to SMALL_HAND all pairs that are likely are taken. Dealing goes on for at most TURNS turns, while less than
 #: WORTH of what was apart still is; then what is apart meets all others of its bucket.
 HAND, SMALL_HAND, TURNS, WORTH = 64, 8, 8, 0.7
+#: Parts of the bands that deal their large buckets by turns; turns go on until each was dealt.
+QUARTERS = 4
 #: In the end, how many times as many partners of a hand a text is verified against as the time before.
 MORE = 16
 #: Least share of agreeing components of a likely pair: four standard deviations under SIMILAR.
@@ -293,8 +295,9 @@ def dealt(members: DataFrame, turn: int) -> DataFrame:
     """Each bucket's texts (band, id, n, label, signature) in hands of about HAND texts, by a hash that is new each turn.
 
     Of the buckets that make several hands, a quarter of the bands has its turn: similar texts share about eight bands.
+    `links` deals each quarter once at least, and what is apart then meets all others in any band.
     """
-    members = members.filter((F.col("n") <= HAND) | (F.pmod(F.col("band"), F.lit(4)) == turn % 4))
+    members = members.filter((F.col("n") <= HAND) | (F.pmod(F.col("band"), F.lit(QUARTERS)) == turn % QUARTERS))
     hand = F.pmod(F.xxhash64("id", F.lit(turn)), hands_of(F.col("n")))
     return members.withColumn("hand", hand).groupBy("band", "hand").agg(F.collect_list(F.struct("id", "label", "signature")).alias("own")).filter(F.size("own") > 1)
 
@@ -370,11 +373,12 @@ def links(rows: DataFrame, texts: DataFrame, similar: float = SIMILAR) -> DataFr
         joined = found.filter(F.col("similarity") >= similar)
         # Texts of a bucket that no link has joined yet meet others, in the end all others of the bucket.
         named = apart(merged(named, joined) if most else labelled(members, nearby(joined)))
-        before, rest = rest, named.filter("label != main").count()
+        before, (rest, large) = rest, named.agg(F.count_if(F.col("label") != F.col("main")), F.max("n")).first()
         settle(members.sparkSession)
         if not rest:
             return joined
-        if not most and (rest > WORTH * before or turn == TURNS):
+        dealt_whole = turn >= QUARTERS or large <= HAND
+        if not most and (dealt_whole and rest > WORTH * before or turn == TURNS):
             most, named = 1, apart(labelled(members, classes(joined)))
         elif most:
             most *= MORE
