@@ -34,25 +34,30 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def lean(df: DataFrame, rows: int = 10_000) -> DataFrame:
-    """cut, and then as few partitions as its rows need: a small table that goes on with many makes as many small shuffle files at each step."""
-    df = cut(df)
-    return df.coalesce(max(1, -(-df.count() // rows)))
-
-
 def settle(spark: SparkSession) -> None:
     """Has the driver drop what nothing refers to any more, so that Spark's cleaner removes the shuffle files of steps that are over."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Like cut, for texts: as Parquet in the same folder, which takes less room and is read by column."""
+def stored(df: DataFrame, folder: str | None = None) -> DataFrame:
+    """Like cut, as Parquet: less room, read by column, and known by its own size, where the size of a checkpoint is guessed from the plan before it (a guess that joins multiply at each step of a loop)."""
     spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    path = f"{spark.sparkContext.getCheckpointDir()}/stored-{uuid.uuid4().hex}"
+    path = f"{folder or scratch(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder for `stored` in the shared checkpoint folder."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/stored-{uuid.uuid4().hex}"
+
+
+def discard(spark: SparkSession, folder: str) -> None:
+    """Removes a folder of `stored` tables that nothing reads any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 #: Rows of a batch that goes to Python, so that a batch of long texts stays small; a smaller setting of the session is kept.
@@ -86,6 +91,14 @@ def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """One row for each doc_id and text; a null text is the empty one. Which of such rows, does not depend on their order."""
+    names, plain = docs.columns, [f.name for f in docs.schema if f.name not in ("doc_id", "text") and "map<" not in f.dataType.simpleString()]
+    order = F.struct(F.xxhash64(*plain) if plain else F.lit(0), F.col("text").isNull())
+    best = docs.groupBy(F.col("doc_id").alias("_id"), text_or_empty().alias("_text")).agg(F.min_by(F.struct(*names), order).alias("_row"))
+    return best.select("_row.*")
+
+
 #: Stripped from both ends of a word before it is hashed.
 EDGES = " \t\n\r.,;:!?\"'()[]{}<>|*%&$#@~^_=+-/\\`«»„“”‚‘’…·"
 

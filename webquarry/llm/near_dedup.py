@@ -7,17 +7,19 @@ texts agree in a component with the probability Jaccard similarity J_P of their
 signature give candidates; J_P of every candidate pair is then computed exactly from the whole texts, and
 pairs of 0.8 or more are links.
 
-Texts with equal weights are one text from the start, so copies never make pairs. A band's bucket is dealt to
-hands of about HAND texts. Of a hand, pairs whose signatures agree enough are likely; a forest of the most
-alike of them is verified, as many pairs as there are texts. Turn by turn, texts that links have not joined to
-the rest of their bucket are dealt anew as long as that joins many. Then each of them meets every other text of the
-bucket, hand by hand, and is verified against the most alike of each hand, then against the next, until no
-likely pair of two classes is left that has not been verified. Links are joined to classes by label propagation in tables, cut at each step.
-A class keeps its smallest doc_id.
+Texts with equal weights are one text from the start, so copies never make pairs. Every two texts of a band's bucket
+are compared by their signatures, in units of bounded size, but where both have the same label by then. Turn by turn each text is verified
+against the most alike text of another label in any of its buckets, and against the one with the smallest id, so that a turn verifies at most
+two pairs for each text; links are joined to labels, by propagation in tables that are cut at each step. A large bucket is
+dealt to hands in the first turns, with its smallest text in each, which joins most of it; then the texts that are apart from
+its main label meet the whole bucket, a tile of the ones against a tile of the others at a time. Texts go on to their next
+likely partners, more in each turn, until no bucket has a likely pair of two classes that has not been verified. A bucket without
+links is thus compared whole: n * n / 2 signatures for n distinct texts that share a band, and no more.
+A class keeps its smallest doc_id. Ties go by id, so a run again gives the same rows.
 
 Defined cases: a null text counts as empty. Texts without words are alike only if their characters are the
 same. A text of one to four words has one shingle, all its words. Repeated rows are copies of each other;
-one stays. An empty table gives an empty result. Extra columns are not read by `near_dedup`, and pass
+one stays. A row without doc_id is a document like any other; it stays only if its class has none with an id, and class_id is null then. An empty table gives an empty result. Extra columns are not read by `near_dedup`, and pass
 through `stage`.
 """
 
@@ -25,24 +27,21 @@ from __future__ import annotations
 
 import hashlib
 import itertools
-import math
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, lean, mapped, pieces, settle, stored, table, text_or_empty, word_lists, WordHashes
+from .common import cut, discard, mapped, one_of_each, pieces, scratch, settle, stored, table, text_or_empty, word_lists, WordHashes
 
 SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 32, 6
-#: Texts that are dealt together of a bucket; up to SMALL_HAND all pairs that are likely are taken. Dealing goes on for at most TURNS turns, while less than
-#: WORTH of what was apart still is; then what is apart meets all others of its bucket.
-HAND, SMALL_HAND, TURNS, WORTH = 64, 8, 8, 0.7
-#: Parts of the bands that deal their large buckets by turns; turns go on until each was dealt.
-QUARTERS = 4
-#: In the end, how many times as many partners of a hand a text is verified against as the time before.
-MORE = 16
+#: Texts of a bucket that meet at once in the first turns; a larger bucket is dealt to hands of so many in DEALT_TURNS turns.
+HAND, DEALT_TURNS = 256, 2
+#: Texts on each side of a unit after that, and how many times as many partners a text is then verified against as the turn before.
+TILE, MORE = 1024, 8
 #: Least share of agreeing components of a likely pair: four standard deviations under SIMILAR.
 LIKELY = 0.68
 #: Pairs of one text that meet in one task; a text with more of them is copied to several tasks.
@@ -175,12 +174,14 @@ def sketched(docs: DataFrame) -> DataFrame:
     return mapped(rows, run, "doc_id long, row long, text_key long, same binary, bands array<long>, signature binary")
 
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, texts: DataFrame, folder: str | None = None) -> DataFrame:
     """pairs (a, b) with their J_P. texts: id, text. A text with many pairs is copied to as many tasks as they need."""
-    many = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / F.lit(SALT_PAIRS)).cast("int").alias("parts"))
-    left = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(many, "b")
-    left = left.withColumn("part", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int")).drop("parts")
-    right = many.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    heavy = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / F.lit(SALT_PAIRS)).cast("int").alias("parts")).filter("parts > 1")
+    heavy = small(stored(heavy, folder))
+    part = F.pmod(F.xxhash64("a"), F.coalesce("parts", F.lit(1))).cast("int")
+    left = pairs.join(heavy, "b", "left").withColumn("part", part).drop("parts").join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
+    parts = F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))
+    right = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")).join(heavy, "b", "left").withColumn("part", parts).drop("parts")
 
     def run(batches):
         shingles = Shingles()
@@ -201,127 +202,130 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return mapped(left.join(right, ["b", "part"]).select("a", "b", "text_a", "text_b"), run, "a long, b long, similarity double")
 
 
+def small(df: DataFrame) -> DataFrame:
+    """df, marked for broadcast if it is a checked size; a join of the same result beyond."""
+    return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
+
+
 def members_of(rows: DataFrame) -> DataFrame:
-    """band, id, n, signature: texts in buckets of n > 1 texts."""
+    """band, id, n, hub, signature: texts in buckets of n > 1 texts, the smallest of which is the hub."""
     keyed = rows.select("id", F.explode("bands").alias("band")).filter("band != 0")
-    shared = keyed.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    shared = keyed.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("hub")).filter("n > 1")
     return cut(keyed.join(shared, "band").join(rows.select("id", "signature"), "id"))
 
 
-def forest(ids, labels, i, j, alike, turn: int) -> list[int]:
-    """Numbers of pairs (i, j) that join their labels, the most alike first; in later turns others among those about as much alike."""
-    if turn:
-        noise = mixed(ids[i].astype(U) * U(31) + ids[j].astype(U) + U(turn))
-        alike = alike + 0.05 * (noise >> U(40)).astype(float) / 2**24
-    root, chosen = {x: x for x in labels.tolist()}, []
-
-    def top(x):
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    for k in np.argsort(-alike, kind="stable").tolist():
-        x, y = top(labels[i[k]].item()), top(labels[j[k]].item())
-        if x != y:
-            root[max(x, y)] = min(x, y)
-            chosen.append(k)
-    return chosen
-
-
-def likely_pairs(hands: DataFrame, turn: int) -> DataFrame:
-    """a, b: pairs of texts of different classes in a hand that may be similar by their signatures.
-
-    Of a small hand all of them; of a larger one a forest that joins the most alike first. hands: own, an array of (id, label, signature).
-    """
-
-    def run(batches):
-        for batch in batches:
-            one, other = [], []
-            for own in batch.column(0).to_pylist():
-                ids, labels = np.array([x["id"] for x in own]), np.array([x["label"] for x in own])
-                brief = np.frombuffer(b"".join(x["signature"] for x in own), np.uint8).reshape(len(own), -1)
-                for lo in range(0, len(own), 256):  # so that memory stays bounded for any hand
-                    agree = np.stack([(brief == row).mean(axis=1) for row in brief[lo : lo + 256]]) - 1 / 256
-                    agree[labels[lo : lo + 256, None] == labels[None]] = 0
-                    i, j = np.nonzero(agree >= LIKELY)
-                    i, j, alike = i[j > i + lo] + lo, j[j > i + lo], agree[i, j][j > i + lo]
-                    if len(own) > SMALL_HAND:
-                        chosen = forest(ids, labels, i, j, alike, turn)
-                        i, j = i[chosen], j[chosen]
-                    one += np.maximum(ids[i], ids[j]).tolist()
-                    other += np.minimum(ids[i], ids[j]).tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(one, pa.int64()), pa.array(other, pa.int64())], ["a", "b"])
-
-    return mapped(hands.select("own"), run, "a long, b long").distinct()
-
+def partners(units: DataFrame, most: int) -> DataFrame:
+    """band, id, partner, alike: for each text of a unit that looks for partners, those at home in the unit that may be similar to it by their signatures.
 
-def next_pairs(hands: DataFrame, most: int) -> DataFrame:
-    """a, b: for each text of a hand that is not of its bucket's main class, the most texts at home in the hand that are most like it.
-
-    Only likely pairs of two classes that are not verified yet. hands: own, an array of (id, label, rest, home, signature, met).
+    Only partners of other labels that it has not been verified against: the `most` most alike, and the one with the smallest id.
+    units: band, own, an array of (id, label, home, looks, signature, met).
     """
 
     def run(batches):
         for batch in batches:
-            one, other = [], []
-            for hand in batch.column(0):
-                own = hand.as_py()
+            out: list = [[], [], [], []]
+            for band, unit in zip(batch.column(0).to_pylist(), batch.column(1)):
+                own = sorted(unit.as_py(), key=lambda x: x["id"])  # no order of arrival decides anything
                 ids, labels = np.array([x["id"] for x in own]), np.array([x["label"] for x in own])
                 brief = np.frombuffer(b"".join(x["signature"] for x in own), np.uint8).reshape(len(own), -1)
                 home = np.flatnonzero([x["home"] for x in own])
-                ids_home, labels_home, brief_home = ids[home], labels[home], brief[home]
+                at_home, ids_home, labels_home = brief[home], ids[home], labels[home]
                 for k, x in enumerate(own):
-                    if not x["rest"]:
+                    if not x["looks"]:
+                        continue
+                    others = np.flatnonzero(labels_home != x["label"])
+                    if not len(others):
                         continue
-                    agree = (brief_home == brief[k]).mean(axis=1) - 1 / 256
-                    agree[labels_home == labels[k]] = 0
+                    alike = np.concatenate([(at_home[some] == brief[k]).mean(axis=1) for some in np.array_split(others, -(-len(others) // 4096))]) - 1 / 256
+                    likely = alike >= LIKELY
                     if x["met"]:
-                        agree[np.isin(ids_home, x["met"])] = 0
-                    best = np.flatnonzero(agree >= LIKELY)
-                    for j in ids_home[best[np.argsort(-agree[best], kind="stable")[:most]]].tolist():
-                        one.append(max(x["id"], j))
-                        other.append(min(x["id"], j))
-            yield pa.RecordBatch.from_arrays([pa.array(one, pa.int64()), pa.array(other, pa.int64())], ["a", "b"])
+                        likely &= ~np.isin(ids_home[others], x["met"])
+                    others, alike = others[likely], alike[likely]
+                    chosen = np.argsort(-alike, kind="stable")[:most]
+                    if len(others) > most and 0 not in chosen:
+                        chosen = np.append(chosen, 0)
+                    for column, values in zip(out, ([band] * len(chosen), [x["id"]] * len(chosen), ids_home[others[chosen]].tolist(), alike[chosen].tolist())):
+                        column += values
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.float64()))], ["band", "id", "partner", "alike"])
 
-    return mapped(hands.select("own"), run, "a long, b long").distinct()
+    return mapped(units.select("band", "own"), run, "band long, id long, partner long, alike double")
 
 
-def hands_of(n):
-    """Hands that a bucket of n texts is dealt to; powers of two, so that most pairs come up alike in several bands."""
-    return F.greatest(F.lit(1).cast("long"), F.pow(F.lit(2), F.ceil(F.log2(n / HAND))).cast("long"))
+def unit_of(keys: list, **others):
+    columns = [F.col(c) if c not in others else others[c].alias(c) for c in ("id", "label", "home", "looks", "signature", "met")]
+    return lambda rows: rows.groupBy(*keys).agg(F.collect_list(F.struct(*columns)).alias("own")).filter(F.size("own") > 1).select("band", "own")
 
 
-def dealt(members: DataFrame, turn: int) -> DataFrame:
-    """Each bucket's texts (band, id, n, label, signature) in hands of about HAND texts, by a hash that is new each turn.
+def dealt(named: DataFrame, turn: int) -> DataFrame:
+    """Units of a first turn: a bucket of up to HAND texts, or hands of a larger one, dealt by a hash that is new each turn, with the hub in each."""
+    hands = F.ceil(F.col("n") / HAND).cast("int")
+    own = F.pmod(F.xxhash64("id", F.lit(turn)), hands).cast("int")
+    hand = F.explode(F.when(F.col("id") == F.col("hub"), F.sequence(F.lit(0), hands - 1)).otherwise(F.array(own)))
+    yes = F.lit(True)
+    return unit_of(["band", "hand"], home=yes, looks=yes)(named.withColumn("hand", hand))
 
-    Of the buckets that make several hands, a quarter of the bands has its turn: similar texts share about eight bands.
-    `links` deals each quarter once at least, and what is apart then meets all others in any band.
-    """
-    members = members.filter((F.col("n") <= HAND) | (F.pmod(F.col("band"), F.lit(QUARTERS)) == turn % QUARTERS))
-    hand = F.pmod(F.xxhash64("id", F.lit(turn)), hands_of(F.col("n")))
-    return members.withColumn("hand", hand).groupBy("band", "hand").agg(F.collect_list(F.struct("id", "label", "signature")).alias("own")).filter(F.size("own") > 1)
 
+def exhaustive(named: DataFrame) -> DataFrame:
+    """Units in which each text that is not of its bucket's main label meets every text of the bucket.
 
-def dealt_to_all(members: DataFrame, found: DataFrame) -> DataFrame:
-    """Hands in which each text that is not of its bucket's main class meets all others of the bucket.
-
-    Buckets with the same main class go together, so a text and a class meet once, not in each band: every text has a hand
-    that is its home, and the text is in every other hand too. members also has main. found: pairs (a, b) that are verified.
+    Of a bucket with several tiles' worth of texts, each tile of those at home meets each tile of those that look.
     """
-    rows = members.select("main", "id", "label", "signature", (F.col("label") != F.col("main")).alias("rest")).dropDuplicates(["main", "id"])
-    sizes = rows.groupBy("main").agg(F.count(F.lit(1)).alias("n"))
-    rows = rows.join(sizes, "main").withColumn("hands", hands_of(F.col("n") / 2))
-    both = found.select(F.col("a").alias("id"), F.col("b").alias("with")).unionByName(found.select(F.col("b").alias("id"), F.col("a").alias("with")))
-    both = both.join(rows.filter("rest").select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.collect_list("with").alias("with"))
+    sizes = named.groupBy("band", "label").agg(F.count(F.lit(1)).alias("size")).groupBy("band")
+    sizes = sizes.agg(F.max_by("label", F.struct("size", "label")).alias("main"), F.count(F.lit(1)).alias("classes"), (F.sum("size") - F.max("size")).alias("rest")).filter("classes > 1")
+    named = named.join(cut(sizes.select("band", "main", "rest")), "band").withColumns({"rest_of": F.ceil(F.col("rest") / TILE).cast("int"), "hands": F.ceil(F.col("n") / TILE).cast("int")})
+    looks, whole = F.col("label") != F.col("main"), (F.col("hands") == 1)
+    here, there = F.pmod(F.xxhash64("id"), F.col("hands")).cast("int"), F.pmod(F.xxhash64("id", F.lit(1)), F.col("rest_of")).cast("int")
+
+    def place(hand, part, home, looking):
+        return F.struct(hand.alias("hand"), part.alias("part"), home.alias("home"), looking.alias("looks"))
 
-    def home(x):
-        return F.pmod(F.xxhash64(x), F.col("hands"))
+    yes, no, zero = F.lit(True), F.lit(False), F.lit(0)
+    as_home = F.transform(F.sequence(zero, F.col("rest_of") - 1), lambda part: place(here, part, yes, no))
+    as_looking = F.transform(F.sequence(zero, F.col("hands") - 1), lambda hand: place(hand, there, no, yes))
+    at = F.when(whole, F.array(place(zero, zero, yes, looks))).when(looks, F.concat(as_home, as_looking)).otherwise(as_home)
+    return unit_of(["band", "hand", "part"])(named.withColumn("at", F.explode(at)).select("band", "id", "label", "signature", "met", "at.*"))
 
-    hand = F.explode(F.when(F.col("rest"), F.sequence(F.lit(0).cast("long"), F.col("hands") - 1)).otherwise(F.array(home(F.col("id")))))
-    rows = rows.join(both, "id", "left").withColumn("hand", hand)
-    of_hand = F.when(F.col("rest"), F.filter("with", lambda x: home(x) == F.col("hand"))).alias("met")
-    own = F.struct("id", "label", "rest", (home(F.col("id")) == F.col("hand")).alias("home"), "signature", of_hand)
-    return rows.groupBy("main", "hand").agg(F.collect_list(own).alias("own")).filter(F.size("own") > 1)
+
+def links(rows: DataFrame, texts: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """a, b, similarity: verified links between distinct texts, enough of them to join every class. rows: id, bands, signature."""
+    spark = rows.sparkSession
+    folder, result = scratch(spark), scratch(spark)
+    members = members_of(rows)
+    ids = stored(members.select("id").distinct(), folder)
+    texts = stored(texts.join(small(ids), "id", "left_semi"), folder)
+    members = members.withColumns({"label": F.col("id"), "met": F.array().cast("array<long>")})
+    found = None
+    for turn in itertools.count():
+        # Buckets of several hands are dealt in the first turns; then they are met whole, like the others from the start.
+        units = dealt(members, turn) if turn < DEALT_TURNS else exhaustive(members)
+        most = MORE ** max(0, turn - 1)
+        offers = cut(partners(units, most))
+        rank = F.row_number().over(W.partitionBy("id").orderBy(F.col("alike").desc(), "partner"))
+        best = offers.select("id", "partner", "alike").distinct().withColumns({"rank": rank, "least": F.min("partner").over(W.partitionBy("id"))})
+        best = best.filter((F.col("rank") <= most) | (F.col("partner") == F.col("least")))
+        wanted = stored(best.select(F.greatest("id", "partner").alias("a"), F.least("id", "partner").alias("b")).distinct(), folder)
+        if not wanted.isEmpty():
+            new = stored(verified(wanted, texts, folder), folder)
+            found = new if found is None else found.unionByName(new)
+        elif turn >= DEALT_TURNS or members.filter(F.col("n") > HAND).isEmpty():
+            done = stored(found.filter(F.col("similarity") >= similar) if found is not None else wanted.withColumn("similarity", F.lit(1.0)), result)
+            discard(spark, folder)
+            return done
+        # What is over: buckets that were met whole and offered nothing.
+        open_bands = offers.select("band").distinct()
+        later = F.lit(turn < DEALT_TURNS) & (F.col("n") > HAND)
+        again = members.drop("label", "met").join(open_bands.withColumn("open", F.lit(True)), "band", "left").filter(F.col("open") | later).drop("open")
+        members = cut(again)
+        if found is None:
+            members = members.withColumns({"label": F.col("id"), "met": F.array().cast("array<long>")})
+            continue
+        labels = stored(classes(found.filter(F.col("similarity") >= similar), folder), folder)
+        failed = found.filter(F.col("similarity") < similar)
+        met = failed.select(F.col("a").alias("id"), F.col("b").alias("with")).unionByName(failed.select(F.col("b").alias("id"), F.col("a").alias("with")))
+        met = stored(met.groupBy("id").agg(F.collect_list("with").alias("met")), folder)
+        members = members.join(small(labels), F.col("id") == F.col("node"), "left").drop("node").withColumn("label", F.coalesce("label", "id"))
+        members = members.join(small(met), "id", "left")
+        settle(members.sparkSession)
 
 
 def nearby(edges: DataFrame) -> DataFrame:
@@ -334,70 +338,22 @@ def nearby(edges: DataFrame) -> DataFrame:
     return low.join(jump, "low", "left").select(F.col("a").alias("node"), F.coalesce("lower", "low").alias("label"))
 
 
-def apart(named: DataFrame) -> DataFrame:
-    """named (members with label) with main, the label that most of its bucket has, of buckets with several labels.
-
-    Buckets of up to SMALL_HAND texts are left out, as all their likely pairs were verified in the first turn.
-    """
-    named = named.filter(F.col("n") > SMALL_HAND)
-    sizes = named.groupBy("band", "label").agg(F.count(F.lit(1)).alias("size")).groupBy("band").agg(F.max_by("label", F.struct("size", "label")).alias("main"), F.count(F.lit(1)).alias("classes"))
-    return lean(named.join(sizes.filter("classes > 1").select("band", "main"), "band"))
-
-
-def labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """members with label, their own id if labels (node, label) has none."""
-    return members.join(labels, F.col("id") == F.col("node"), "left").withColumn("label", F.coalesce("label", "id")).drop("node")
-
-
-def merged(named: DataFrame, joined: DataFrame) -> DataFrame:
-    """named with labels that links between them join."""
-    ids = named.select("id", "label").distinct()
-    one, other = ids.select(F.col("id").alias("a"), F.col("label").alias("x")), ids.select(F.col("id").alias("b"), F.col("label").alias("y"))
-    edges = lean(joined.join(one, "a").join(other, "b").filter("x != y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())
-    lower = nearby(edges).select(F.col("node").alias("label"), F.col("label").alias("lower"))
-    return named.drop("main").join(lower, "label", "left").withColumn("label", F.coalesce("lower", "label")).drop("lower")
-
-
-def links(rows: DataFrame, texts: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """a, b, similarity: verified links between distinct texts, enough of them to join every class. rows: id, bands, signature."""
-    members = members_of(rows)
-    ids = cut(members.select("id").distinct())
-    texts = stored(texts.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi"))
-    wanted, found, rest, most = likely_pairs(dealt(members.withColumn("label", F.col("id")), 0), 0), None, math.inf, 0
-    for turn in itertools.count(1):
-        wanted = lean(wanted if found is None else wanted.join(found, ["a", "b"], "left_anti"))
-        if most and wanted.isEmpty():
-            return joined
-        new = lean(verified(wanted, texts))
-        found = new if found is None else found.unionByName(new)
-        joined = found.filter(F.col("similarity") >= similar)
-        # Texts of a bucket that no link has joined yet meet others, in the end all others of the bucket.
-        named = apart(merged(named, joined) if most else labelled(members, nearby(joined)))
-        before, (rest, large) = rest, named.agg(F.count_if(F.col("label") != F.col("main")), F.max("n")).first()
-        settle(members.sparkSession)
-        if not rest:
-            return joined
-        dealt_whole = turn >= QUARTERS or large <= HAND
-        if not most and (dealt_whole and rest > WORTH * before or turn == TURNS):
-            most, named = 1, apart(labelled(members, classes(joined)))
-        elif most:
-            most *= MORE
-        wanted = next_pairs(dealt_to_all(named, found), most) if most else likely_pairs(dealt(named, turn), turn)
-
-
-def classes(edges: DataFrame) -> DataFrame:
+def classes(edges: DataFrame, folder: str | None = None) -> DataFrame:
     """node, label: the smallest id that can be reached, for each end of a link (a, b). Nodes are joined by what is nearby first; the labels that links still join are few."""
-    near = lean(nearby(edges))
+    near = stored(nearby(edges), folder)
     one, other = near.select(F.col("node").alias("a"), F.col("label").alias("x")), near.select(F.col("node").alias("b"), F.col("label").alias("y"))
     between = edges.select("a", "b").join(one, "a").join(other, "b").filter("x != y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))
-    both = lean(between.unionByName(between.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = lean(both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("node"), F.least("a", "low").alias("label")))
+    between = stored(between, folder)
+    if between.isEmpty():
+        return near
+    both = stored(between.unionByName(between.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), folder)
+    labels = stored(both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("node"), F.least("a", "low").alias("label")), folder)
     moved = not labels.isEmpty()
     while moved:
         step = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         step = labels.join(step, "node").select("node", F.col("label").alias("before"), F.least("label", "near").alias("label"))
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        step = lean(step.join(jump, "label", "left").select("node", "before", F.least("label", F.coalesce("further", "label")).alias("label")))
+        step = stored(step.join(jump, "label", "left").select("node", "before", F.least("label", F.coalesce("further", "label")).alias("label")), folder)
         moved = not step.filter("label < before").isEmpty()
         labels = step.select("node", "label")
         settle(labels.sparkSession)
@@ -412,25 +368,35 @@ def near_dedup(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = cut(sketched(docs))
-    repeated = cut(rows.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("again")))
+    repeated = cut(rows.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("again")))
+    # Rows without an id, or with one that several rows have, go by a hash of id and text.
+    hashed = F.xxhash64("doc_id", "text_key")
     texts = docs.select("doc_id", text_key().alias("text_key"), text_or_empty().alias("text"))
     if repeated.isEmpty():
-        rows, texts = rows.withColumn("id", F.col("doc_id")), texts.select(F.col("doc_id").alias("id"), "text")
-    else:  # an id that several rows have: those rows go by a hash of id and text
-        own = F.when(F.col("hit"), F.xxhash64("doc_id", "text_key")).otherwise(F.col("doc_id"))
+        own = F.coalesce("doc_id", hashed)
+        nameless = not rows.filter("doc_id is null").isEmpty()
+        rows, texts = rows.withColumn("id", own), texts.withColumn("id", own).select("id", "text")
+    else:
+        own, nameless = F.when(F.col("hit") | F.col("doc_id").isNull(), hashed).otherwise(F.col("doc_id")), True
 
         def with_id(df):
-            return df.join(repeated.withColumn("hit", F.lit(True)), df["doc_id"].eqNullSafe(F.col("again")), "left").withColumn("id", own).drop("again", "hit")
-
-        rows, texts = cut(with_id(rows)), with_id(texts).groupBy("id").agg(F.first("text").alias("text"))
-    first = rows.groupBy("same").agg(F.min(F.struct("id", "row")).alias("first"), F.min("doc_id").alias("copy_of"))
-    first = cut(first.select("same", "copy_of", F.col("first.id").alias("head"), F.col("first.row").alias("row")))
+            return df.join(small(repeated).withColumn("hit", F.lit(True)), F.col("doc_id") == F.col("again"), "left").withColumn("id", own).drop("again", "hit")
+
+        rows, texts = cut(with_id(rows)), with_id(texts).select("id", "text")
+    if nameless:
+        texts = texts.groupBy("id").agg(F.min("text").alias("text"))
+    # One row for each distinct text; a null id comes after any other.
+    keep = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row")
+    first = rows.groupBy("same").agg(F.min(F.struct("id", "row")).alias("first"), F.min("doc_id").alias("copy_of"), F.min(keep).alias("keep"), F.count(F.lit(1)).alias("size"))
+    first = cut(first.select("same", "copy_of", "keep", "size", F.col("first.id").alias("head"), F.col("first.row").alias("row")))
     heads = rows.join(first.select("row"), "row", "left_semi").select("id", "bands", "signature")
-    labels = classes(links(heads, texts, similar))
-    named = first.drop("row").join(labels, F.col("head") == F.col("node"), "left").select("same", "copy_of", F.coalesce("label", "head").alias("label"))
-    rows = rows.select("doc_id", "row", "text_key", "same").join(named, "same")
-    groups = rows.groupBy(F.col("label").alias("class")).agg(F.min(F.struct("doc_id", "row")).alias("keep"), F.count(F.lit(1)).alias("group_size"))
-    found = rows.join(groups, F.col("label").eqNullSafe(F.col("class")))
+    labels = cut(classes(links(heads, texts, similar)))
+    # Only classes of several texts are summed; the tables are cut, so that a large class or group of copies is a skewed join that Spark splits.
+    named = cut(first.join(labels, F.col("head") == F.col("node")).select("same", "label", "keep", "size"))
+    groups = cut(named.groupBy("label").agg(F.min("keep").alias("class_keep"), F.sum("size").alias("class_size")))
+    named = cut(named.join(groups, "label").select("same", "class_keep", "class_size"))
+    final = cut(first.join(named, "same", "left").select("same", "copy_of", F.coalesce("class_keep", "keep").alias("keep"), F.coalesce("class_size", "size").alias("group_size")))
+    found = rows.select("doc_id", "row", "text_key", "same").join(final, "same")
     return found.select("doc_id", F.col("keep.doc_id").alias("class_id"), "copy_of", "group_size", (F.col("row") == F.col("keep.row")).alias("kept"), "text_key")
 
 
@@ -439,12 +405,12 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     decided = cut(near_dedup(docs))
     keys = [F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key")]
     gone = decided.filter("not kept").select(*keys).distinct()
-    stays = decided.filter("kept").select(*keys).join(gone, ["gone_id", "gone_key"], "left_semi")
+    stays = decided.filter("kept").select(*keys).join(gone.withColumnsRenamed({"gone_id": "i", "gone_key": "k"}), F.col("gone_id").eqNullSafe(F.col("i")) & (F.col("gone_key") == F.col("k")), "left_semi")
     same = docs["doc_id"].cast("long").eqNullSafe(F.col("gone_id")) & (text_key() == F.col("gone_key"))
     left = docs.join(gone, same, "left_anti")
     if stays.isEmpty():
         return left
-    return left.unionByName(docs.join(stays, same, "left_semi").dropDuplicates(["doc_id", "text"]))
+    return left.unionByName(one_of_each(docs.join(stays, same, "left_semi")))
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
