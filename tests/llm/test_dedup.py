@@ -176,18 +176,21 @@ def test_near_gives_the_same_rows_again(spark):
     assert sorted(map(tuple, one)) == sorted(map(tuple, two))
 
 
-def test_unlike_texts_are_compared_once_a_bucket(spark, monkeypatch):
-    """A bucket of n unlike texts: no pair is verified, and the units hold no text more often than their tiles ask for."""
+def test_units_of_unlike_texts(spark, monkeypatch):
+    """A bucket of n unlike texts: units hold no text more often than their tiles ask for, and no pair comes of them."""
     monkeypatch.setattr(near_dedup, "HAND", 32)
     monkeypatch.setattr(near_dedup, "TILE", 64)
     signature = np.random.default_rng(1).integers(0, 256, (300, near_dedup.BANDS * near_dedup.ROWS)).astype(np.uint8)
-    members = spark.createDataFrame([(5, k, 300, 0, bytearray(signature[k].tobytes())) for k in range(300)], "band long, id long, n long, hub long, signature binary")
+    bands = [5] + [0] * (near_dedup.BANDS - 1)
+    rows = [(5, k, 300, 0, bytearray(signature[k].tobytes()), bands, 2400, bytearray(np.arange(k, k + 9, dtype=np.uint64).tobytes()), bytearray()) for k in range(300)]
+    members = spark.createDataFrame(rows, "band long, id long, n long, hub long, signature binary, bands array<long>, bytes long, keys binary, often binary")
     members = members.withColumns({"label": F.col("id"), "met": F.array().cast("array<long>")})
     first = [len(r["own"]) for r in near_dedup.dealt(members, 0).collect()]
     assert sum(first) == 300 + len(first) - 1
-    last = [len(r["own"]) for r in near_dedup.exhaustive(members).collect()]
+    members = members.join(near_dedup.open_buckets(members), "band")
+    last = [len(r["own"]) for r in near_dedup.whole_buckets(members).collect()]
     assert len(last) == 25 and sum(last) == 300 * 5 + 299 * 5
-    assert near_dedup.partners(near_dedup.exhaustive(members), 1).collect() == []
+    assert near_dedup.partners(near_dedup.dealt(members, 0)).collect() == near_dedup.last_links(near_dedup.whole_buckets(members), 0.8).collect() == []
 
 
 def test_near_large_groups(spark):

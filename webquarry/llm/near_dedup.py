@@ -7,14 +7,13 @@ texts agree in a component with the probability Jaccard similarity J_P of their
 signature give candidates; J_P of every candidate pair is then computed exactly from the whole texts, and
 pairs of 0.8 or more are links.
 
-Texts with equal weights are one text from the start, so copies never make pairs. Every two texts of a band's bucket
-are compared by their signatures, in units of bounded size, but where both have the same label by then. Turn by turn each text is verified
-against the most alike text of another label in any of its buckets, and against the one with the smallest id, so that a turn verifies at most
-two pairs for each text; links are joined to labels, by propagation in tables that are cut at each step. A large bucket is
-dealt to hands in the first turns, with its smallest text in each, which joins most of it; then the texts that are apart from
-its main label meet the whole bucket, a tile of the ones against a tile of the others at a time. Texts go on to their next
-likely partners, more in each turn, until no bucket has a likely pair of two classes that has not been verified. A bucket without
-links is thus compared whole: n * n / 2 signatures for n distinct texts that share a band, and no more.
+Texts with equal weights are one text from the start, so copies never make pairs. In two first turns the texts of a band's bucket meet
+in hands of bounded size, a large bucket's smallest text in each hand. Of the texts of its hands each is verified against the most alike
+one and the one with the smallest id, at most two pairs for each text, which joins most of what is similar; links are joined to labels, by
+propagation in tables that are cut at each step. Then, of the buckets that still have several labels, each text apart from the main label
+meets the whole bucket, a tile of the ones against a tile of the others at a time: signatures are compared, and every likely
+pair of two labels is verified exactly where it stands, in the first band that the two share. So no pairs are written, only links that join
+labels, no pair is left out, and the work of n unlike texts in a bucket is n * n / 2 signature comparisons.
 A class keeps its smallest doc_id. Ties go by id, so a run again gives the same rows.
 
 Defined cases: a null text counts as empty. Texts without words are alike only if their characters are the
@@ -26,7 +25,6 @@ through `stage`.
 from __future__ import annotations
 
 import hashlib
-import itertools
 
 import numpy as np
 import pyarrow as pa
@@ -40,8 +38,8 @@ SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 32, 6
 #: Texts of a bucket that meet at once in the first turns; a larger bucket is dealt to hands of so many in DEALT_TURNS turns.
 HAND, DEALT_TURNS = 256, 2
-#: Texts on each side of a unit after that, and how many times as many partners a text is then verified against as the turn before.
-TILE, MORE = 1024, 8
+#: Texts, and bytes of their weights, on each side of a unit after that.
+TILE, TILE_BYTES = 512, 8 << 20
 #: Least share of agreeing components of a likely pair: four standard deviations under SIMILAR.
 LIKELY = 0.68
 #: Pairs of one text that meet in one task; a text with more of them is copied to several tasks.
@@ -207,53 +205,41 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
 
 
-def members_of(rows: DataFrame) -> DataFrame:
+def members_of(rows: DataFrame, folder: str) -> DataFrame:
     """band, id, n, hub, signature: texts in buckets of n > 1 texts, the smallest of which is the hub."""
     keyed = rows.select("id", F.explode("bands").alias("band")).filter("band != 0")
-    shared = keyed.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("hub")).filter("n > 1")
-    return cut(keyed.join(shared, "band").join(rows.select("id", "signature"), "id"))
+    # Tables of their own, so that a large bucket is a skewed join that Spark splits, and is not held together by an earlier partitioning.
+    shared = stored(keyed.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("hub")).filter("n > 1"), folder)
+    return stored(keyed.join(shared, "band").join(rows.select("id", "signature"), "id"), folder)
 
 
-def partners(units: DataFrame, most: int) -> DataFrame:
-    """band, id, partner, alike: for each text of a unit that looks for partners, those at home in the unit that may be similar to it by their signatures.
+def partners(units: DataFrame) -> DataFrame:
+    """id, partner, alike: for each text of a unit, of those that may be similar to it by their signatures, the most alike and the one with the smallest id.
 
-    Only partners of other labels that it has not been verified against: the `most` most alike, and the one with the smallest id.
-    units: band, own, an array of (id, label, home, looks, signature, met).
+    Only partners of other labels that it has not been verified against. units: band, own, an array of (id, label, signature, met).
     """
 
     def run(batches):
         for batch in batches:
-            out: list = [[], [], [], []]
-            for band, unit in zip(batch.column(0).to_pylist(), batch.column(1)):
+            out: list = [[], [], []]
+            for unit in batch.column(1):
                 own = sorted(unit.as_py(), key=lambda x: x["id"])  # no order of arrival decides anything
                 ids, labels = np.array([x["id"] for x in own]), np.array([x["label"] for x in own])
                 brief = np.frombuffer(b"".join(x["signature"] for x in own), np.uint8).reshape(len(own), -1)
-                home = np.flatnonzero([x["home"] for x in own])
-                at_home, ids_home, labels_home = brief[home], ids[home], labels[home]
                 for k, x in enumerate(own):
-                    if not x["looks"]:
-                        continue
-                    others = np.flatnonzero(labels_home != x["label"])
-                    if not len(others):
-                        continue
-                    alike = np.concatenate([(at_home[some] == brief[k]).mean(axis=1) for some in np.array_split(others, -(-len(others) // 4096))]) - 1 / 256
+                    others = np.flatnonzero(labels != x["label"])
+                    alike = (brief[others] == brief[k]).mean(axis=1) - 1 / 256 if len(others) else np.zeros(0)
                     likely = alike >= LIKELY
                     if x["met"]:
-                        likely &= ~np.isin(ids_home[others], x["met"])
+                        likely &= ~np.isin(ids[others], x["met"])
                     others, alike = others[likely], alike[likely]
-                    chosen = np.argsort(-alike, kind="stable")[:most]
-                    if len(others) > most and 0 not in chosen:
-                        chosen = np.append(chosen, 0)
-                    for column, values in zip(out, ([band] * len(chosen), [x["id"]] * len(chosen), ids_home[others[chosen]].tolist(), alike[chosen].tolist())):
-                        column += values
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.float64()))], ["band", "id", "partner", "alike"])
+                    if len(others):
+                        chosen = sorted({0, int(alike.argmax())})
+                        for column, values in zip(out, ([x["id"]] * len(chosen), ids[others[chosen]].tolist(), alike[chosen].tolist())):
+                            column += values
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.float64()))], ["id", "partner", "alike"])
 
-    return mapped(units.select("band", "own"), run, "band long, id long, partner long, alike double")
-
-
-def unit_of(keys: list, **others):
-    columns = [F.col(c) if c not in others else others[c].alias(c) for c in ("id", "label", "home", "looks", "signature", "met")]
-    return lambda rows: rows.groupBy(*keys).agg(F.collect_list(F.struct(*columns)).alias("own")).filter(F.size("own") > 1).select("band", "own")
+    return mapped(units.select("band", "own"), run, "id long, partner long, alike double")
 
 
 def dealt(named: DataFrame, turn: int) -> DataFrame:
@@ -261,19 +247,43 @@ def dealt(named: DataFrame, turn: int) -> DataFrame:
     hands = F.ceil(F.col("n") / HAND).cast("int")
     own = F.pmod(F.xxhash64("id", F.lit(turn)), hands).cast("int")
     hand = F.explode(F.when(F.col("id") == F.col("hub"), F.sequence(F.lit(0), hands - 1)).otherwise(F.array(own)))
-    yes = F.lit(True)
-    return unit_of(["band", "hand"], home=yes, looks=yes)(named.withColumn("hand", hand))
+    own = F.collect_list(F.struct("id", "label", "signature", "met")).alias("own")
+    return named.withColumn("hand", hand).groupBy("band", "hand").agg(own).filter(F.size("own") > 1).select("band", "own")
+
+
+def weights_of(texts: DataFrame) -> DataFrame:
+    """id, keys (sorted, 8 bytes each), often (2 bytes each; empty if all are 1): the weighted shingles of texts (id, text)."""
+
+    def run(batches):
+        shingles = Shingles()
+        for b in batches:
+            keys, often = [], []
+            for text in b.column(1):
+                found, n, _ = shingles([text.as_py()])
+                keys.append((found & LOW52).tobytes())
+                often.append(b"" if (n == 1).all() else n.astype(np.uint32).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.binary()), pa.array(often, pa.binary())], ["id", "keys", "often"])
+
+    return mapped(texts.select("id", "text"), run, "id long, keys binary, often binary")
 
 
-def exhaustive(named: DataFrame) -> DataFrame:
+def open_buckets(named: DataFrame) -> DataFrame:
+    """band, main (the label that most of its texts have), rest (texts of other labels), of buckets with several labels."""
+    sizes = named.groupBy("band", "label").agg(F.count(F.lit(1)).alias("size")).groupBy("band")
+    sizes = sizes.agg(F.max_by("label", F.struct("size", "label")).alias("main"), F.count(F.lit(1)).alias("labels"), (F.sum("size") - F.max("size")).alias("rest"))
+    return sizes.filter("labels > 1").drop("labels")
+
+
+def whole_buckets(named: DataFrame) -> DataFrame:
     """Units in which each text that is not of its bucket's main label meets every text of the bucket.
 
     Of a bucket with several tiles' worth of texts, each tile of those at home meets each tile of those that look.
+    named: band, n, main, rest, bytes (of all weights of the bucket), id, label, signature, bands, keys, often.
     """
-    sizes = named.groupBy("band", "label").agg(F.count(F.lit(1)).alias("size")).groupBy("band")
-    sizes = sizes.agg(F.max_by("label", F.struct("size", "label")).alias("main"), F.count(F.lit(1)).alias("classes"), (F.sum("size") - F.max("size")).alias("rest")).filter("classes > 1")
-    named = named.join(cut(sizes.select("band", "main", "rest")), "band").withColumns({"rest_of": F.ceil(F.col("rest") / TILE).cast("int"), "hands": F.ceil(F.col("n") / TILE).cast("int")})
-    looks, whole = F.col("label") != F.col("main"), (F.col("hands") == 1)
+    hands = F.greatest(F.ceil(F.col("n") / TILE), F.ceil(F.col("bytes") / TILE_BYTES)).cast("int")
+    rest_of = F.ceil(F.col("rest") * hands / F.col("n")).cast("int")
+    named = named.withColumns({"hands": hands, "rest_of": rest_of})
+    looks, whole = F.col("label") != F.col("main"), F.col("hands") == 1
     here, there = F.pmod(F.xxhash64("id"), F.col("hands")).cast("int"), F.pmod(F.xxhash64("id", F.lit(1)), F.col("rest_of")).cast("int")
 
     def place(hand, part, home, looking):
@@ -283,49 +293,113 @@ def exhaustive(named: DataFrame) -> DataFrame:
     as_home = F.transform(F.sequence(zero, F.col("rest_of") - 1), lambda part: place(here, part, yes, no))
     as_looking = F.transform(F.sequence(zero, F.col("hands") - 1), lambda hand: place(hand, there, no, yes))
     at = F.when(whole, F.array(place(zero, zero, yes, looks))).when(looks, F.concat(as_home, as_looking)).otherwise(as_home)
-    return unit_of(["band", "hand", "part"])(named.withColumn("at", F.explode(at)).select("band", "id", "label", "signature", "met", "at.*"))
+    placed = named.withColumn("at", F.explode(at)).select("band", "id", "label", "signature", "bands", "keys", "often", "at.*")
+    own = F.collect_list(F.struct("id", "label", "home", "looks", "signature", "bands", "keys", "often")).alias("own")
+    return placed.groupBy("band", "hand", "part").agg(own).filter(F.size("own") > 1).select("band", "own")
+
+
+class Met:
+    """The texts of a unit, and which of them are joined by now."""
+
+    def __init__(self, own: list):
+        own = sorted(own, key=lambda x: (x["id"], not x["home"]))  # no order of arrival decides anything
+        self.own, self.ids = own, np.array([x["id"] for x in own])
+        self.brief = np.frombuffer(b"".join(x["signature"] for x in own), np.uint8).reshape(len(own), -1)
+        self.bands = np.array([x["bands"] for x in own], np.int64)
+        self.root = {x["label"]: x["label"] for x in own}
+        self.sets = [(np.frombuffer(x["keys"], U), np.frombuffer(x["often"], np.uint32)) for x in own]
+        self.home = np.flatnonzero([x["home"] for x in own])
+        self.of = np.array([x["label"] for x in own])
+
+    def top(self, label):
+        while self.root[label] != label:
+            label = self.root[label]
+        return label
+
+    def alike(self, k: int, others: np.ndarray) -> np.ndarray:
+        """J_P of text k and each of some others."""
+        keys, often = self.sets[k]
+        sizes = np.array([len(self.sets[j][0]) for j in others])
+        flat = np.concatenate([self.sets[j][0] for j in others])
+        at = np.searchsorted(keys, flat)
+        hit = keys[np.minimum(at, len(keys) - 1)] == flat
+        both = np.bincount(np.repeat(np.arange(len(others)), sizes)[hit], minlength=len(others))
+        found = both / (len(keys) + sizes - both)
+        for n, j in enumerate(others.tolist()):
+            if len(often) or len(self.sets[j][1]):
+                found[n] = probability_jaccard((keys, often if len(often) else np.ones(len(keys))), (self.sets[j][0], self.sets[j][1] if len(self.sets[j][1]) else np.ones(sizes[n])))
+        return found
+
+    def links(self, band: int, similar: float):
+        """(a, b, similarity): enough links to join what links of this band's pairs join; a pair belongs to the first band that its texts share."""
+        for k, x in enumerate(self.own):
+            if not x["looks"]:
+                continue
+            others = self.home[self.of[self.home] != x["label"]]
+            same = self.bands[others] == self.bands[k]
+            others = others[same.any(axis=1) & (self.bands[k][same.argmax(axis=1)] == band)]
+            alike = (self.brief[others] == self.brief[k]).mean(axis=1) - 1 / 256 if len(others) else np.zeros(0)
+            others, alike = others[alike >= LIKELY], alike[alike >= LIKELY]
+            others = others[np.argsort(-alike, kind="stable")]
+            step = 8
+            while len(others):
+                now, others = others[:step], others[step:]
+                step = min(step * 2, 256)
+                for j, similarity in zip(now.tolist(), self.alike(k, now).tolist()):
+                    one, other = self.top(x["label"]), self.top(self.own[j]["label"])
+                    if similarity >= similar and one != other:
+                        self.root[max(one, other)] = min(one, other)
+                        a, b = sorted((x["id"], self.own[j]["id"]))
+                        yield b, a, similarity
+                one = self.top(x["label"])
+                others = others[[self.top(label) != one for label in self.of[others].tolist()]] if len(others) else others
+
+
+def last_links(units: DataFrame, similar: float) -> DataFrame:
+    """a, b, similarity: every likely pair of two classes of a unit is verified exactly where it stands, so no pairs are written; links that join classes are."""
+
+    def run(batches):
+        for batch in batches:
+            rows = [x for band, unit in zip(batch.column(0).to_pylist(), batch.column(1)) for x in Met(unit.as_py()).links(band, similar)]
+            columns = list(zip(*rows)) or [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()))], ["a", "b", "similarity"])
+
+    return mapped(units, run, "a long, b long, similarity double")
 
 
 def links(rows: DataFrame, texts: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """a, b, similarity: verified links between distinct texts, enough of them to join every class. rows: id, bands, signature."""
     spark = rows.sparkSession
     folder, result = scratch(spark), scratch(spark)
-    members = members_of(rows)
+    members = members_of(rows, folder)
     ids = stored(members.select("id").distinct(), folder)
     texts = stored(texts.join(small(ids), "id", "left_semi"), folder)
-    members = members.withColumns({"label": F.col("id"), "met": F.array().cast("array<long>")})
-    found = None
-    for turn in itertools.count():
-        # Buckets of several hands are dealt in the first turns; then they are met whole, like the others from the start.
-        units = dealt(members, turn) if turn < DEALT_TURNS else exhaustive(members)
-        most = MORE ** max(0, turn - 1)
-        offers = cut(partners(units, most))
-        rank = F.row_number().over(W.partitionBy("id").orderBy(F.col("alike").desc(), "partner"))
-        best = offers.select("id", "partner", "alike").distinct().withColumns({"rank": rank, "least": F.min("partner").over(W.partitionBy("id"))})
-        best = best.filter((F.col("rank") <= most) | (F.col("partner") == F.col("least")))
-        wanted = stored(best.select(F.greatest("id", "partner").alias("a"), F.least("id", "partner").alias("b")).distinct(), folder)
-        if not wanted.isEmpty():
-            new = stored(verified(wanted, texts, folder), folder)
-            found = new if found is None else found.unionByName(new)
-        elif turn >= DEALT_TURNS or members.filter(F.col("n") > HAND).isEmpty():
-            done = stored(found.filter(F.col("similarity") >= similar) if found is not None else wanted.withColumn("similarity", F.lit(1.0)), result)
-            discard(spark, folder)
-            return done
-        # What is over: buckets that were met whole and offered nothing.
-        open_bands = offers.select("band").distinct()
-        later = F.lit(turn < DEALT_TURNS) & (F.col("n") > HAND)
-        again = members.drop("label", "met").join(open_bands.withColumn("open", F.lit(True)), "band", "left").filter(F.col("open") | later).drop("open")
-        members = cut(again)
-        if found is None:
-            members = members.withColumns({"label": F.col("id"), "met": F.array().cast("array<long>")})
-            continue
-        labels = stored(classes(found.filter(F.col("similarity") >= similar), folder), folder)
+    none = F.array().cast("array<long>")
+    named, found = members.withColumns({"label": F.col("id"), "met": none}), None
+    for turn in range(DEALT_TURNS):
+        offers = stored(partners(dealt(named, turn)).distinct(), folder)
+        whose = W.partitionBy("id")
+        best = offers.withColumns({"first": F.row_number().over(whose.orderBy(F.col("alike").desc(), "partner")), "least": F.min("partner").over(whose)})
+        best = best.filter("first = 1 or partner = least").select(F.greatest("id", "partner").alias("a"), F.least("id", "partner").alias("b"))
+        new = stored(verified(best.distinct(), texts, folder), folder)
+        found = new if found is None else found.unionByName(new)
+        labels = small(stored(classes(found.filter(F.col("similarity") >= similar), folder), folder))
         failed = found.filter(F.col("similarity") < similar)
         met = failed.select(F.col("a").alias("id"), F.col("b").alias("with")).unionByName(failed.select(F.col("b").alias("id"), F.col("a").alias("with")))
-        met = stored(met.groupBy("id").agg(F.collect_list("with").alias("met")), folder)
-        members = members.join(small(labels), F.col("id") == F.col("node"), "left").drop("node").withColumn("label", F.coalesce("label", "id"))
-        members = members.join(small(met), "id", "left")
-        settle(members.sparkSession)
+        met = small(stored(met.groupBy("id").agg(F.collect_list("with").alias("met")), folder))
+        named = members.join(labels, F.col("id") == F.col("node"), "left").drop("node").withColumn("label", F.coalesce("label", "id")).join(met, "id", "left")
+        buckets = stored(open_buckets(named), folder)
+        named = stored(named.join(small(buckets), "band"), folder)
+        settle(spark)
+    ids = small(stored(named.select("id").distinct(), folder))
+    weights = stored(weights_of(texts.join(ids, "id", "left_semi")), folder)
+    sizes = weights.select("id", (F.octet_length("keys") + F.octet_length("often")).alias("own_bytes"))
+    sizes = stored(named.select("band", "id").join(sizes, "id").groupBy("band").agg(F.sum("own_bytes").alias("bytes")), folder)
+    named = named.drop("met").join(small(sizes), "band").join(rows.select("id", "bands"), "id").join(weights, "id")
+    last = stored(last_links(whole_buckets(named), similar), folder)
+    done = stored(found.filter(F.col("similarity") >= similar).unionByName(last), result)
+    discard(spark, folder)
+    return done
 
 
 def nearby(edges: DataFrame) -> DataFrame:
