@@ -91,11 +91,12 @@ def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
-    """One row for each doc_id and text; a null text is the empty one. Which of such rows, does not depend on their order."""
+def one_of_each(docs: DataFrame, *more: str) -> DataFrame:
+    """One row for each doc_id and text (and more columns); a null text is the empty one. Which of such rows stays, does not depend on their order."""
     names, plain = docs.columns, [f.name for f in docs.schema if f.name not in ("doc_id", "text") and "map<" not in f.dataType.simpleString()]
-    order = F.struct(F.xxhash64(*plain) if plain else F.lit(0), F.col("text").isNull())
-    best = docs.groupBy(F.col("doc_id").alias("_id"), text_or_empty().alias("_text")).agg(F.min_by(F.struct(*names), order).alias("_row"))
+    order = F.struct(F.col("text").isNull(), F.xxhash64(*plain) if plain else F.lit(0))
+    keys = [F.col(c).alias(f"_{k}") for k, c in enumerate(("doc_id", *more))]
+    best = docs.groupBy(*keys, text_or_empty().alias("_text")).agg(F.min_by(F.struct(*names), order).alias("_row"))
     return best.select("_row.*")
 
 

@@ -20,11 +20,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, mapped, pieces, table, text_or_empty
+from .common import cut, mapped, one_of_each, pieces, table, text_or_empty
 
 MIN_CHUNK, MAX_CHUNK, CUT_BITS = 256, 8192, 10
 #: More identifiers than these with two contents (expected: none below 10^10 chunks) would not be broadcast.
 MAX_COLLIDED = 100_000
+#: Rows of a group that are joined to it in one task. Groups beyond are broadcast, as keys, up to so many; joined beyond.
+HEAVY, BROADCAST_GROUPS = 256, 20_000
 
 
 def gear() -> np.ndarray:
@@ -123,23 +125,32 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text")
     rows = cut(recipes(docs, collided(docs)))
     groups = rows.groupBy("recipe").agg(F.max(F.struct("doc_id", "row")).alias("keep"), F.count(F.lit(1)).alias("group_size"))
-    found = rows.join(groups, "recipe")
-    return found.select("doc_id", F.col("keep.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("keep.row")).alias("kept"), "text_sha256")
+    # Only groups of several rows are joined. A group of more than HEAVY rows (there are few of them) meets its rows in parts of that size.
+    groups = cut(groups.filter("group_size > 1").withColumn("parts", F.ceil(F.col("group_size") / HEAVY).cast("int")))
+    heavy = groups.filter("parts > 1").select("recipe", "parts")
+    heavy = F.broadcast(heavy) if heavy.count() <= BROADCAST_GROUPS else heavy
+    part = F.pmod(F.xxhash64("row"), F.coalesce("parts", F.lit(1))).cast("int")
+    parted = groups.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    found = rows.join(heavy, "recipe", "left").withColumn("part", part).join(parted, ["recipe", "part"], "left")
+    kept = F.coalesce(F.col("row") == F.col("keep.row"), F.lit(True))
+    keep_id = F.when(F.col("keep").isNull(), F.col("doc_id")).otherwise(F.col("keep.doc_id"))
+    return found.select("doc_id", keep_id.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), kept.alias("kept"), "text_sha256")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of equal texts, with the columns that it came with."""
     decided = exact_dedup(docs)
-    gone = cut(decided.filter(~F.col("kept")).groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("gone"))).select(F.col("doc_id").alias("gone_id"), F.col("text_sha256").alias("gone_sha"), "gone", F.lit(True).alias("hit"))
-    kept_too = decided.filter("kept").select(F.col("doc_id").alias("gone_id"), F.col("text_sha256").alias("gone_sha")).join(gone, ["gone_id", "gone_sha"]).select("gone_id", "gone_sha")
+    decided = cut(decided.select(F.col("doc_id").alias("gone_id"), F.col("text_sha256").alias("gone_sha"), "kept"))
+    gone = decided.filter("not kept").select("gone_id", "gone_sha").distinct()
+    others = gone.withColumnsRenamed({"gone_id": "i", "gone_sha": "s"})
+    kept_too = decided.filter("kept").select("gone_id", "gone_sha").join(others, F.col("gone_id").eqNullSafe(F.col("i")) & (F.col("gone_sha") == F.col("s")), "left_semi")
     sha = F.sha2(text_or_empty().cast("binary"), 256)
     same = docs["doc_id"].eqNullSafe(F.col("gone_id")) & (sha == F.col("gone_sha"))
     left = docs.join(gone, same, "left_anti")
     if kept_too.isEmpty():
         return left
-    # Rows repeated with their id: one of them stays.
-    again = docs.join(kept_too, same, "left_semi").dropDuplicates(["doc_id", "text"])
-    return left.unionByName(again)
+    # Rows repeated with their id (null and empty texts are equal): one of them stays.
+    return left.unionByName(one_of_each(docs.join(kept_too, same, "left_semi")))
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

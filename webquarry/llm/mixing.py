@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, one_of_each, table
 
 WEIGHTS, SHARE, MAX_EPOCHS, SEED = (3, 1, 2), 1.5, 2.0, "mix-1"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -29,10 +29,15 @@ def n_words(text):
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def key_of(text: str):
+    """A null text and an empty one have different keys."""
+    return F.xxhash64(F.col(text).cast("string"), F.col(text).isNull())
+
+
 def sized(docs: DataFrame, seed: str = SEED) -> DataFrame:
-    """doc_id, source, size and the seeded order of each row; cut, for its scan and count of words is used twice."""
+    """doc_id, source, size, the seeded order and a key of the text of each row; cut, for its scan and count of words is used twice."""
     order = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    return cut(docs.select("doc_id", F.col("source").cast("string").alias("source"), n_words(F.col("text").cast("string")).alias("size"), order.alias("draw")))
+    return cut(docs.select("doc_id", F.col("source").cast("string").alias("source"), n_words(F.col("text").cast("string")).alias("size"), order.alias("draw"), key_of("text").alias("text_key")))
 
 
 def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, max_epochs: float = MAX_EPOCHS) -> DataFrame:
@@ -62,31 +67,37 @@ def draws(sizes: DataFrame, goals: DataFrame) -> DataFrame:
     extra = F.floor(F.col("target") - F.col("whole") * F.col("source_size") + 0.5).cast("long")
     goals = goals.withColumns({"key": key, "whole": whole}).withColumn("extra", extra).drop("source")
     starts = sums.withColumn("start", F.coalesce(before, F.lit(0))).drop("bucket_size").join(goals, "key")
-    inside = F.sum("size").over(W.partitionBy("key", "bucket").orderBy("draw", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1))
+    inside = F.sum("size").over(W.partitionBy("key", "bucket").orderBy("draw", "doc_id", "size", "text_key").rowsBetween(W.unboundedPreceding, -1))
     found = rows.join(starts, ["key", "bucket"]).withColumn("at", F.col("start") + F.coalesce(inside, F.lit(0)))
     part = F.least(F.col("size"), F.greatest(F.lit(0).cast("long"), F.col("extra") - F.col("at")))
     return found.withColumns({"part": part, "taken": F.col("whole") * F.col("size") + part}).drop("key", "bucket", "start", "at", "extra", "draw")
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, max_epochs: float = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
-    """doc_id, source, size, source_size, target, whole, part, taken for every row of docs."""
+    """doc_id, source, size, text_key, source_size, target, whole, part, taken for every row of docs."""
     sizes = sized(docs, seed)
     return draws(sizes, targets(sizes, weights, share, max_epochs))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it: whole copies, and at a source's edge the first `part` words of one more."""
-    plan = mix(docs).groupBy("doc_id").agg(F.max("whole").alias("whole"), F.max("part").alias("part"), F.max("size").alias("size"))
-    names = docs.columns
-    held = docs.join(plan, docs["doc_id"].eqNullSafe(plan["doc_id"])).drop(plan["doc_id"])
-    copies = F.col("whole") + (F.col("part") > 0).cast("long")
-    held = held.filter(copies > 0).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), copies)))
-    partial = (F.col("copy") > F.col("whole")) & (F.col("part") < F.col("size"))
+    """Each document as often as the mix takes it: whole copies, and at a source's edge the first `part` words of one more.
+
+    Rows that agree in id, source and text are taken as one row with the copies of all; rows that differ in one of them by what each is planned.
+    """
+    names, size, part = docs.columns, F.col("size"), F.col("part")
+    edge = (part > 0) & (part < size)
+    plan = mix(docs).groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_from"), F.col("text_key").alias("_key"))
+    plan = cut(plan.agg(F.sum(F.col("whole") + F.when((part > 0) & ~edge, 1).otherwise(0)).alias("_copies"), F.max(F.when(edge, part)).alias("_part"), F.count(F.lit(1)).alias("_rows")))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").cast("string").eqNullSafe(F.col("_from")) & (key_of("text") == F.col("_key"))
+    again = plan.filter("_rows > 1").select("_id", "_from", "_key")
+    if not again.isEmpty():
+        docs = docs.join(again, same, "left_anti").unionByName(one_of_each(docs.join(again, same, "left_semi"), "source"))
+    held = docs.join(plan, same).withColumn("_last", F.col("_copies") + F.col("_part").isNotNull().cast("long")).filter("_last > 0")
+    held = held.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_last")))).withColumn("_cut", F.col("_copy") > F.col("_copies"))
     # The words are cut by their count only where a document is partial.
-    pieces = F.slice(F.regexp_extract_all("text", F.lit(rf"(?s)[\x20\x09-\x0D]*{WORD}"), F.lit(0)), F.lit(1), F.col("part").cast("int"))
-    text = F.when(partial, F.array_join(pieces, "")).otherwise(F.col("text"))
-    held = held.withColumn("text", text)
-    return held.withColumn("n_chars", F.when(partial, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*names) if "n_chars" in names else held.select(*names)
+    pieces = F.slice(F.regexp_extract_all("text", F.lit(rf"(?s)[\x20\x09-\x0D]*{WORD}"), F.lit(0)), F.lit(1), F.col("_part").cast("int"))
+    held = held.withColumn("text", F.when(F.col("_cut"), F.array_join(pieces, "")).otherwise(F.col("text")))
+    return held.withColumn("n_chars", F.when(F.col("_cut"), F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*names) if "n_chars" in names else held.select(*names)
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -402,19 +402,20 @@ def links(rows: DataFrame, texts: DataFrame, similar: float = SIMILAR) -> DataFr
     return done
 
 
-def nearby(edges: DataFrame) -> DataFrame:
-    """node, label: the smallest id within a few links, in one query. Texts of one class may still differ in it, those of one label are of one class."""
+def nearby(edges: DataFrame, folder: str | None = None) -> DataFrame:
+    """node, label: the smallest id within a few links. Texts of one class may still differ in it, those of one label are of one class."""
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    low = both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low"))
+    # Tables of their own, so that a text with many links is a skewed join that Spark splits.
+    low = stored(both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low")), folder)
     near = both.join(low.select(F.col("a").alias("b"), "low"), "b").groupBy("a").agg(F.min("low").alias("near"))
-    low = low.join(near, "a").select("a", F.least("low", "near").alias("low"))
-    jump = low.select(F.col("a").alias("low"), F.col("low").alias("lower"))
+    low = stored(low.join(near, "a").select("a", F.least("low", "near").alias("low")), folder)
+    jump = low.filter("low < a").select(F.col("a").alias("low"), F.col("low").alias("lower"))
     return low.join(jump, "low", "left").select(F.col("a").alias("node"), F.coalesce("lower", "low").alias("label"))
 
 
 def classes(edges: DataFrame, folder: str | None = None) -> DataFrame:
     """node, label: the smallest id that can be reached, for each end of a link (a, b). Nodes are joined by what is nearby first; the labels that links still join are few."""
-    near = stored(nearby(edges), folder)
+    near = stored(nearby(edges, folder), folder)
     one, other = near.select(F.col("node").alias("a"), F.col("label").alias("x")), near.select(F.col("node").alias("b"), F.col("label").alias("y"))
     between = edges.select("a", "b").join(one, "a").join(other, "b").filter("x != y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))
     between = stored(between, folder)
