@@ -54,7 +54,7 @@ def static(s: Column) -> Column:
 
 def media_type(s: Column) -> Column:
     """Whether a media type is anywhere in it."""
-    return s.rlike(f"{values.TEXT_X}|{any_of(values.MEDIA_TYPES)}")
+    return s.rlike(any_of(values.MEDIA_TYPES))
 
 
 def class_name(s: Column) -> Column:

@@ -15,6 +15,8 @@ SPACE = r"\t\n\f\r "
 NO_SPACE = r"\x00-\x08\x0b\x0e-\x1f!-\x{10ffff}"
 POSIX = {"alpha": "A-Za-z", "digit": "0-9", "alnum": "0-9A-Za-z", "upper": "A-Z", "lower": "a-z", "space": r"\t\n\x0b\f\r ", "word": "0-9A-Za-z_", "xdigit": "0-9A-Fa-f", "punct": r"!-/:-@\[-`{-~"}
 MAX_REPEAT = 1000
+#: Most literals of a gate.
+MAX_KEYWORDS = 64
 
 
 class PatternError(ValueError):
@@ -147,7 +149,7 @@ def character_class(pattern: str, at: int) -> tuple[str, int]:
 
 
 def keywords(pattern: str) -> list[str] | None:
-    """Literals of three signs or more of which every match has one, in any case; None if there are none. A cheap test before an expensive pattern."""
+    """Literals, in lower case, of which every match has one in any case; None if there are none. A cheap test before an expensive pattern."""
     try:
         from re import _constants as k
         from re import _parser as parser
@@ -158,29 +160,64 @@ def keywords(pattern: str) -> list[str] | None:
     except (re.error, OverflowError):
         return None
 
-    def best(items) -> list[str] | None:
-        found, run = [], ""
-        for op, arg in [*items, (None, None)]:
-            if op is k.LITERAL:
-                run += chr(arg)
+    def exact(op, arg) -> set[str] | None:
+        """All texts that an item can be, in lower case, if they are few; a place takes no text."""
+        if op is k.LITERAL:
+            return {chr(arg).lower()}
+        if op is k.AT:
+            return {""}
+        if op is k.IN and all(o is k.LITERAL for o, _ in arg):
+            return {chr(a).lower() for _, a in arg}
+        if op is k.SUBPATTERN:
+            return product({""}, arg[3])
+        if op is k.BRANCH:
+            each = [product({""}, x) for x in arg[1]]
+            return set().union(*each) if all(x is not None for x in each) else None
+        if op in (k.MAX_REPEAT, k.MIN_REPEAT) and arg[1] == 1:
+            inner = product({""}, arg[2])
+            return inner if arg[0] or inner is None else inner | {""}
+        return None
+
+    def product(run: set[str], items) -> set[str] | None:
+        for op, arg in items:
+            found = exact(op, arg)
+            if found is None or len(run) * len(found) > MAX_KEYWORDS:
+                return None
+            run = {x + y for x in run for y in found}
+        return run
+
+    def worth(words: set[str]) -> tuple[int, int]:
+        return min(map(len, words)), -len(words)
+
+    def usable(words: set[str]) -> bool:
+        return all(len(w) > 1 or w and not w.isalnum() and w not in " .,-" for w in words) and all(w.isascii() for w in words)
+
+    def best(items, run: set[str]) -> set[str] | None:
+        """The best set of which every match has one; run: what the text before may end with."""
+        found: list[set[str]] = []
+        for op, arg in items:
+            longer = exact(op, arg)
+            if longer is not None and len(run) * len(longer) <= MAX_KEYWORDS:
+                run = {x + y for x in run for y in longer}
                 continue
-            found += [[run]] if len(run) >= 3 else []
-            run = ""
             inner = None
             if op is k.SUBPATTERN:
-                inner = best(arg[3])
+                inner = best(arg[3], run)
             elif op is k.BRANCH:
-                each = [best(x) for x in arg[1]]
-                inner = sum(each, []) if all(each) else None
+                each = [best(x, run) for x in arg[1]]
+                inner = set().union(*each) if all(each) else None
             elif op in (k.MAX_REPEAT, k.MIN_REPEAT) and arg[0] > 0:
-                inner = best(arg[2])
-            found += [inner] if inner else []
-        return max(found, key=lambda words: (min(map(len, words)), -len(words)), default=None)
-
-    words = best(list(tree))
-    if not words or not all(w.isascii() for w in words):
+                inner = best(arg[2], run)
+            found += [x for x in (run, inner) if x and usable(x)]
+            run = {""}
+        found += [run] if usable(run) else []
+        return max(found, key=worth, default=None)
+
+    words = best(list(tree), {""})
+    if not words or len(words) > MAX_KEYWORDS:
         return None
-    return sorted({w.lower() for w in words})
+    # One that contains another adds nothing.
+    return sorted(w for w in words if not any(o != w and o in w for o in words))
 
 
 def any_of(words) -> str:

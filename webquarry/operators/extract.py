@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from webquarry.functions import candidates, dialect, values
 
+# Verbs that a declaration may have.
 VERBS = ("GET", "POST", "PUT", "DELETE", "PATCH", "HEAD", "OPTIONS")
 #: Bodies over so many bytes are not searched for a bundler's chunk map.
 CHUNK_MAP_BYTES = 4 << 20
@@ -38,24 +39,38 @@ def tiers() -> list[tuple[str, list[tuple[str, str, str, int, bool]]]]:
     ]
 
 
+#: Signs (private use) that part the groups of a match, and begin and end it; bodies that have them take the way without.
+PART, BEGIN, STOP = "\ue000", "\ue001", "\ue002"
+
+
 def scan(body: Column, alternatives, tier: int) -> Column:
-    """array<struct<raw, tier, which, place>>: the non-overlapping matches of an alternation, in order, and which alternative took each."""
-    union = "(?d)" + "|".join(f"({dialect.java(p).removeprefix('(?d)')})" for _, _, p, _, _ in alternatives)
-    found, at = [], 1
+    """array<struct<raw, tier, which, place>>: the non-overlapping matches of an alternation, in order, and which alternative took each.
+
+    One pass of the alternation writes the groups of each match into its place, one plain pass reads them.
+    """
+    union = F.lit("(?d)" + "|".join(f"({dialect.java(p).removeprefix('(?d)')})" for _, _, p, _, _ in alternatives))
+    numbers, at = [], 1
     for _, _, p, group, _ in alternatives:
-        found.append(F.regexp_extract_all(body, F.lit(union), F.lit(at + group)))
+        numbers.append(at + group)
         at += 1 + groups_in(p)
-    names = [f"g{k}" for k in range(len(found))]
-    zipped = F.arrays_zip(*[f.alias(n) for f, n in zip(found, names)])
+
+    def match(raw, which, place):
+        return F.struct(F.when(raw != "", raw).alias("raw"), F.lit(tier).alias("tier"), F.when(raw != "", which).cast("int").alias("which"), place.alias("place"))
+
+    written = F.regexp_replace(body, union, F.lit(BEGIN + PART.join(f"${n}" for n in numbers) + STOP))
+    pieces = F.regexp_extract_all(written, F.lit(f"{BEGIN}([^{STOP}]*){STOP}"), F.lit(1))
+    fast = F.transform(pieces, lambda m, place: match(F.trim(m, F.lit(PART)), F.length(m) - F.length(F.ltrim(m, F.lit(PART))), place))
+    # Without the signs: a pass for each group.
+    names = [f"g{k}" for k in range(len(numbers))]
+    zipped = F.arrays_zip(*[F.regexp_extract_all(body, union, F.lit(n)).alias(name) for n, name in zip(numbers, names)])
 
     def chosen(m, place):
         which = F.lit(None).cast("int")
         for k in reversed(range(len(names))):
             which = F.when(m[names[k]] != "", F.lit(k)).otherwise(which)
-        raw = F.coalesce(*[F.nullif(m[n], F.lit("")) for n in names])
-        return F.struct(raw.alias("raw"), F.lit(tier).alias("tier"), which.alias("which"), place.alias("place"))
+        return match(F.coalesce(*[F.nullif(m[n], F.lit("")) for n in names], F.lit("")), which, place)
 
-    return F.transform(zipped, chosen)
+    return F.when(body.rlike(f"[{PART}{BEGIN}{STOP}]"), F.transform(zipped, chosen)).otherwise(fast)
 
 
 def looked_up(column: int | str, nothing) -> Column:
@@ -74,8 +89,23 @@ def base_url(body: Column) -> Column:
 
 
 def base_urls(body: Column) -> Column:
-    """All declared base URLs of one body, distinct; those of one pattern after each other."""
-    return F.array_distinct(F.flatten(F.array(*[F.regexp_extract_all(body, F.lit(dialect.java(p)), F.lit(1)) for p in values.BASE_URL])))
+    """All declared base URLs of one body, distinct, by the place where their declarations begin; at one place in the order of the patterns."""
+
+    def found(k: int, pattern: str) -> Column:
+        # Where matches begin: what lies before each, added up.
+        p = dialect.java(pattern)
+        values_, wholes = F.regexp_extract_all(body, F.lit(p), F.lit(1)), F.regexp_extract_all(body, F.lit(p), F.lit(0))
+        between = F.split(F.regexp_replace(body, F.lit(p), F.lit(STOP)), STOP)
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all"))
+        places = F.aggregate(
+            F.arrays_zip(F.slice(between, F.lit(1), F.size(wholes)).alias("b"), wholes.alias("w")),
+            start,
+            lambda s, x: F.struct((s["at"] + F.length(x["b"]) + F.length(x["w"])).alias("at"), F.array_append(s["all"], s["at"] + F.length(x["b"])).alias("all")),
+        )["all"]
+        return F.transform(F.arrays_zip(places.alias("at"), values_.alias("value")), lambda x: F.struct(x["at"].alias("at"), F.lit(k).alias("k"), x["value"].alias("value")))
+
+    every = F.array_sort(F.concat(*[found(k, p) for k, p in enumerate(values.BASE_URL)]))
+    return F.array_distinct(F.transform(F.filter(every, lambda x: x["value"] != ""), lambda x: x["value"]))
 
 
 def method_pairs(body: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import os
 from dataclasses import dataclass, field
 from pathlib import Path
@@ -95,22 +96,34 @@ def load(flag: str = "", user: Path | None = None) -> RuleSet:
         return found
 
 
-def matches(body, pattern: str):
-    """Distinct whole matches in order; none for a null body."""
+def folded(body):
+    """body in lower case, with the sign that RE2 folds to s."""
+    return F.translate(F.lower(body), "\u017f", "s")
+
+
+def matches(body, pattern: str, low=None):
+    """Distinct whole matches in order; none for a null body. low: `folded` body, for the gate."""
     found = F.array_distinct(F.filter(F.regexp_extract_all(body, F.lit(dialect.java(pattern)), F.lit(0)), lambda m: m != ""))
     words = dialect.keywords(pattern)
     none = F.array().cast("array<string>")
     if words:
-        return F.when(body.rlike("(?iu)" + dialect.any_of(words)), found).otherwise(none)
+        low = folded(body) if low is None else low
+        return F.when(functools.reduce(lambda a, b: a | b, [F.contains(low, F.lit(w)) for w in words]), found).otherwise(none)
     return F.coalesce(found, none)
 
 
 def apply(bodies: DataFrame, rules: RuleSet | None = None, body: str = "body") -> DataFrame:
-    """A row for each body and rule that hits: the other columns, rule_id, kind, group, matches. One pass over the bodies, no shuffle."""
+    """A row for each body and rule that hits: the other columns, rule_id, kind, group, matches. No shuffle.
+
+    A body is folded once; plain searches of it for the rules' keywords decide which patterns are run.
+    """
     rules = rules or embedded()
     others = [c for c in bodies.columns if c != body]
-    column = F.col(body)
-    hits = F.array(*[F.struct(F.lit(r.id).alias("rule_id"), F.lit(r.kind).alias("kind"), F.lit(r.group).alias("group"), matches(column, r.pattern).alias("matches")) for r in rules.rules])
+    low = "folded"
+    while low in bodies.columns:
+        low += "_"
+    bodies = bodies.withColumn(low, folded(F.col(body)))
+    hits = F.array(*[F.struct(F.lit(r.id).alias("rule_id"), F.lit(r.kind).alias("kind"), F.lit(r.group).alias("group"), matches(F.col(body), r.pattern, F.col(low)).alias("matches")) for r in rules.rules])
     return bodies.select(*others, F.explode(F.filter(hits, lambda h: F.size(h["matches"]) > 0)).alias("hit")).select(*others, "hit.*")
 
 

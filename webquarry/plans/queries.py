@@ -59,8 +59,14 @@ def rules_sql(table_name: str, key: str, column: str) -> str:
     return f"SELECT {key}, rule_id, kind, \"group\", len(found)::BIGINT AS n, array_to_string(found, chr(10)) AS matches FROM ({each}) WHERE len(found) > 0"
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """rows of a scan, dealt to all cores where its files make fewer splits than there are; large inputs stay as they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(2 * cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def hits(spark, sf_dir, name, key, column) -> DataFrame:
-    return rules.apply(table(spark, sf_dir, name).select(key, F.col(column).alias("body")))
+    return rules.apply(spread(table(spark, sf_dir, name).select(key, F.col(column).alias("body"))))
 
 
 def shown(found: DataFrame, key: str) -> DataFrame:
@@ -179,7 +185,7 @@ def scan_js(spark, sf_dir):
 
 RAW = r"""
 SELECT DISTINCT replace(form, '@@', link) AS raw FROM
-  (SELECT substring(url, 1, 40) AS link FROM @pages UNION ALL SELECT '/' || p_name FROM @part UNION ALL SELECT '/' || lower(p_type) || '/' || CAST(p_partkey AS STRING) FROM @part) a,
+  (SELECT url AS link FROM @pages UNION ALL SELECT '/' || p_name FROM @part UNION ALL SELECT '/' || lower(p_type) || '/' || CAST(p_partkey AS STRING) FROM @part) a,
   (SELECT '@@' AS form UNION ALL SELECT '"@@/list"' UNION ALL SELECT '/static@@.js' UNION ALL SELECT '="./lib@@.mjs?v=1"' UNION ALL SELECT chr(92) || '/v1@@%2Fitems' UNION ALL SELECT 'text/x-java@@'
    UNION ALL SELECT '$@@' UNION ALL SELECT 'a.b.c' UNION ALL SELECT '__webpack_x' UNION ALL SELECT 'btn-primary' UNION ALL SELECT '@@.PNG' UNION ALL SELECT 'https://api.t.net:8443@@?q=1'
    UNION ALL SELECT 'href=@@' UNION ALL SELECT '/a/b/c/d/e/f/g/h/i@@' UNION ALL SELECT '/1/2/3' UNION ALL SELECT '''@@/docs/''') b
@@ -206,7 +212,7 @@ def static_filter(spark, sf_dir):
 
 API_SQL = f"""
 WITH a AS (SELECT raw, replace(replace(replace(replace(raw, ' ', ''), '\\/', '/'), chr(34), ''), chr(39), '') AS s FROM ({RAW})
-  WHERE raw <> '' AND NOT regexp_matches(raw, {sql_text(values.TEXT_X)}) AND NOT regexp_matches(raw, {re2_any(values.MEDIA_TYPES)})
+  WHERE raw <> '' AND NOT regexp_matches(raw, {re2_any(values.MEDIA_TYPES)})
     AND NOT regexp_matches(ltrim(trim(raw, chr(34) || chr(39)), '/'), '^(' || {re2_any(values.API_ROOTS)} || ')')),
 b AS (SELECT raw, regexp_replace({UNESCAPE.format('s')}, '^href=', '') AS s FROM a),
 c AS (SELECT raw, s, CASE WHEN contains(s, '://') THEN regexp_extract(s, '^(?:([a-zA-Z][a-zA-Z0-9+.\\-]*):)?(?://([^/?#]*))?([^?#]*)', 3) || regexp_extract(s, '^[^?#]*(\\?[^#]+)?', 1) ELSE s END AS path FROM b
@@ -252,7 +258,7 @@ SELECT DISTINCT page_id, kind, value FROM (SELECT * FROM f UNION ALL SELECT page
 
 @query("extract_pages", EXTRACTED)
 def extract_pages(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages").select("page_id", F.col("html").alias("body"))
+    pages = spread(table(spark, sf_dir, "pages").select("page_id", F.col("html").alias("body")))
     return extract.extract(pages, ["page_id"]).select("page_id", "kind", "value")
 
 

@@ -18,6 +18,7 @@ OPENID_FIELDS = (
     "authorization_endpoint", "token_endpoint", "userinfo_endpoint", "jwks_uri", "registration_endpoint",
     "introspection_endpoint", "revocation_endpoint", "end_session_endpoint", "device_authorization_endpoint",
 )
+# Verbs of an operation.
 VERBS = ("get", "post", "put", "patch", "delete", "head", "options", "trace")
 OPENAPI = "struct<paths:map<string,map<string,string>>,servers:array<struct<url:string>>,host:string,basePath:string,schemes:array<string>>"
 SOURCE_MAP = "struct<version:int,sources:array<string>,sourcesContent:array<string>,sections:array<struct<map:struct<sources:array<string>,sourcesContent:array<string>>>>>"
