@@ -3,6 +3,8 @@
 import json
 import zipfile
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -172,3 +174,79 @@ def test_stream(spark, tmp_path):
     query.awaitTermination(120)
     lines = [json.loads(r[0]) for r in spark.read.text(str(tmp_path / "out")).collect()]
     assert [x["rule_hit"]["rule_id"] for x in lines] == ["info-email"]
+
+
+def test_media_types_are_literals(spark):
+    from webquarry.functions import candidates
+
+    rows = spark.createDataFrame([("/text/x-user/list",), ("/a/text/x-java/b",), ("/api/text/html",)], "raw string")
+    assert [r[0] for r in rows.select(candidates.api(F.col("raw"))).collect()] == ["/text/x-user/list", None, None]
+
+
+def test_bodies_with_the_signs_of_the_scan_are_scanned(spark):
+    from webquarry.operators import extract
+
+    body = 'a="/js/x.js";b="/js/y.js"'
+    alternatives = dict(extract.tiers())["js"]
+    rows = spark.createDataFrame([(body,), (body + extract.BEGIN + extract.PART,)], "body string").select(extract.scan(F.col("body"), alternatives, 2).alias("m")).collect()
+    assert rows[0]["m"] == rows[1]["m"] and [(x["raw"], x["which"], x["place"]) for x in rows[0]["m"]] == [('="/js/x.js', 3, 0), ('="/js/y.js', 3, 1)]
+
+
+def test_a_mark_over_4_mib_is_found(spark):
+    from webquarry.operators import extract
+
+    body = "x" * (5 << 20) + ' get("/api/v1/far/away") ' + "y" * 100
+    got = extract.extract(spark.createDataFrame([(1, body)], "id int, body string"), ["id"]).collect()
+    assert ("api", "/api/v1/far/away") in {(r["kind"], r["value"]) for r in got}
+
+
+def test_scan_is_resumed(spark, tmp_path):
+    from webquarry.plans import queries, session
+
+    folder = "/root/testdata/sf0.001"
+    if not os.path.isdir(folder):
+        pytest.skip("no tables")
+    one = queries.whole_scan(spark, folder, folder=str(tmp_path / "run"), time=F.lit("2024-01-01").cast("timestamp"))
+    first = one.run().drop("time").toJSON().collect()
+    again = queries.whole_scan(spark, folder, folder=str(tmp_path / "run"), time=F.lit("2024-01-01").cast("timestamp"))
+    second = again.run().drop("time").toJSON().collect()
+    assert one.ran and not again.ran and sorted(first) == sorted(second)
+    state = session.State(str(tmp_path / "run"), "all", spark)
+    assert state.loaded and state.seen(spark).count() > 0
+    assert state.unseen(spark, state.seen(spark).limit(3).unionByName(spark.createDataFrame([("t", "new")], "target string, url string"))).count() == 1
+    only = queries.whole_scan(spark, folder, config=session.Config(collect_only=True)).run()
+    assert {r[0] for r in only.select("event").distinct().collect()} == {"discovered_url", "api_path", "stage", "summary"}
+
+
+def test_saved_answers_are_read_and_processed(spark, tmp_path):
+    from webquarry.operators import responses
+
+    assert responses.read_saved(spark, str(tmp_path)).count() == 0
+    (tmp_path / "response").mkdir()
+    (tmp_path / "response" / "GET_a.txt").write_text(' {"url": "/next/page", "mail": "a@b.net"}')
+    (tmp_path / "response" / "GET_b.txt").write_text("plain")
+    (tmp_path / "response" / "GET_c.log").write_text('{"url": "/no"}')
+    hits, links = responses.processed(responses.read_saved(spark, str(tmp_path), "https://t/"))
+    assert [(r["url"], r["source"], r["referer"].rsplit("/", 1)[1]) for r in links.collect()] == [("/next/page", "json_walk", "GET_a.txt")]
+    assert "info-email" in {r["rule_id"] for r in hits.collect()}
+
+
+def test_all_sinks_are_tried(spark):
+    from webquarry.operators import report
+
+    got = []
+
+    def fails(r):
+        raise OSError("full")
+
+    with pytest.raises(OSError):
+        report.write_all(spark.range(3), fails, lambda r: got.append(r.count()))
+    assert got == [3]
+
+
+def test_requests_of_a_host_are_paced(spark):
+    from webquarry.plans import session
+
+    plan = spark.createDataFrame([("t", f"https://h{k % 2}.net/{k}") for k in range(40)], "target string, url string")
+    due = sorted(r["due_ms"] for r in session.paced(plan, 5).collect())
+    assert due == sorted(x for k in range(20) for x in (200 * k, 200 * k))

@@ -75,6 +75,32 @@ def summary(report: DataFrame) -> DataFrame:
     )
 
 
+def finished(report: DataFrame, targets: DataFrame, stages, time=None) -> DataFrame:
+    """report with a stage event for each target and stage, and a summary event with the counts of each target."""
+    each = targets.select("target").distinct()
+    begun = each.select("target", F.explode(F.array(*[F.lit(s) for s in stages])).alias("stage"))
+    marks = begun.select(F.lit(SCHEMA).alias("schema"), (time if time is not None else F.current_timestamp()).alias("time"), "target", F.lit("stage").alias("event"), "stage")
+    counts = each.join(summary(report), "target", "left").na.fill(0)
+    ends = events(counts, "summary", SUMMARY, time)
+    return report.unionByName(marks, allowMissingColumns=True).unionByName(ends)
+
+
+def write_all(report: DataFrame, *sinks) -> None:
+    """The report to several sinks (functions of a report); it is computed once. All sinks are tried, then the first failure is raised."""
+    report = report.persist()
+    failed = []
+    try:
+        for sink in sinks:
+            try:
+                sink(report)
+            except Exception as e:  # the other sinks must not miss it
+                failed.append(e)
+    finally:
+        report.unpersist()
+    if failed:
+        raise failed[0]
+
+
 def kept_urls(report: DataFrame) -> DataFrame:
     return report.filter("event = 'probe' and probe.kept").select("probe.target", "probe.url")
 
@@ -167,8 +193,12 @@ def write_csv(report: DataFrame, path: str) -> None:
 
 
 def write_xlsx(report: DataFrame, path: str, max_rows: int = 1_048_575) -> None:
-    """A workbook of the ten sheets on the driver, streamed row by row; a sheet that a workbook can't hold is refused."""
+    """A workbook of the ten sheets on the driver, streamed row by row; a report with a sheet that a workbook can't hold is refused before."""
+    report = report.persist()
     names = sheets(report)
+    for name, table in names.items():
+        if table.limit(max_rows + 1).count() > max_rows:
+            raise ValueError(f"more than {max_rows} rows for the sheet {name}; write CSV instead")
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as out:
         parts = range(1, len(names) + 1)
         head = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>'
@@ -183,8 +213,7 @@ def write_xlsx(report: DataFrame, path: str, max_rows: int = 1_048_575) -> None:
                 write = lambda s, sheet=sheet: sheet.write(s.encode())
                 line = lambda values: "<row>" + "".join(f'<c t="inlineStr"><is><t xml:space="preserve">{escape(v or "")}</t></is></c>' for v in values) + "</row>"
                 write(f'{head}<worksheet xmlns="{main}"><sheetData>' + line(table.columns))
-                for n, row in enumerate(table.toLocalIterator()):
-                    if n >= max_rows:
-                        raise ValueError(f"more than {max_rows} rows for a sheet; write CSV instead")
+                for row in table.toLocalIterator():
                     write(line(row))
                 write("</sheetData></worksheet>")
+    report.unpersist()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -71,3 +71,19 @@ def json_discoveries(bodies: DataFrame) -> DataFrame:
 def parameters(bodies: DataFrame) -> DataFrame:
     """Distinct parameter names in bodies."""
     return bodies.select(F.explode(jsonwalk.json_parameters("body")).alias("parameter")).distinct()
+
+
+def read_saved(spark: SparkSession, folder: str, target: str | None = None) -> DataFrame:
+    """target, file, body of the answers that a run has saved as response/*.txt under a folder; none if there is no such folder."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/response")
+    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+        return spark.createDataFrame([], "target string, file string, body string")
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path.toString())
+    return found.select(F.lit(target).cast("string").alias("target"), F.col("path").alias("file"), F.col("content").cast("string").alias("body"))
+
+
+def processed(saved: DataFrame, rules: rule_engine.RuleSet | None = None) -> tuple[DataFrame, DataFrame]:
+    """Saved answers (target, file, body): rule hits, and the links of those that are JSON, whose referer is the file."""
+    hits = rule_engine.apply(saved.select("target", "file", "body"), rules)
+    links = saved.select("target", F.col("file").alias("referer"), F.explode(jsonwalk.json_urls(F.col("body"))).alias("url"))
+    return hits, links.select("target", "url", F.lit("api_path").alias("kind"), "referer", F.lit("json_walk").alias("source"))

@@ -13,9 +13,11 @@ from pyspark.sql import functions as F
 
 from webquarry.functions import candidates, jsonwalk, urls, values
 from webquarry.operators import crawl, extract, report, responses, rules
-from webquarry.plans import probes, session
+from webquarry.plans import probes, samples, scan, session
 from webquarry.sources import targets, wellknown
 
+#: A table in SQL that both engines read.
+TABLE = re.compile(r"@(region|nation|customer|supplier|part|orders|lineitem|events|documents|pages)\b")
 QUERIES: dict = {}
 ORACLES: dict = {}
 
@@ -24,7 +26,7 @@ def query(name: str, oracle: str | None = None):
     def keep(function):
         QUERIES[name] = function
         if oracle:
-            ORACLES[name] = re.sub(r"@(\w+)", r"\1", oracle)
+            ORACLES[name] = TABLE.sub(r"\1", oracle)
         return function
 
     return keep
@@ -35,9 +37,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def made(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    names = sorted(set(re.findall(r"@(\w+)", sql)))
+    names = sorted(set(TABLE.findall(sql)))
     frames = {f"t_{n}": table(spark, sf_dir, n) for n in names}
-    return spark.sql(re.sub(r"@(\w+)", r"{t_\1}", sql.replace("{", "{{").replace("}", "}}")), **frames)
+    return spark.sql(TABLE.sub(r"{t_\1}", sql.replace("{", "{{").replace("}", "}}")), **frames)
 
 
 def sql_text(s: str) -> str:
@@ -95,6 +97,30 @@ def rule_groups(spark, sf_dir):
     return table(spark, sf_dir, "part").select(name.alias("name"), rules.slug(name).alias("slug"), rules.group_prefix(name).alias("prefix"), rules.inferred_kind(name, F.lit(False)).alias("kind")).distinct()
 
 
+def texts_sql(texts) -> str:
+    """id, place, body: each sample for each nation, by SQL that both engines read."""
+    # Signs that stand for others here: an at sign would name a table, a backslash means more to one engine than to the other.
+    rows = " UNION ALL ".join(f"SELECT {k} AS place, {sql_text(t.replace('@@', '§').replace('@', '¤'))} AS form" for k, t in enumerate(texts))
+    return f"SELECT n_nationkey * 1000 + place AS id, place, replace(replace(replace(form, '§', lower(replace(n_name, '_', ''))), '~', chr(92)), '¤', chr(64)) AS body FROM @nation, ({rows}) f"
+
+
+RULE_BODIES = texts_sql([t for _, t in samples.RULE_TEXTS])
+
+
+@query("rules_samples", f"WITH b AS MATERIALIZED ({RULE_BODIES}) " + rules_sql("b", "id", "body"))
+def rules_samples(spark, sf_dir):
+    """Hits and near misses of each rule."""
+    return shown(rules.apply(spread(made(spark, sf_dir, RULE_BODIES).select("id", "body"))), "id")
+
+
+@query("rules_sampled", "SELECT rule_id, n_nations FROM (VALUES " + ", ".join(f"({sql_text(i)}, 25::BIGINT)" for i, _ in samples.RULE_TEXTS if i) + ") t(rule_id, n_nations)")
+def rules_sampled(spark, sf_dir):
+    """In how many nations' samples a rule hits the text that is made for it: all, for each rule."""
+    made_for = spark.createDataFrame([(k, i) for k, (i, _) in enumerate(samples.RULE_TEXTS) if i], "place int, made_for string")
+    found = rules.apply(spread(made(spark, sf_dir, RULE_BODIES))).join(F.broadcast(made_for), "place").filter("rule_id = made_for")
+    return found.groupBy("rule_id").agg(F.count(F.lit(1)).alias("n_nations"))
+
+
 # ---- bodies of scripts ------------------------------------------------------------------------------------
 
 SCRIPTS = """
@@ -234,26 +260,58 @@ def api_filter(spark, sf_dir):
 # ---- extraction of whole pages ----------------------------------------------------------------------------
 
 
-def matches_sql(tier: str, alternatives) -> str:
-    """page_id, tier, kind, slash, bare: what an alternation takes from pages, as `extract.scan` reads it."""
+#: Where the value groups of the alternatives are in each tier's alternation, counted from the patterns.
+VALUE_GROUPS = {"extra": (2, 4, 6, 8, 10, 12, 14, 16, 18, 20, 22, 24, 26, 28), "js": (1, 2, 3, 4), "static": (1, 2, 3), "api": (1, 2, 3, 4, 6, 8, 10, 11, 12, 14)}
+
+
+def matches_sql(tier: str, alternatives, source: str, key: str, body: str) -> str:
+    """key, tier, kind, slash, pattern, place, bare: what an alternation takes from bodies, as `extract.scan` reads it."""
     union = sql_text("|".join(f"({p})" for _, _, p, _, _ in alternatives))
-    at, columns, values_ = 1, [], []
-    for k, (_, _, pattern, group, _) in enumerate(alternatives):
-        columns.append(f"unnest(regexp_extract_all(html, {union}, {at + group})) AS g{k}")
-        values_.append(f"nullif(g{k}, '')")
-        at += 1 + extract.groups_in(pattern)
+    columns = [f"unnest(regexp_extract_all({body}, {union}, {g})) AS g{k}" for k, g in enumerate(VALUE_GROUPS[tier])]
+    columns.append(f"unnest(range(len(regexp_extract_all({body}, {union})))) AS place")
+    values_ = [f"nullif(g{k}, '')" for k in range(len(alternatives))]
     pick = lambda c: "CASE " + " ".join(f"WHEN coalesce(g{k}, '') <> '' THEN {sql_text(a[c]) if c < 4 else a[c]}" for k, a in enumerate(alternatives)) + " END"
     raw = f"coalesce({', '.join(values_)})"
-    return f"SELECT page_id, '{tier}' AS tier, {pick(1)} AS kind, {pick(4)} AS slash, {STRIP.format(raw)} AS bare FROM (SELECT page_id, {', '.join(columns)} FROM pages)"
+    return f"SELECT {key}, '{tier}' AS tier, {pick(1)} AS kind, {pick(4)} AS slash, {pick(0)} AS pattern, place, {STRIP.format(raw)} AS bare FROM (SELECT {key}, {', '.join(columns)} FROM {source})"
 
 
-EXTRACTED = f"""WITH m AS ({' UNION ALL '.join(matches_sql(t, a) for t, a in extract.tiers())}),
+def extracted_sql(source: str, key: str, body: str) -> str:
+    """key, kind, value, pattern of bodies without declared bases, verbs, routes and chunk maps."""
+    return f"""WITH m AS ({' UNION ALL '.join(matches_sql(t, a, source, key, body) for t, a in extract.tiers())}),
 v AS (SELECT DISTINCT 'extra' AS tier, slash, bare, CASE WHEN slash AND NOT starts_with(bare, '/') AND NOT contains(bare, '://') THEN '/' || bare ELSE bare END AS value FROM m WHERE tier = 'extra' AND bare <> ''
 UNION ALL SELECT 'js', FALSE, raw, value FROM ({JS_SQL.replace(f'({RAW})', "(SELECT DISTINCT bare AS raw FROM m WHERE tier = 'js')")})
 UNION ALL SELECT 'static', FALSE, raw, value FROM ({STATIC_SQL.replace(f'({RAW})', "(SELECT DISTINCT bare AS raw FROM m WHERE tier = 'static')")})
 UNION ALL SELECT 'api', FALSE, raw, value FROM ({API_SQL.replace(f'({RAW})', "(SELECT DISTINCT bare AS raw FROM m WHERE tier = 'api')")})),
-f AS (SELECT page_id, kind, value FROM m JOIN v USING (tier, slash, bare))
-SELECT DISTINCT page_id, kind, value FROM (SELECT * FROM f UNION ALL SELECT page_id, 'js', value FROM f WHERE kind <> 'js' AND regexp_matches(value, '\\.[mc]?js$'))"""
+t AS (SELECT *, CASE tier WHEN 'extra' THEN 1 WHEN 'js' THEN 2 WHEN 'static' THEN 3 ELSE 4 END AS tier_no FROM m JOIN v USING (tier, slash, bare)),
+f AS (SELECT {key}, kind, value, pattern, tier_no AS ord, tier_no, place FROM t),
+g AS (SELECT * FROM f UNION ALL SELECT {key}, 'js', value, pattern, 5, tier_no, place FROM f WHERE kind <> 'js' AND regexp_matches(value, '\\.[mc]?js$'))
+SELECT {key}, kind, value, arg_min(pattern, ord * 1000000000000 + tier_no * 100000000000 + place) AS pattern FROM g GROUP BY {key}, kind, value"""
+
+
+EXTRACT_BODIES = texts_sql(samples.EXTRACT_TEXTS)
+EXTRACTED = f"SELECT page_id, kind, value FROM ({extracted_sql('pages', 'page_id', 'html')})"
+
+
+@query("extract_samples", extracted_sql(f"({EXTRACT_BODIES})", "id", "body"))
+def extract_samples(spark, sf_dir):
+    """Each pattern of each tier, with its id, and what the filters refuse."""
+    return extract.extract(made(spark, sf_dir, EXTRACT_BODIES).select("id", "body"), ["id"]).select("id", "kind", "value", "pattern")
+
+
+BASES = texts_sql([t for t, _ in samples.BASE_TEXTS])
+
+
+@query("base_url_list", "SELECT n_nationkey * 1000 + place AS id, replace(bases, '@@', lower(replace(n_name, '_', ''))) AS bases FROM nation, (VALUES " + ", ".join(f"({k}, {sql_text(b)})" for k, (_, b) in enumerate(samples.BASE_TEXTS)) + ") t(place, bases)")
+def base_url_list(spark, sf_dir):
+    return made(spark, sf_dir, BASES).select("id", F.array_join(extract.base_urls(F.col("body")), "|").alias("bases"))
+
+
+MESSAGES = texts_sql([t for t, _ in samples.MESSAGE_TEXTS])
+
+
+@query("parameter_messages", "SELECT n_nationkey * 1000 + place AS id, name FROM nation, (VALUES " + ", ".join(f"({k}, {sql_text(n)})" for k, (_, n) in enumerate(samples.MESSAGE_TEXTS)) + ") t(place, name) WHERE name <> ''")
+def parameter_messages(spark, sf_dir):
+    return made(spark, sf_dir, MESSAGES).select("id", F.explode(jsonwalk.json_parameters("body")).alias("name"))
 
 
 @query("extract_pages", EXTRACTED)
@@ -495,11 +553,12 @@ def black_text(spark, sf_dir):
 EDGES = "SELECT o_custkey AS src, (o_orderkey * 7 + 3) % 500 AS dst FROM @orders"
 
 
-@query("crawl_levels", f"""WITH RECURSIVE e AS (SELECT DISTINCT src, dst FROM ({EDGES})), r(node, depth) AS (SELECT DISTINCT src, 0 FROM e WHERE src < 3 UNION SELECT e.dst, r.depth + 1 FROM r JOIN e ON e.src = r.node WHERE r.depth < 3)
+@query("crawl_levels", f"""WITH RECURSIVE e AS (SELECT DISTINCT src, dst FROM ({EDGES})), r(node, depth) AS (SELECT DISTINCT src, 0 FROM e WHERE src NOT IN (SELECT dst FROM e) UNION SELECT e.dst, r.depth + 1 FROM r JOIN e ON e.src = r.node WHERE r.depth < 3)
 SELECT node, min(depth)::INT AS depth FROM r GROUP BY node""")
 def crawl_levels(spark, sf_dir):
     edges = made(spark, sf_dir, EDGES).distinct()
-    return crawl.levels(edges, edges.select(F.col("src").alias("node")).filter("node < 3"), 3)
+    sources = edges.select(F.col("src").alias("node")).join(edges.select(F.col("dst").alias("node")), "node", "left_anti")
+    return crawl.levels(edges, sources, 3)
 
 
 PAGES = """SELECT DISTINCT 'https://app.t.net/' AS target, 'https://app.t.net/s/' || CAST(n_nationkey AS STRING) || '.js' AS url, CAST(CASE WHEN n_nationkey % 5 = 4 THEN 404 ELSE 200 END AS INT) AS status,
@@ -519,20 +578,20 @@ def events(spark, sf_dir) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     u = F.col("url")
     found = pages.select(urls.origin(u).alias("target"), "url", F.lit("").alias("referer"), urls.kind_of_request(u).alias("kind"), F.lit(0).alias("depth"), F.lit("chromedp").alias("source"), F.lit(None).cast("string").alias("method"))
-    hit = rules.apply(pages.select(urls.origin(u).alias("target"), u.alias("file"), u.alias("body")))
+    hit = rules.apply(spread(pages.select(urls.origin(u).alias("target"), u.alias("file"), F.col("html").alias("body"))))
     return report.report(found, results(spark, sf_dir), hit, F.lit("2024-01-01 00:00:00").cast("timestamp"))
 
 
-URL_HITS = f"SELECT origin AS target, h.* FROM ({rules_sql('pages', 'page_id', 'url')}) h JOIN ({SPLIT}) USING (page_id)"
+PAGE_HITS = f"SELECT origin AS target, url AS file, h.* FROM ({rules_sql('pages', 'page_id', 'html')}) h JOIN pages USING (page_id) JOIN ({SPLIT}) USING (page_id)"
 
 
-@query("event_counts", f"SELECT event, n FROM (SELECT 'discovered_url' AS event, count(*)::BIGINT AS n FROM pages UNION ALL SELECT 'probe', count(*)::BIGINT FROM events UNION ALL SELECT 'rule_hit', count(*)::BIGINT FROM ({URL_HITS})) WHERE n > 0")
+@query("event_counts", f"SELECT event, n FROM (SELECT 'discovered_url' AS event, count(*)::BIGINT AS n FROM pages UNION ALL SELECT 'probe', count(*)::BIGINT FROM events UNION ALL SELECT 'rule_hit', count(*)::BIGINT FROM ({PAGE_HITS})) WHERE n > 0")
 def event_counts(spark, sf_dir):
     return events(spark, sf_dir).groupBy("event").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("summary", f"""SELECT target, sum(u)::BIGINT AS urls_discovered, 0::BIGINT AS js_fetched, 0::BIGINT AS api_paths, sum(p)::BIGINT AS probes, sum(h)::BIGINT AS rule_hits FROM (
-SELECT origin AS target, 1 AS u, 0 AS p, 0 AS h FROM ({SPLIT}) UNION ALL SELECT target, 0, 1, 0 FROM ({ANSWERED}) UNION ALL SELECT target, 0, 0, 1 FROM ({URL_HITS})) GROUP BY target""")
+SELECT origin AS target, 1 AS u, 0 AS p, 0 AS h FROM ({SPLIT}) UNION ALL SELECT target, 0, 1, 0 FROM ({ANSWERED}) UNION ALL SELECT target, 0, 0, 1 FROM ({PAGE_HITS})) GROUP BY target""")
 def summary(spark, sf_dir):
     return report.summary(events(spark, sf_dir))
 
@@ -547,23 +606,23 @@ def json_answers(spark, sf_dir):
     return report.json_answers(events(spark, sf_dir))
 
 
-@query("hits_by_kind", f"SELECT kind, count(*)::BIGINT AS hits FROM ({URL_HITS}) GROUP BY kind")
+@query("hits_by_kind", f"SELECT kind, count(*)::BIGINT AS hits FROM ({PAGE_HITS}) GROUP BY kind")
 def hits_by_kind(spark, sf_dir):
     return report.hits_by_kind(events(spark, sf_dir))
 
 
-@query("sensitive_matches", f"SELECT target, rule_id, unnest(string_split(matches, chr(10))) AS match FROM ({URL_HITS}) WHERE kind = 'sensitive'")
+@query("sensitive_matches", f"SELECT target, rule_id, unnest(string_split(matches, chr(10))) AS match FROM ({PAGE_HITS}) WHERE kind = 'sensitive'")
 def sensitive_matches(spark, sf_dir):
     return report.sensitive_matches(events(spark, sf_dir))
 
 
-@query("targets_by_rule", f"SELECT rule_id, count(DISTINCT target)::BIGINT AS targets, count(*)::BIGINT AS hits FROM ({URL_HITS}) GROUP BY rule_id")
+@query("targets_by_rule", f"SELECT rule_id, count(DISTINCT target)::BIGINT AS targets, count(*)::BIGINT AS hits FROM ({PAGE_HITS}) GROUP BY rule_id")
 def targets_by_rule(spark, sf_dir):
     return report.targets_by_rule(events(spark, sf_dir))
 
 
 @query("sheet_rows", f"""SELECT sheet, n::BIGINT AS n FROM (SELECT unnest([{', '.join(sql_text(x) for x in report.SHEETS)}]) AS sheet, unnest([(SELECT count(*) FROM pages), 0, (SELECT count(*) FROM ({SPLIT}) WHERE NOT regexp_matches(path, '[.][^./]*$')), 0, 0, 0, 0,
-(SELECT count(*) FROM ({PROBED_SQL}) WHERE kept), (SELECT count(*) FROM ({URL_HITS}) WHERE kind <> 'sensitive'), (SELECT count(*) FROM ({URL_HITS}) WHERE kind = 'sensitive')]) AS n)""")
+(SELECT count(*) FROM ({PROBED_SQL}) WHERE kept), (SELECT count(*) FROM ({PAGE_HITS}) WHERE kind <> 'sensitive'), (SELECT count(*) FROM ({PAGE_HITS}) WHERE kind = 'sensitive')]) AS n)""")
 def sheet_rows(spark, sf_dir):
     found = report.sheets(events(spark, sf_dir))
     rows = [t.agg(F.lit(n).alias("sheet"), F.count(F.lit(1)).alias("n")) for n, t in found.items()]
@@ -573,6 +632,68 @@ def sheet_rows(spark, sf_dir):
     return out
 
 
+@query("sheet_cells", f"""SELECT {sql_text(report.SHEETS[0])} AS sheet, concat_ws('|', origin, url, CASE WHEN regexp_extract(path, '(\\.[^./]*)$', 1) = '' THEN 'no_js' WHEN lower(regexp_extract(path, '(\\.[^./]*)$', 1)) = '.js' THEN 'js' ELSE 'static' END, 'chromedp') AS cells FROM pages JOIN ({SPLIT}) USING (page_id)
+UNION ALL SELECT {sql_text(report.SHEETS[7])}, concat_ws('|', target, url, 'GET', '200', 'Application/JSON', octet_length(encode(response)), CASE WHEN body_sha256 IS NOT NULL AND NOT duplicate THEN regexp_replace(regexp_extract(target, '//([^/]*)', 1), '[^a-zA-Z0-9._-]', '_', 'g') || '/response/GET_' || regexp_replace(url, '[^a-zA-Z0-9._-]', '_', 'g') || '.txt' END, body_sha256, CASE WHEN duplicate THEN 'true' END, 'crawl')
+FROM ({PROBED_SQL}) JOIN (SELECT target, url, response FROM ({ANSWERED})) USING (target, url) WHERE kept
+UNION ALL SELECT CASE kind WHEN 'sensitive' THEN {sql_text(report.SHEETS[9])} ELSE {sql_text(report.SHEETS[8])} END, concat_ws('|', target, rule_id, kind, "group", array_to_string(list_sort(string_split(matches, chr(10))), ' | '), file) FROM ({PAGE_HITS})""")
+def sheet_cells(spark, sf_dir):
+    found = report.sheets(events(spark, sf_dir))
+    rows = []
+    for name in (report.SHEETS[0], report.SHEETS[7], report.SHEETS[8], report.SHEETS[9]):
+        columns = [F.array_join(F.array_sort(F.split("matches", r" \| ")), " | ") if c == "matches" else F.col(c) for c in found[name].columns]
+        rows.append(found[name].select(F.lit(name).alias("sheet"), F.concat_ws("|", *columns).alias("cells")))
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    return out
+
+
+# ---- a whole scan -----------------------------------------------------------------------------------------
+
+# The script is found on the home page, and again when the crawl reads that page.
+SCAN_TARGETS = "SELECT 'https://w' || CAST(n_nationkey AS STRING) || '.shop.net/' AS target FROM @nation"
+SCAN_BODIES = """SELECT target, rtrim('/', target) || place AS url, CAST(200 AS INT) AS status, body FROM (SELECT 'https://w' || CAST(n_nationkey AS STRING) || '.shop.net/' AS target, n_nationkey AS n FROM @nation) t,
+(SELECT '/' AS place, '<script src="/js/app.js"></script>' AS body, 1 AS every UNION ALL SELECT '/robots.txt', 'Disallow: /api/hidden' || chr(10) || 'Sitemap: /maps/s.xml', 1 UNION ALL SELECT '/.well-known/security.txt', 'Contact: x', 2
+UNION ALL SELECT '/js/app.js', 'get("/api/v1/item/get")', 1 UNION ALL SELECT '/openapi.json', '{"paths":{"/api/v2/list":{"get":{}}}}', 5) b WHERE n % every = 0""".replace("rtrim('/', target)", "left(target, length(target) - 1)")
+SCAN_ANSWERS = """SELECT 'https://w' || CAST(n_nationkey AS STRING) || '.shop.net/' AS target, 'https://w' || CAST(n_nationkey AS STRING) || '.shop.net/api/v1/item/get' AS url, 'GET' AS method, CAST(200 AS INT) AS status_code, 'application/json' AS content_type,
+'{"data":{"url":"/deep/' || CAST(n_nationkey AS STRING) || '","mail":"a' || CAST(n_nationkey AS STRING) || chr(64) || 'b.net"}}' AS response FROM @nation
+UNION ALL SELECT 'https://w' || CAST(n_nationkey AS STRING) || '.shop.net/', 'https://w' || CAST(n_nationkey AS STRING) || '.shop.net/api/v1/', 'GET', CAST(403 AS INT), 'text/html', 'no' FROM @nation"""
+#: A hit row for each rule that the kept answer of a target has.
+SCAN_HITS = f"SELECT count(*) FROM ({rules_sql(f'(SELECT * FROM ({SCAN_ANSWERS}) WHERE status_code = 200)', 'url', 'response')})"
+SCAN_SQL = f"""SELECT event, kind, n::BIGINT AS n FROM (VALUES ('discovered_url', 'base_url', 25), ('discovered_url', 'js', 50), ('discovered_url', 'api_path', 75), ('discovered_url', 'static_url', 43), ('api_path', '', 25),
+('probe', '', 50), ('stage', '', 150), ('summary', '', 25), ('rule_hit', '', ({SCAN_HITS}))) t(event, kind, n)"""
+
+
+def whole_scan(spark, sf_dir, **options) -> scan.Scan:
+    return scan.Scan(spark, made(spark, sf_dir, SCAN_TARGETS), made(spark, sf_dir, SCAN_BODIES), made(spark, sf_dir, SCAN_ANSWERS), **options)
+
+
+def counted(found: DataFrame) -> DataFrame:
+    return found.groupBy("event", F.coalesce(F.when(F.col("event") == "discovered_url", F.col("discovered_url.kind")), F.lit("")).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("scan_events", SCAN_SQL)
+def scan_events(spark, sf_dir):
+    return counted(whole_scan(spark, sf_dir).run())
+
+
+@query("scan_summary", f"SELECT 'https://w' || n_nationkey || '.shop.net/' AS target, (6 + CASE WHEN n_nationkey % 2 = 0 THEN 1 ELSE 0 END + CASE WHEN n_nationkey % 5 = 0 THEN 1 ELSE 0 END)::BIGINT AS urls_discovered, 2::BIGINT AS js_fetched, 1::BIGINT AS api_paths, 2::BIGINT AS probes FROM nation")
+def scan_summary(spark, sf_dir):
+    found = whole_scan(spark, sf_dir).run().filter("event = 'summary'")
+    return found.select("target", *[F.col(f"summary.{c}").alias(c) for c in ("urls_discovered", "js_fetched", "api_paths", "probes")])
+
+
+@query("homepage_modes", f"""SELECT mode, count(*)::BIGINT AS n FROM (SELECT 'on' AS mode FROM nation WHERE n_nationkey % 2 = 0 UNION ALL SELECT 'off' FROM nation, range(3) UNION ALL SELECT 'auto' FROM nation WHERE n_nationkey % 2 = 0 UNION ALL SELECT 'auto' FROM nation, range(3) WHERE n_nationkey % 2 = 1) GROUP BY mode""")
+def homepage_modes(spark, sf_dir):
+    homes = made(spark, sf_dir, HOMES)
+    requests = made(spark, sf_dir, "SELECT 'https://h' || CAST(n_nationkey AS STRING) || '.net/app/' AS target, 'https://h.net/' || CAST(n_nationkey AS STRING) AS url FROM @nation WHERE n_nationkey % 2 = 0")
+    out = None
+    for mode in ("on", "off", "auto"):
+        rows = targets.homepages(homes, requests, mode).groupBy(F.lit(mode).alias("mode")).agg(F.count(F.lit(1)).alias("n"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 HOSTS = "SELECT DISTINCT CAST(p_size % 20 AS INT) AS cpu, CAST(p_size % 5 AS BIGINT) * 8589934592 AS ram FROM @part"
 
 

@@ -91,3 +91,16 @@ def captured(requests: DataFrame) -> DataFrame:
     """target, url, kind, source of captured requests, each once; inline data is left out."""
     kept = requests.filter(~F.col("url").startswith("data:") & ~F.col("url").startswith("blob:")).dropDuplicates(["target", "url"])
     return kept.select("target", "url", urls.kind_of_request(F.col("url")).alias("kind"), F.lit("chromedp").alias("source"))
+
+
+def homepages(bodies: DataFrame, requests: DataFrame | None = None, mode: str = "auto") -> DataFrame:
+    """target, url, kind, source by the mode: "on" captured requests, "off" the scripts that pages name, "auto" captured ones for the targets that have any."""
+    if mode not in ("on", "off", "auto"):
+        raise ValueError(f"unknown mode {mode!r}")
+    if mode == "on" and requests is None:
+        raise ValueError("there are no captured requests")
+    if mode == "off" or requests is None:
+        return homepage(bodies)
+    if mode == "on":
+        return captured(requests)
+    return captured(requests).unionByName(homepage(bodies.join(requests.select("target").distinct(), "target", "left_anti")))

@@ -133,3 +133,34 @@ def source_map(bodies: DataFrame, key: list[str]) -> DataFrame:
     sections = F.flatten(F.transform("m.sections", lambda s: F.coalesce(both(s["map"]["sources"], s["map"]["sourcesContent"]), none)))
     everything = F.concat(F.coalesce(both(F.col("m.sources"), F.col("m.sourcesContent")), none), F.coalesce(sections, none))
     return maps.select(*key, F.explode(everything).alias("s")).select(*key, "s.path", "s.content").filter("content != ''")
+
+
+def discovered(bodies: DataFrame) -> DataFrame:
+    """target, url, kind, source, methods of all that documents at well-known places tell; operations of API descriptions have the kind endpoint.
+
+    bodies: target, url, status, body. A document is known by its place at the target's origin; nested sitemaps are those that others name.
+    """
+    bodies = readable(bodies).select("target", "url", "body", urls.origin(F.col("target")).alias("origin"))
+
+    def at(*paths: str) -> DataFrame:
+        return bodies.filter(F.array_contains(F.transform(F.array(*[F.lit(p) for p in paths]), lambda p: F.concat("origin", p)), F.col("url")))
+
+    def there(rows: DataFrame, kind: str, source: str) -> DataFrame:
+        return rows.select("target", "url", F.lit(kind).alias("kind"), F.lit(source).alias("source"))
+
+    named = robots(at("/robots.txt"))
+    maps = at("/sitemap.xml").select("target", "url").unionByName(named.filter("kind = 'sitemap'").select("target", "url")).distinct().withColumn("top", F.lit(True))
+    maps = bodies.join(maps, ["target", "url"], "left").select("target", "url", "body", F.col("top").isNull().alias("nested"))
+    described, health = at(*OPENAPI_PATHS), at(*MAPPING_PATHS)
+    parts = [
+        named.filter("kind != 'sitemap'"), sitemaps(maps),
+        there(at("/.well-known/security.txt"), "static_url", "wellknown:security.txt"),
+        there(at("/.well-known/openid-configuration"), "static_url", "wellknown:openid"), openid(at("/.well-known/openid-configuration")),
+        there(described, "static_url", "wellknown:openapi"), there(health, "api_path", "wellknown:actuator"),
+        mappings(at("/actuator/mappings")).withColumn("kind", F.lit("api_path")),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    none = F.lit(None).cast("array<string>")
+    return out.withColumn("methods", none).distinct().unionByName(openapi(described).withColumn("kind", F.lit("endpoint")))
