@@ -1,15 +1,20 @@
 """Main text of web pages by a site style tree.
 
-Pages of a host are merged into one tree, whose nodes are the paths of elements (tag, class, id and role).
-For each node the table has in how many pages it is, which child styles it has there, and which contents.
-Importance is entropy: of the styles for presentation, and one minus the mean entropy of the contents over
-the pages for content, joined as (1 - g^l) * presentation + g^l * content for l styles. A branch goes when
-it and all below are under the threshold; as text hangs on leaves, that is: when its leaf is. Elements that
-are menus, headers, footers, forms and the like by their tag, class, id or role have importance 0, and where a
-page marks its article or main part, the rest has.
+Pages of a host are merged into one tree, whose nodes are the paths of elements (tag, class, id and role). For each node the table
+has in how many pages it is, which sequences of child styles it has there, which contents, and which share of a page's words is in its branch.
+Importance of a node is entropy weighed by that share. Presentation: the entropy of its child styles over the pages; content:
+one minus the mean entropy of its contents over the pages; joined as (1 - g^l) * presentation + g^l * content for l
+styles. A page's branches are judged from the body down. A branch goes when its importance is under the threshold. One that holds
+most of a page's words, in leaves directly below it, is the content of the host: nothing below it goes by its share, only boxes
+(div, section, span and the like) whose content and style are the same on all pages. A paragraph, heading or list of its own is
+never judged by its share, so short parts of an article stay.
+
+What tags, classes, ids and roles say is a prior beside the tree: an article or main part is content, menus, headers, footers, forms,
+comments, adverts and the like have importance 0. It decides alone for hosts with fewer than MIN_PAGES pages and for what no entropy
+can tell (readers' comments are as varied as articles); `prior=False` turns it off.
 
 The tree is never collected: its nodes are sums over all pages, whichever host they are of, so a host with
-a third of the pages is added up in parts like any other. Nodes of low importance are broadcast up to
+a third of the pages is added up in parts like any other. Judged nodes are broadcast up to
 BROADCAST_NODES; more are joined to the pages.
 
 Defined cases: null or empty html gives an empty text; markup that is cut off ends there, and an unclosed
@@ -34,6 +39,12 @@ from .common import cut, mapped, pieces, table
 from .url_filter import with_parts
 
 GAMMA, THRESHOLD, MIN_PAGES = 0.9, 0.3, 4
+#: Importance under which a branch beside the content goes, and the share of a page's words from which a branch is its content.
+BESIDE, CONTENT = 0.15, 0.5
+#: Verdicts on nodes.
+LOW, CORE, SAME = 1, 2, 4
+#: Elements that stand for text themselves: never judged by their share of a page.
+FLOW = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre blockquote td th tr tbody thead tfoot caption figcaption br hr html body main article".split())
 BROADCAST_NODES = 500_000
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style title textarea noscript iframe template xmp noembed noframes".split())
@@ -111,7 +122,7 @@ class Page:
                 self.open.append((tag, path, noisy, article, False))
                 return
         self.flush()
-        name = tag + "".join("." + re.sub(r"\d+", "0", found[a]) for a in ("class", "id", "role") if a in found)
+        name = tag + "".join("." + re.sub(r"\d+", "0", found[a]).replace("/", "_") for a in ("class", "id", "role") if a in found)
         self.styles.setdefault(path, []).append(name)
         if tag in VOID:
             return
@@ -147,15 +158,67 @@ class Page:
         self.close_to(1)
         self.flush()
 
-    def candidates(self) -> list:
+    def candidates(self, prior: bool = True) -> list:
         """Blocks that their tags do not rule out: those of the article or main part where the page has one."""
-        clean = [b for b in self.blocks if not b[2] and b[1]]
-        return [b for b in clean if b[3]] or clean
-
-    def main_text(self, host: str, low) -> str:
-        blocks = self.candidates()
-        kept = [b for b in blocks if key_of(f"{host}\0{b[0]}") not in low] or blocks
-        return "\n".join(b[1] for b in kept)
+        clean = [b for b in self.blocks if b[1] and not (prior and b[2])]
+        return [b for b in clean if prior and b[3]] or clean
+
+    def shares(self) -> dict[str, list]:
+        """Of each path, the share of the page's words in its branch, and in leaves directly below it."""
+        own: dict[str, int] = {}
+        for path, text, *_ in self.blocks:
+            if text:
+                own[path] = own.get(path, 0) + text.count(" ") + 1
+        whole = max(1, sum(own.values()))
+        found: dict[str, list] = {}
+        for path, n in own.items():
+            branch = path
+            while branch:
+                found.setdefault(branch, [0.0, 0.0])[0] += n / whole
+                branch = branch[: branch.rfind("/")]
+        for path, n in own.items():
+            above = path[: path.rfind("/")]
+            if tag_of(path) in FLOW and above:
+                found[above][1] += n / whole
+        return found
+
+    def main_text(self, host: str, verdicts, prior: bool = True) -> str:
+        """verdicts: of nodes by key. The prior's content is the article or main part; without one, the tree tells where it is."""
+        blocks = self.candidates(prior)
+        known: dict[str, bool] = {}
+        kept = []
+        for b in blocks:
+            if b[0] not in known:
+                known[b[0]] = stays(b[0], host, verdicts, prior and b[3])
+            if known[b[0]]:
+                kept.append(b)
+        return "\n".join(b[1] for b in kept or blocks)
+
+
+def tag_of(path: str) -> str:
+    return path[path.rfind("/") + 1 :].split(".", 1)[0]
+
+
+def branches(path: str):
+    """path and all above it, from the top down."""
+    at = path.find("/", 1)
+    while at > 0:
+        yield path[:at]
+        at = path.find("/", at + 1)
+    if path:
+        yield path
+
+
+def stays(path: str, host: str, verdicts, content: bool) -> bool:
+    """Whether the tree keeps a block, judged from the top down."""
+    for branch in branches(path):
+        verdict, flow = verdicts.get(key_of(f"{host}\0{branch}"), 0), tag_of(branch) in FLOW
+        if verdict & SAME and not flow and branch == path:
+            return False
+        if verdict & LOW and not flow and not content:
+            return False
+        content = content or bool(verdict & CORE)
+    return True
 
 
 def is_noise(tag: str, found: dict, article: bool) -> bool:
@@ -172,7 +235,7 @@ def is_noise(tag: str, found: dict, article: bool) -> bool:
 
 
 def node_sums(pages: DataFrame) -> DataFrame:
-    """node, kind, value, t, l over all pages. kind 0: pages with the node; 1: pages with a child style; 2: a content, t its occurrences and l the sum of x ln x over pages."""
+    """node, kind, value, t, l over all pages. kind 0: pages with the node; 1: pages with a child style; 2: a content, t its occurrences and l the sum of x ln x over pages; 3, 4: shares of words in the branch, and in leaves directly below."""
 
     def run(batches):
         sums: dict = {}
@@ -189,6 +252,7 @@ def node_sums(pages: DataFrame) -> DataFrame:
             for host, html in zip(b.column(0), b.column(1)):
                 host, page = host.as_py(), Page(html.as_py() or "")
                 own: dict = {}
+                blocks_of = {b[0] for b in page.blocks}
                 for path, text, _, _, links in page.blocks:
                     node = key_of(f"{host}\0{path}")
                     own[node, 0, 0] = 1
@@ -196,14 +260,20 @@ def node_sums(pages: DataFrame) -> DataFrame:
                         k = (node, 2, key_of(content))
                         own[k] = own.get(k, 0) + 1
                     style = page.styles.get(path, [])
-                    own[node, 1, key_of(" ".join(x for k, x in enumerate(style) if not k or style[k - 1] != x))] = 1
+                    own[node, 1, key_of(" ".join(style))] = 1
+                for path, (share, leaves) in page.shares().items():
+                    node = key_of(f"{host}\0{path}")
+                    own[node, 0, 0] = 1
+                    own[node, 3, 0], own[node, 4, 0] = share, leaves
+                    if path not in blocks_of:
+                        own[node, 1, key_of(" ".join(page.styles.get(path, [])))] = 1
                 for k, t in own.items():
-                    seen = sums.get(k)
+                    seen, x = sums.get(k), t * math.log(t) if k[1] == 2 else 0.0
                     if seen is None:
-                        sums[k] = [t, t * math.log(t)]
+                        sums[k] = [t, x]
                     else:
                         seen[0] += t
-                        seen[1] += t * math.log(t)
+                        seen[1] += x
                 if len(sums) > 200_000:
                     yield flush()
         if sums:
@@ -214,7 +284,7 @@ def node_sums(pages: DataFrame) -> DataFrame:
 
 
 def importance(pages: DataFrame) -> DataFrame:
-    """node, pages, presentation, content, importance."""
+    """node, pages, presentation, content, share, leaves, importance, verdict (of LOW, CORE and SAME)."""
     kind, t = F.col("kind"), F.col("t")
     sums = node_sums(pages).groupBy("node").agg(
         F.sum(F.when(kind == 0, t)).alias("pages"),
@@ -222,62 +292,73 @@ def importance(pages: DataFrame) -> DataFrame:
         F.sum(F.when(kind == 1, t * F.log(t))).alias("style_log"),
         F.count(F.when(kind == 1, 1)).alias("styles"),
         F.avg(F.when(kind == 2, F.log(t) - F.col("l") / t)).alias("entropy"),
+        F.sum(F.when(kind == 3, t)).alias("share"),
+        F.sum(F.when(kind == 4, t)).alias("leaves"),
     )
     base = F.log(F.greatest(F.col("pages"), F.lit(2.0)))
     presentation = F.least(F.lit(1.0), (F.log("styled") - F.col("style_log") / F.col("styled")) / base)
     content = F.greatest(F.lit(0.0), 1 - F.coalesce("entropy", F.lit(0.0)) / base)
     weight = F.pow(F.lit(GAMMA), "styles")
-    sums = sums.withColumns({"presentation": presentation, "content": content})
+    sums = sums.withColumns({"presentation": presentation, "content": content, "share": F.coalesce("share", F.lit(0.0)) / F.col("pages"), "leaves": F.coalesce("leaves", F.lit(0.0)) / F.col("pages")})
     joined = (1 - weight) * F.col("presentation") + weight * F.col("content")
-    return sums.select("node", "pages", "presentation", "content", F.when(F.col("pages") < MIN_PAGES, F.lit(1.0)).otherwise(joined).alias("importance"))
+    judged = F.col("pages") >= MIN_PAGES
+    sums = sums.withColumns({"joined": joined, "importance": F.when(judged, joined * F.col("share")).otherwise(F.lit(1.0))})
+    core = (F.col("share") >= CONTENT) & (F.col("leaves") >= F.col("share") / 2)
+    bits = F.when(F.col("importance") < BESIDE, LOW).otherwise(0) + F.when(core, CORE).otherwise(0) + F.when((F.col("joined") < THRESHOLD) & F.col("entropy").isNotNull(), SAME).otherwise(0)
+    return sums.select("node", "pages", "presentation", "content", "share", "leaves", "importance", F.when(judged, bits).otherwise(0).alias("verdict"))
 
 
-def extract(pages: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """pages (url, html, more columns) with text and n_chars; own columns of these names are replaced."""
+def extract(pages: DataFrame, prior: bool = True, tree: bool = True) -> DataFrame:
+    """pages (url, html, more columns) with text and n_chars; own columns of these names are replaced. prior, tree: what judges blocks."""
     pages = pages.drop("text", "n_chars", "host", "path")
     names = pages.columns
     hosted = with_parts(pages).drop("path")
-    low = cut(importance(hosted).filter(F.col("importance") < threshold).select("node"))
+    spark = pages.sparkSession
+    if tree:
+        judged = cut(importance(hosted).filter("verdict > 0").select("node", "verdict"))
+    else:
+        judged = spark.createDataFrame([], "node long, verdict int")
     schema = pages.withColumns({"text": F.lit(""), "n_chars": F.lit(0).cast("long")}).schema
     html = names.index("html")
-    few = low.count() <= BROADCAST_NODES
+    few = judged.count() <= BROADCAST_NODES
     if few:
-        shared = pages.sparkSession.sparkContext.broadcast(frozenset(r[0] for r in low.collect()))
+        shared = spark.sparkContext.broadcast(dict(map(tuple, judged.collect())))
         source = hosted
     else:
         shared = None
-        source = with_low(hosted, low)
+        source = with_verdicts(hosted, judged)
 
     def run(batches):
         for b in batches:
             hosts = b.column(b.schema.get_field_index("host")).to_pylist()
-            own = None if few else b.column(b.schema.get_field_index("low"))
+            own = None if few else b.column(b.schema.get_field_index("verdicts"))
             texts = []
             for first, some in pieces(b.column(html)):
                 for k, page in enumerate(some, first):
-                    texts.append(Page(page or "").main_text(hosts[k], shared.value if few else frozenset(own[k].as_py() or ())))
+                    verdicts = shared.value if few else {x["node"]: x["verdict"] for x in own[k].as_py() or ()}
+                    texts.append(Page(page or "").main_text(hosts[k], verdicts, prior))
             yield pa.RecordBatch.from_arrays([*[b.column(k) for k in range(len(names))], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [*names, "text", "n_chars"])
 
     return mapped(source, run, schema)
 
 
-def with_low(hosted: DataFrame, low: DataFrame) -> DataFrame:
-    """hosted with `low`, the low nodes that a page has: by a join of the pages' nodes, which are keys of 8 bytes."""
+def with_verdicts(hosted: DataFrame, judged: DataFrame) -> DataFrame:
+    """hosted with `verdicts`, the judged nodes that a page has: by a join of the pages' nodes, which are keys of 8 bytes."""
     names = hosted.columns
 
     def run(batches):
         for b in batches:
             keys, nodes = [], []
             for host, html, own in zip(b.column(0), b.column(1), b.column(2)):
-                found = {key_of(f"{host.as_py()}\0{block[0]}") for block in Page(html.as_py() or "").candidates()}
+                found = {key_of(f"{host.as_py()}\0{branch}") for path in {x[0] for x in Page(html.as_py() or "").blocks} for branch in branches(path)}
                 keys += [own.as_py()] * len(found)
                 nodes += found
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(nodes, pa.int64())], ["own", "node"])
 
     own = F.xxhash64("host", "html")
     have = mapped(hosted.select("host", "html", own.alias("own")), run, "own long, node long").distinct()
-    marked = have.join(low, "node").groupBy("own").agg(F.collect_list("node").alias("low"))
-    return hosted.withColumn("own", own).join(marked, "own", "left").select(*names, "low")
+    marked = have.join(judged, "node").groupBy("own").agg(F.collect_list(F.struct("node", "verdict")).alias("verdicts"))
+    return hosted.withColumn("own", own).join(marked, "own", "left").select(*names, "verdicts")
 
 
 def op7_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
