@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from .common import cut, table
 
 PART_TURNS = 64
+BROADCAST_SPEAKERS = 50_000
 SYSTEM = "system"
 START, END = "<|im_start|>", "<|im_end|>\n"
 
@@ -51,6 +52,9 @@ def rotate(turns: DataFrame, part_turns: int = PART_TURNS) -> DataFrame:
     others = F.max((F.col("role") != SYSTEM).cast("int")).over(W.partitionBy("conv_id"))
     speakers = speakers.withColumn("others", others).filter((F.col("role") != SYSTEM) | (F.col("others") == 0))
     speakers = speakers.select(F.col("conv_id").alias("c"), F.when(F.col("others") == 0, F.lit("")).otherwise(F.col("role")).alias("perspective"), (F.col("others") == 0).alias("alone"))
+    # A table of its own, broadcast up to a checked size; beyond, a conversation with most of the turns is a skewed join that Spark splits.
+    speakers = cut(speakers)
+    speakers = F.broadcast(speakers) if speakers.count() <= BROADCAST_SPEAKERS else speakers
     met = rows.join(speakers, F.col("conv_id").eqNullSafe(F.col("c"))).drop("c")
     own = (F.col("role") == F.col("perspective")) & ~F.col("alone")
     name = escaped(F.translate("role", "\r\n", "  "))
