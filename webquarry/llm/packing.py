@@ -177,8 +177,11 @@ class Packer:
             yield from self.shut(b)
 
 
-def pack(docs: DataFrame, path: str | None = None, max_tokens: int = MAX_TOKENS, max_segments: int = MAX_SEGMENTS, max_loss: int = MAX_TOKENS) -> DataFrame:
-    """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset. Every id bears loss."""
+def pack(docs: DataFrame, path: str | None = None, max_tokens: int = MAX_TOKENS, max_segments: int = MAX_SEGMENTS, max_loss: int = MAX_TOKENS, loss: str | None = None) -> DataFrame:
+    """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
+
+    loss: a column with the share of a document's ids that bear loss, 0 to 1 (null: all); without it every id does. A sequence bears at most max_loss.
+    """
     path = path or tokenizer_path()
 
     def run(batches):
@@ -207,10 +210,10 @@ def pack(docs: DataFrame, path: str | None = None, max_tokens: int = MAX_TOKENS,
 
         key, end = 0, np.array([END_ID], "<u4").tobytes()
         for b in batches:
-            for doc_id, text in zip(b.column(0), b.column(1)):
+            for doc_id, text, share in zip(b.column(0), b.column(1), b.column(2).to_pylist()):
                 data = ids.of(text.as_py()) + end
                 held[key] = [doc_id.as_py(), data, len(data) // 4]
-                for sequence in packer.add(key, len(data) // 4):
+                for sequence in packer.add(key, len(data) // 4, share):
                     emit(sequence)
                 key += 1
                 if len(rows) >= 20_000:
@@ -219,7 +222,8 @@ def pack(docs: DataFrame, path: str | None = None, max_tokens: int = MAX_TOKENS,
             emit(sequence)
         yield flush()
 
-    return mapped(docs.select("doc_id", text_or_empty().alias("text")), run, SCHEMA)
+    share = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(F.col(loss).cast("double"), F.lit(1.0)))) if loss else F.lit(1.0)
+    return mapped(docs.select("doc_id", text_or_empty().alias("text"), share.alias("share")), run, SCHEMA)
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

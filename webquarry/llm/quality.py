@@ -44,7 +44,7 @@ class Tokens(dict):
         word = xxhash.xxh32_intdigest(core.lower().encode("utf-8", "surrogatepass")) >> (32 - WORD_BITS) if core else 0
         at = raw.find(core) if core else 0
         signs = raw[:at] + "_" + raw[at + len(core) :]
-        found = self[raw] = word | (xxhash.xxh32_intdigest(signs[:16].encode("utf-8", "surrogatepass")) >> (32 - SIGN_BITS)) << 16
+        found = self[raw] = word | (xxhash.xxh32_intdigest(signs.encode("utf-8", "surrogatepass")) >> (32 - SIGN_BITS)) << 16
         return found
 
 

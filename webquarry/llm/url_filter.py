@@ -25,7 +25,7 @@ DEFAULT = "allow"
 
 
 class Trie:
-    """Nodes are dicts: host labels from the right, then "/" to the path part, whole segments, and last pieces under ""."""
+    """Nodes are dicts: host labels from the right, then "/" to the path part, whole segments, and last pieces by their length under ""."""
 
     def __init__(self, rules):
         self.root: dict = {}
@@ -40,7 +40,7 @@ class Trie:
             node = node.setdefault("/", {})
             for segment in whole:
                 node = node.setdefault("/" + segment, {})
-            ends = node.setdefault("", {})
+            ends = node.setdefault("", {}).setdefault(len(last), {})
             if ends.get(last, ("allow",))[0] != "block":
                 ends[last] = (verdict, host + path, (len(host + path), len(host)))
 
@@ -58,8 +58,9 @@ class Trie:
             for k, segment in enumerate(segments):
                 if below is None:
                     break
-                for last, found in below.get("", {}).items():
-                    if segment.startswith(last) and found[2] > best[2]:
+                for n, ends in below.get("", {}).items():
+                    found = ends.get(segment[:n]) if n <= len(segment) else None
+                    if found and found[2] > best[2]:
                         best = found
                 below = below.get("/" + segment) if k + 1 < len(segments) else None
         return best[:2] if best[1] else None
@@ -96,12 +97,14 @@ def by_join(parts: DataFrame, rules: DataFrame) -> DataFrame:
     """The same verdicts for any number of rules: distinct (host, path) pairs spread to host suffixes, joined on the host; then the prefix test."""
     rules = rules.select("verdict", F.col("host").alias("rule_host"), F.concat(F.lit("/"), F.regexp_replace(F.coalesce("path", F.lit("")), "^/", "")).alias("rule_path"))
     rules = rules.groupBy("rule_host", "rule_path").agg(F.max("verdict").alias("verdict"))  # block is after allow
-    lengths = sorted(r[0] for r in rules.select(F.length("rule_path")).distinct().limit(10_000).collect())
+    if not rules.filter("coalesce(rule_host, '') = ''").isEmpty():
+        raise ValueError("a rule needs a host")
+    lengths = rules.groupBy("rule_host").agg(F.collect_set(F.length("rule_path")).alias("lengths"))
     pairs = parts.select("host", "path").distinct().filter(F.col("host") != "")
     labels = F.split("host", r"\.")
     spread = pairs.withColumn("rule_host", F.explode(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))))
-    heads = F.filter(F.array(*[F.lit(n) for n in lengths]), lambda n: n <= F.length("path"))
-    spread = spread.withColumn("rule_path", F.explode(F.transform(heads, lambda n: F.left("path", n))))
+    heads = F.filter("lengths", lambda n: n <= F.length("path"))
+    spread = spread.join(lengths, "rule_host").withColumn("rule_path", F.explode(F.transform(heads, lambda n: F.left("path", n)))).drop("lengths")
     fits = spread.join(rules, ["rule_host", "rule_path"])
     rule = F.concat("rule_host", "rule_path")
     best = fits.groupBy("host", "path").agg(F.max_by(F.struct(rule.alias("rule"), F.col("verdict")), F.struct(F.length(rule), F.length("rule_host"))).alias("best"))
