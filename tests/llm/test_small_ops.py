@@ -58,6 +58,30 @@ def test_toxicity_order_of_arrival_does_not_matter():
     assert (one[0] == two[0]).all() and (one[1] == two[1]).all() and one[2] == two[2]
 
 
+def test_ftrl_against_the_plain_rules():
+    """Weights of the vectorised learner against the update rules, one coordinate at a time."""
+    import math
+
+    rng = np.random.default_rng(9)
+    model = toxicity.Ftrl(6, alpha=0.5, beta=1.0, l1=0.3, l2=0.1)
+    z, n, bias_z, bias_n = Counter(), Counter(), 0.0, 0.0
+
+    def weight(i):
+        return 0.0 if abs(z[i]) <= 0.3 else -(z[i] - math.copysign(0.3, z[i])) / ((1 + math.sqrt(n[i])) / 0.5 + 0.1)
+
+    for _ in range(200):
+        found, label = np.unique(rng.integers(0, 64, 8)), int(rng.integers(2))
+        bias = -bias_z * 0.5 / (1 + math.sqrt(bias_n))
+        g = 1 / (1 + math.exp(-(sum(weight(i) for i in found.tolist()) + bias))) - label
+        for i in found.tolist():
+            w = weight(i)
+            z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / 0.5 * w
+            n[i] += g * g
+        bias_z, bias_n = bias_z + g - (math.sqrt(bias_n + g * g) - math.sqrt(bias_n)) / 0.5 * bias, bias_n + g * g
+        model.learn(found, label)
+    assert model.weights(np.arange(64)).tolist() == pytest.approx([weight(i) for i in range(64)], abs=1e-4)
+
+
 def test_toxicity_awkward(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     some = spark.createDataFrame([(4, 1, 1), (4, 1, 0), (5, 1, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
@@ -83,6 +107,22 @@ def test_quality_held_out(spark):
     assert np.mean([found[k]["predicted"] == int(k % 3 > 0) for k in range(700) if found[k]["held_out"]]) > 0.95
 
 
+def test_views_teach_each_other():
+    """A small case by hand: the text view tells only some rows, the metadata view, by the pool, the others."""
+    rng = np.random.default_rng(2)
+    n = 400
+    truth = rng.integers(0, 2, n)
+    told = rng.random(n) < 0.5
+    ids = np.where(told, truth, 2)
+    text = quality.Sparse(ids, np.ones(n, np.int64), np.ones(n))
+    meta = quality.Sparse(truth + 2 * rng.integers(0, 5, n), np.ones(n, np.int64), np.ones(n))
+    y = np.where(np.arange(n) < 20, truth, -1)
+    (_, meta_model), _, _ = quality.co_train(text, meta, 10, y)
+    (_, alone), _, _ = quality.co_train(text, meta, 10, y, rounds=0)
+    right = lambda model: ((meta.margins(model) > 0) == truth).mean()
+    assert right(meta_model) == 1.0 and right(meta_model) >= right(alone)
+
+
 def test_quality_awkward(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     got = quality.classify(docs(spark, AWKWARD), none).collect()
@@ -155,6 +195,12 @@ def test_chat_rotation(spark):
     assert got[2, ""]["loss_chars"] == 0
 
 
+def test_chat_clashing_columns_and_long_texts(spark):
+    rows = [(1, k, f"r{k % 3}", "long " * 20_000, "x", 1, "y") for k in range(9)]
+    got = chat.rotate(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, perspective string, part int, rendered string")).collect()
+    assert len(got) == 3 and all(r["n_turns"] == 9 and r["n_chars"] == len(r["rendered"]) > 900_000 for r in got)
+
+
 def test_chat_long_conversation_in_parts(spark):
     rows = [(7, k // 2, f"r{k % 2}", f"t{k}") for k in range(1000)] + [(None, None, None, None)] * 3
     got = chat.rotate(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
@@ -263,6 +309,21 @@ def test_packing(spark):
     assert packing.pack(docs(spark, [])).collect() == []
 
 
+def test_packing_takes_loss_from_a_column(spark):
+    """A sequence bears no more loss than the limit, which binds before the tokens do."""
+    rows = [(k, "word " * 300, "s", [0.0, 0.5, 1.0, None][k % 4]) for k in range(80)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, masked double").coalesce(2)
+    got = packing.pack(df, max_loss=1000, loss="masked").collect()
+    shares = {k: 1.0 if x is None else x for k, _, _, x in rows}
+    bears, tokens = Counter(), Counter()
+    for r in got:
+        bears[r["sequence_id"]] += r["length"] * shares[r["doc_id"]]
+        tokens[r["sequence_id"]] += r["length"]
+    assert max(bears.values()) <= 1000 and max(tokens.values()) <= 4096
+    free = Counter(r["sequence_id"] for r in packing.pack(df).collect())
+    assert len(bears) > len(free)
+
+
 def test_packer_holds_every_limit():
     rng = np.random.default_rng(6)
     packer, out, items = packing.Packer(100, 5, 60), [], {}
@@ -301,6 +362,67 @@ def test_html_single_page_keeps_its_article(spark):
     assert got["text"].split("\n") == ["Head & line", "One two", "Three four", "five", "six", "Repeated line", "own text {n}"]
 
 
+def site(spark, n, hosts=1):
+    """Pages of hosts without any tag or class that a list knows: a menu, notices, an article of varied length, an end; all from pools."""
+    rng = np.random.default_rng(7)
+    word = lambda k: " ".join(f"w{x}" for x in rng.integers(0, 5000, k))
+    menus, ends = [word(6) for _ in range(20)], [word(9) for _ in range(20)]
+    rows = []
+    for k in range(n):
+        text = [word(int(rng.integers(30, 120))) for _ in range(int(rng.integers(1, 9)))]
+        top, end = menus[int(rng.integers(20))], ends[int(rng.integers(20))]
+        body = "".join(f"<p>{t}</p>" for t in text)
+        rows.append((k, f"https://h{k % hosts}.net/{k}", f"<body><div class=q><ul>{''.join(f'<li>{w}</li>' for w in top.split())}</ul></div><div class=r>Our offer: {end}</div><div class=s><h2>Title {k}</h2>{body}<div class=z>Always here</div></div><div class=t>End {end}</div></body>", [f"Title {k}", *text]))
+    return spark.createDataFrame([r[:3] for r in rows], "page_id long, url string, html string"), {r[0]: r[3] for r in rows}
+
+
+def test_html_tree_alone_finds_the_article(spark):
+    """No list helps here: the tree removes menus, notices and ends, and loses no block of the articles."""
+    pages, want = site(spark, 40, 2)
+    got = {r["page_id"]: r["text"].split("\n") for r in html_extract.extract(pages, prior=False).collect()}
+    assert got == want
+    assert got == {r["page_id"]: r["text"].split("\n") for r in html_extract.extract(pages).collect()}
+    without = html_extract.extract(pages, tree=False).first()["text"]
+    assert "Our offer" in without and "Always here" in without
+
+
+def test_html_tree_against_brute_force(spark):
+    import math
+
+    pages, _ = site(spark, 12)
+    hosted = html_extract.with_parts(pages).drop("path")
+    got = {r["node"]: r for r in html_extract.importance(hosted).collect()}
+    parsed = [(r["host"], html_extract.Page(r["html"])) for r in hosted.collect()]
+    paths = {branch for _, p in parsed for path, *_ in p.blocks for branch in html_extract.branches(path)}
+    assert len(got) == len(paths)
+    for path in paths:
+        r = got[html_extract.key_of(f"{parsed[0][0]}\0{path}")]
+        styles, contents, shares, m = Counter(), {}, 0.0, 0
+        for k, (_, p) in enumerate(parsed):
+            below = [b for b in p.blocks if b[0] == path or b[0].startswith(path + "/")]
+            if not below:
+                continue
+            m += 1
+            styles[" ".join(p.styles.get(path, []))] += 1
+            shares += sum(len(b[1].split()) for b in below) / sum(len(b[1].split()) for b in p.blocks)
+            for b in p.blocks:
+                if b[0] == path:
+                    contents.setdefault(b[1], Counter())[k] += 1
+        entropy = lambda c: -sum(v / sum(c.values()) * math.log(v / sum(c.values())) for v in c.values())
+        presentation = entropy(styles) / math.log(m)
+        content = 1 - (np.mean([entropy(c) for c in contents.values()]) / math.log(m) if contents else 0)
+        joined = (1 - 0.9 ** len(styles)) * presentation + 0.9 ** len(styles) * content
+        assert r["pages"] == m and r["presentation"] == pytest.approx(presentation, abs=1e-9) and r["content"] == pytest.approx(content, abs=1e-9)
+        assert r["share"] == pytest.approx(shares / m) and r["importance"] == pytest.approx(joined * shares / m, abs=1e-9)
+
+
+def test_html_long_and_repeated_pages(spark):
+    long = "<article>" + "".join(f"<p>line {k} of it</p>" for k in range(20_000)) + "</article>"
+    rows = [(k, "https://l.net/a", "<nav>menu</nav>" + long) for k in range(6)] + [(9, None, long)]
+    for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect():
+        assert r["text"].split("\n") == [f"line {k} of it" for k in range(20_000)]
+
+
 def test_html_awkward(spark):
     bad = [None, "", "<", "<p", "a < b", "<p>x<script>y", "<!-- open", "<div class='", "&amp;&#x41;&nope;", "<p>" * 3000 + "deep", "</p></div>text"]
     got = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame([(k, None if k % 2 else "u://h/p", h, "z") for k, h in enumerate(bad)], "page_id long, url string, html string, text string")).collect()}
@@ -343,6 +465,19 @@ def test_url_filter_against_brute_force(spark, monkeypatch, limit):
         assert (r["host"], r["path"], r["rule"], r["verdict"]) == judged(urls[r["page_id"]], RULES), r
 
 
+def test_url_filter_awkward_urls_and_rules(spark, monkeypatch):
+    """Repeated rows, very long urls, many rules under one segment, paths of many lengths; a rule without host is refused by both ways."""
+    rules = [("block", "x.net", f"/{k}") for k in range(300)] + [("allow", "x.net", "/" + "a" * n) for n in range(1, 200)]
+    urls = ["https://x.net/299/z", "https://x.net/299/z", "https://y.x.net/" + "a" * 150 + "b", "https://x.net/" + "q" * 50_000, "https://x.net/" + "a" * 50_000]
+    frame = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    one = sorted(tuple(r) for r in url_filter.filter_urls(frame, rules).select("page_id", "rule", "verdict").collect())
+    assert [r[1] for r in one] == ["x.net/299", "x.net/299", "x.net/" + "a" * 150, None, "x.net/" + "a" * 199]
+    monkeypatch.setattr(url_filter, "BROADCAST_RULES", 2)
+    assert one == sorted(tuple(r) for r in url_filter.filter_urls(frame, rules).select("page_id", "rule", "verdict").collect())
+    with pytest.raises(ValueError):
+        url_filter.filter_urls(frame, [*rules, ("block", "", "/")]).collect()
+
+
 def test_url_filter_awkward(spark):
     assert url_filter.filter_urls(spark.createDataFrame([], "page_id long, url string")).collect() == []
     with pytest.raises(ValueError):

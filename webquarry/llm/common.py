@@ -25,6 +25,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         if context.getCheckpointDir() is None:
             context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir"))
     elif context.getCheckpointDir() is None:
+        if not context.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir is not set: a folder that the driver and all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="webquarry-checkpoint-"))
 
 
