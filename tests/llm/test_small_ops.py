@@ -142,6 +142,27 @@ def edited(rows):
     return out
 
 
+def branches_apart(a, b):
+    """Sections and paragraphs in which two texts differ, from the texts themselves."""
+    one, two = ([s.split("\n") for s in re.split(r"(?<=\n)(?=[ \t]*\n)", t)] for t in (a, b))
+    out = []
+    for k in range(max(len(one), len(two))):
+        x, y = one[k] if k < len(one) else None, two[k] if k < len(two) else None
+        if x != y:
+            x, y = x or [], y or []
+            out.append((k, [p for p in range(max(len(x), len(y))) if x[p : p + 1] != y[p : p + 1]]))
+    return out
+
+
+def alike(a, b):
+    """Share of characters in stretches that both texts have."""
+    one, two = (set(re.findall(r"[^.!?,;\n]{1,48}[.!?,;\n]*|[.!?,;\n]+", t)) for t in (a, b))
+    if a == b:
+        return 1.0
+    size = lambda found: sum(min(255, len(x)) for x in found)
+    return 2 * size(one & two) / (size(one) + size(two)) if one or two else 0.0
+
+
 @pytest.mark.parametrize("spread", [1, 10_000])
 def test_fingerprints(spark, spread):
     rng = np.random.default_rng(1)
@@ -156,6 +177,11 @@ def test_fingerprints(spark, spread):
         by_text.setdefault(t, set()).add(got[i]["fingerprint"])
     assert all(len(v) == 1 for v in by_text.values()) and len({next(iter(v)) for v in by_text.values()}) == len(by_text)
     assert all(0 <= r[c] <= 1 for r in got.values() for c in ("near_edited", "near_next"))
+    order = [i for i, _ in sorted(rows)]
+    for k, i in enumerate(order[:300]):
+        text, next_text = dict(rows)[i], dict(rows)[order[k + 1]]
+        assert [(d["section"], list(d["paragraphs"])) for d in got[i]["differs"]] == branches_apart(text, want[i])
+        assert got[i]["near_edited"] == pytest.approx(alike(text, want[i])) and got[i]["near_next"] == pytest.approx(alike(text, next_text))
 
 
 def test_fingerprints_awkward(spark):

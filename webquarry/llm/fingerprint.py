@@ -47,12 +47,17 @@ def marks_of(text):
 
 
 def tree(text):
-    """root, nodes, marks of a text column."""
-    return F.struct(F.sha2(text.cast("binary"), 256).alias("text_sha"), root_of(paragraph_nodes(text)).alias("root"), marks_of(text).alias("marks"))
+    """text_sha, root, nodes (60 bits of each paragraph's node, by section), marks of a text column."""
+    def branches(sections):
+        brief = F.transform(sections, lambda own: F.transform(own, lambda node: F.conv(F.left(node, F.lit(15)), 16, 10).cast("bigint")))
+        return F.struct(root_of(sections).alias("root"), brief.alias("nodes"))
+
+    found = F.get(F.transform(F.array(paragraph_nodes(text)), branches), F.lit(0))
+    return F.struct(F.sha2(text.cast("binary"), 256).alias("text_sha"), found.alias("tree"), marks_of(text).alias("marks"))
 
 
 def written(t):
-    return F.concat(t["root"], F.lit(":"), F.array_join(F.transform(t["marks"], lambda m: F.hex(m)), "."))
+    return F.concat(t["tree"]["root"], F.lit(":"), F.array_join(F.transform(t["marks"], lambda m: F.hex(m)), "."))
 
 
 def likeness(a, b):
@@ -61,16 +66,16 @@ def likeness(a, b):
         return F.aggregate(F.array_distinct(marks), F.lit(0).cast("long"), lambda total, m: total + m.bitwiseAND(F.lit(255)))
 
     both, one, other = size(F.array_intersect(a["marks"], b["marks"])), size(a["marks"]), size(b["marks"])
-    return F.when(a["root"] == b["root"], F.lit(1.0)).when(one + other == 0, F.lit(0.0)).otherwise(2.0 * both / (one + other)).cast("double")
+    return F.when(a["tree"]["root"] == b["tree"]["root"], F.lit(1.0)).when(one + other == 0, F.lit(0.0)).otherwise(2.0 * both / (one + other)).cast("double")
 
 
-def differing(a, b):
-    """For two columns of paragraph nodes: the sections, and the paragraphs in them, whose branches differ (numbers from 0)."""
-    n = F.greatest(F.size(a), F.size(b))
-    sections = F.filter(F.sequence(F.lit(0), n - 1), lambda k: ~F.coalesce(F.get(a, k), F.array()).eqNullSafe(F.coalesce(F.get(b, k), F.array())))
+def differing(a, b, kind: str = "array<string>"):
+    """For two columns of paragraph nodes: the sections, and the paragraphs in them, whose branches differ (numbers from 0). kind: type of a section's nodes."""
+    none = F.array().cast(kind)
+    sections = F.filter(F.sequence(F.lit(0), F.greatest(F.size(a), F.size(b)) - 1), lambda k: ~F.get(a, k).eqNullSafe(F.get(b, k)))
 
     def paragraphs(k):
-        x, y = F.coalesce(F.get(a, k), F.array().cast("array<string>")), F.coalesce(F.get(b, k), F.array().cast("array<string>"))
+        x, y = F.coalesce(F.get(a, k), none), F.coalesce(F.get(b, k), none)
         return F.filter(F.sequence(F.lit(0), F.greatest(F.size(x), F.size(y)) - 1), lambda p: ~F.get(x, p).eqNullSafe(F.get(y, p)))
 
     return F.transform(sections, lambda k: F.struct(k.alias("section"), paragraphs(k).alias("paragraphs")))
@@ -104,6 +109,7 @@ def finished(met: DataFrame) -> DataFrame:
         written(F.col("b")).alias("edited_fingerprint"),
         likeness(F.col("a"), F.col("b")).alias("near_edited"),
         likeness(F.col("a"), F.col("c")).alias("near_next"),
+        differing(F.col("a.tree.nodes"), F.col("b.tree.nodes"), "array<bigint>").alias("differs"),
     )
 
 
@@ -142,7 +148,7 @@ def by_ids(texts: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for each document."""
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for each document, and differs: the sections and paragraphs whose branches the edit changed."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).filter(F.col("doc_id").isNotNull())
     ids = texts.select("doc_id")
     if not ids.groupBy("doc_id").count().filter("count > 1").isEmpty():
