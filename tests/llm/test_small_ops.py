@@ -107,6 +107,29 @@ def test_quality_held_out(spark):
     assert np.mean([found[k]["predicted"] == int(k % 3 > 0) for k in range(700) if found[k]["held_out"]]) > 0.95
 
 
+def taught_in_memory(views, meta_size, y, same, ids, free, rounds, exchanged):
+    """Co-training by plain loops over all rows."""
+    learners = quality.Learners(meta_size)
+    for k in range(rounds + 1):
+        learners.fit(views, y, same)
+        if k == rounds:
+            return learners.combined(views, y), learners
+        sizes, found = learners.strata(exchanged), []
+        for own in range(quality.LEARNERS):
+            for v in (0, 1):
+                margins = views[v].margins(learners.models[own][v])
+                best = {}
+                for row in range(len(y)):
+                    if y[row] < 0 and free[row] and int(same[row]) not in learners.taught[own][1 - v]:
+                        label = int(margins[row] > 0)
+                        if 1 / (1 + np.exp(-abs(margins[row]))) >= quality.SURE:
+                            place = (label, int(same[row]) % sizes[label])
+                            best[place] = min(best.get(place, (9.0,)), (-abs(margins[row]), int(same[row]), int(ids[row])))
+                found += [(own, 1 - v, row[1], label) for (label, _), row in best.items()]
+        for own, v, row, label in found:
+            learners.taught[own][v][row] = label
+
+
 def test_views_teach_each_other():
     """A small case by hand: the text view tells only some rows, the metadata view, by the pool, the others."""
     rng = np.random.default_rng(2)
@@ -116,13 +139,55 @@ def test_views_teach_each_other():
     ids = np.where(told, truth, 2)
     text = quality.Sparse(ids, np.ones(n, np.int64), np.ones(n))
     meta = quality.Sparse(truth + 2 * rng.integers(0, 5, n), np.ones(n, np.int64), np.ones(n))
-    y = np.where(np.arange(n) < 20, truth, -1)
-    (_, meta_model), _, _ = quality.co_train(text, meta, 10, y)
-    (_, alone), _, _ = quality.co_train(text, meta, 10, y, rounds=0)
+    y, rows = np.where(np.arange(n) < 20, truth, -1), np.arange(n)
     right = lambda model: ((meta.margins(model) > 0) == truth).mean()
+    ((_, meta_model), _, _), _ = taught_in_memory((text, meta), 10, y, rows, rows, rows >= 0, 3, 400)
+    ((_, alone), _, _), _ = taught_in_memory((text, meta), 10, y, rows, rows, rows >= 0, 0, 400)
     assert right(meta_model) == 1.0 and right(meta_model) >= right(alone)
 
 
+def test_co_training_against_plain_loops(spark):
+    """The same models as by loops over all rows: copies, repeated ids, rows without an id, and a few strata."""
+    rng = np.random.default_rng(7)
+    rows, labels = [], []
+    for k in range(400):
+        good = k % 3 > 0
+        own = [f"w{x + (0 if good else 60)}" for x in rng.integers(0, 120, 40)]
+        rows.append((k, (" " if k % 2 else "\n").join(own), "s" if good else None))
+        if k < 150:
+            labels.append((k, int(good), 0))
+    rows += [(400 + k, rows[200][1], "s") for k in range(100)] + [rows[5], rows[300], (None, rows[210][1], "s"), (5, "another text", "s")]
+    found = cut(quality.traits(docs(spark, rows).repartition(5)))
+    known = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    (models, scales, stack, edges) = quality.train(found, known, exchanged=30, rounds=2)
+
+    data = found.toArrow().to_pylist()
+    assert len(data) == len(rows)
+    for c in range(quality.FIGURES):
+        values = np.array([r["figures"][c] for r in data])
+        exact = np.unique(np.floor(np.quantile(values, np.arange(1, quality.BINS) / quality.BINS, method="inverted_cdf") / quality.CELL) * quality.CELL)
+        assert np.array_equal(edges[c], exact)
+    held = lambda r: r["doc_id"] is None or zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1
+    truth = {i: q for i, q, _ in labels if zlib.crc32(str(i).encode()) % 3 != 1}
+    own = {}
+    for r in data:
+        if r["doc_id"] in truth and (r["doc_id"] not in own or r["same"] < own[r["doc_id"]]["same"]):
+            own[r["doc_id"]] = r
+    own = sorted(own.values(), key=lambda r: (r["doc_id"] * 0x9E3779B97F4A7C15 & (2**64 - 1), r["doc_id"]))
+    pool = sorted((r for r in data if not held(r) and r["doc_id"] not in truth), key=lambda r: (r["same"], r["doc_id"]))
+    pool = [r for k, r in enumerate(pool) if not k or r["same"] != pool[k - 1]["same"]]
+    y = np.array([truth[r["doc_id"]] for r in own] + [-1] * len(pool))
+    every = own + pool
+    table = found.toArrow().schema
+    views = quality.seen(quality.pa.Table.from_pylist(every, schema=table), edges)
+    same, ids = np.array([r["same"] for r in every]), np.array([r["doc_id"] for r in every])
+    (plain, plain_scales, plain_stack), learners = taught_in_memory(views, quality.META_SIZE, y, same, ids, same == same, 2, 30)
+    assert sum(len(x) for pair in learners.taught for x in pair) > 30
+    for one, two in zip(models, plain):
+        assert np.allclose(one.w, two.w, atol=1e-9) and abs(one.b - two.b) < 1e-9
+    assert np.allclose(scales, plain_scales) and np.allclose(stack, plain_stack)
+
+
 def test_quality_awkward(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     got = quality.classify(docs(spark, AWKWARD), none).collect()
