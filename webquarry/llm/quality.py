@@ -39,7 +39,7 @@ META_SIZE = FIGURES * BINS + (2 << NAME_BITS)
 SURE = 0.9
 LEAST = math.log(SURE / (1 - SURE))
 #: Figures are counted by cells of this width for the edges of bins.
-CELL = 1 / 256
+CELL = 1 / 4096
 #: Learners: of each half of the labelled rows, which calibrate, and of all.
 LEARNERS = 3
 
