@@ -157,6 +157,7 @@ def test_co_training_against_plain_loops(spark):
         if k < 150:
             labels.append((k, int(good), 0))
     rows += [(400 + k, rows[200][1], "s") for k in range(100)] + [rows[5], rows[300], (None, rows[210][1], "s"), (5, "another text", "s")]
+    rows += [(900 + i, t, s) for i, t, s in AWKWARD]
     found = cut(quality.traits(docs(spark, rows).repartition(5)))
     known = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
     (models, scales, stack, edges) = quality.train(found, known, exchanged=30, rounds=2)
