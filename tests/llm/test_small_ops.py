@@ -252,13 +252,26 @@ def test_fingerprints(spark, spread):
 
 def test_fingerprints_awkward(spark):
     got = {r["doc_id"]: r for r in fingerprint.fingerprints(docs(spark, AWKWARD)).collect()}
-    assert set(got) == {1, 2, 3, 4, 5, 6, 7}
+    assert set(got) == {1, 2, 3, 4, 5, 6, 7} and fingerprint.fingerprints(docs(spark, AWKWARD)).count() == len(AWKWARD)
     assert got[1]["fingerprint"] == got[2]["fingerprint"] and got[1]["near_next"] == 1.0
     assert fingerprint.fingerprints(docs(spark, [])).collect() == []
     alone = fingerprint.fingerprints(docs(spark, [(9, "abcd", "s")])).first()
     assert alone["edited_sha256"] == hashlib.sha256(b"abab").hexdigest() and alone["near_next"] == 1.0
 
 
+def test_fingerprints_of_null_and_repeated_ids(spark):
+    """Each row has its own result, in the order of id (null last) and the SHA-256 of the text."""
+    rng = np.random.default_rng(5)
+    ids = [None if k % 9 == 0 else 4 if k % 3 == 0 else int(rng.integers(0, 500)) * 1000 for k in range(1500)]
+    rows = [(i, None if k % 50 == 0 else "same" if k % 4 == 0 else " ".join(rng.choice(["äa", "bb.", "cc"], int(rng.integers(0, 12))))) for k, i in enumerate(ids)]
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    order = sorted(((i, t or "") for i, t in rows), key=lambda r: (r[0] is None, r[0] or 0, sha(r[1])))
+    nexts = order[1:] + order[:1]
+    want = Counter((i, len(t), sha(t[: len(t) - len(t) // 2] + u[: len(t) // 2]), round(alike(t, u), 9)) for (i, t), (_, u) in zip(order, nexts, strict=True))
+    got = fingerprint.fingerprints(docs(spark, [(i, t, "s") for i, t in rows]).repartition(7)).collect()
+    assert Counter((r["doc_id"], r["n_chars"], r["edited_sha256"], round(r["near_next"], 9)) for r in got) == want
+
+
 def test_separators_are_part_of_the_root(spark):
     texts = ["a\n\nb", "a\n \nb", "a\nb", "a\n\n\nb", "a\n\nb\n", "ab"]
     got = docs(spark, [(k, t, "s") for k, t in enumerate(texts)]).select(fingerprint.root_of(fingerprint.paragraph_nodes(F.col("text"))).alias("r")).collect()

@@ -6,13 +6,13 @@ texts are (for all but a SHA-256 collision). Below the paragraphs are marks: str
 clause or MARK characters, each with a hash and its length, which say how much two texts share. A
 fingerprint is written root:marks; `differing` locates an edit by the branches that differ.
 
-Only DataFrame functions are used. Documents go to blocks of neighbouring ids, where each meets the next one; the
-last of a block meets the first of the next block by a join. Ids that lie far apart are put in order by
-ranges first, and the two halves of an edited text meet by a grouping on the id.
+Only DataFrame functions are used. Documents go to blocks of neighbouring places, where each meets the next one; the
+last of a block meets the first of the next block by a join. A document's place is its id; where ids are null, repeat
+or lie far apart, it is the number of its row in their order, found by ranges.
 
 Defined cases: null text is empty; an empty text has one empty paragraph and no marks; two texts without marks
-are alike (1) if their roots are equal. Of rows that repeat a doc_id, the first by text in byte order counts
-as that document, and one row is returned for it. A single document is its own next. Null ids are left out.
+are alike (1) if their roots are equal. Every row is a document of its own: rows that repeat a doc_id follow each
+other by the SHA-256 of their texts, and null ids come after all others. A single document is its own next.
 """
 
 from __future__ import annotations
@@ -21,9 +21,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, table, text_or_empty
+from .common import cut, stored, table, text_or_empty
 
-#: Documents in a block of neighbouring ids, on average; ids are taken for close together if they spread over so many times their number.
+#: Documents in a block of neighbouring places, on average; ids are taken for close together if they spread over so many times their number.
 BLOCK, SPREAD, BROADCAST_IDS = 512, 16, 200_000
 MARK = 48
 MARKS = rf"[^.!?,;\n]{{1,{MARK}}}[.!?,;\n]*|[.!?,;\n]+"
@@ -81,21 +81,26 @@ def differing(a, b, kind: str = "array<string>"):
     return F.transform(sections, lambda k: F.struct(k.alias("section"), paragraphs(k).alias("paragraphs")))
 
 
-def neighbours(ids: DataFrame) -> DataFrame:
-    """doc_id, n, next_id, previous_id, previous_n for distinct ids: ascending, and round. Ranges of ids are ordered by themselves; their edges are joined."""
-    ranged = cut(ids.repartitionByRange("doc_id").select("doc_id", "n", F.spark_partition_id().alias("range")))
-    edges = ranged.groupBy("range").agg(F.min_by(F.struct("doc_id", "n"), "doc_id").alias("low"), F.max_by(F.struct("doc_id", "n"), "doc_id").alias("high"))
+def numbered(texts: DataFrame) -> DataFrame:
+    """doc_id, place, text: place is the number of a row, from 0, by id (null last) and the SHA-256 of its text. Equal rows are dealt by their place in the input, so none of them makes a range large."""
+    order = [F.col("doc_id").asc_nulls_last(), F.col("sha"), F.col("salt")]
+    keyed = texts.withColumns({"sha": F.sha2(F.col("text").cast("binary"), 256), "salt": F.monotonically_increasing_id()})
+    ranged = stored(keyed.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text", F.spark_partition_id().alias("range"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("at")))
+    # One row a range; the ranges are as many as the tasks of the exchange.
+    before = W.partitionBy(F.lit(0)).orderBy("range").rowsBetween(W.unboundedPreceding, -1)
+    starts = ranged.groupBy("range").agg(F.count(F.lit(1)).alias("rows")).select("range", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("start"))
+    return ranged.join(F.broadcast(starts), "range").select("doc_id", (F.col("start") + F.col("at")).alias("place"), "text")
+
+
+def following(firsts: DataFrame) -> DataFrame:
+    """block, place: the first place of the next block, and round, from (block, place). Ranges of blocks are ordered by themselves; their edges are joined."""
+    ranged = cut(firsts.repartitionByRange("block").select("block", "place", F.spark_partition_id().alias("range")))
     order = W.partitionBy(F.lit(0)).orderBy("range")
     whole = order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    edges = edges.select(
-        "range",
-        F.coalesce(F.lead("low").over(order), F.first("low").over(whole)).alias("after"),
-        F.coalesce(F.lag("high").over(order), F.last("high").over(whole)).alias("before"),
-    )
-    inside = W.partitionBy("range").orderBy("doc_id")
-    around = ranged.withColumns({"next": F.lead("doc_id").over(inside), "previous": F.lag(F.struct("doc_id", "n")).over(inside)}).join(F.broadcast(edges), "range")
-    previous = F.coalesce("previous", "before")
-    return around.select("doc_id", "n", F.coalesce("next", "after.doc_id").alias("next_id"), previous["doc_id"].alias("previous_id"), previous["n"].alias("previous_n"))
+    edges = ranged.groupBy("range").agg(F.min("place").alias("low"))
+    edges = edges.select("range", F.coalesce(F.lead("low").over(order), F.first("low").over(whole)).alias("after"))
+    inside = ranged.withColumn("next", F.lead("place").over(W.partitionBy("range").orderBy("block")))
+    return inside.join(F.broadcast(edges), "range").select("block", F.coalesce("next", "after").alias("place"))
 
 
 def finished(met: DataFrame) -> DataFrame:
@@ -117,47 +122,31 @@ def half(n):
     return F.floor(n / 2).cast("int")
 
 
-def by_blocks(texts: DataFrame, ids: DataFrame, low: int, width: int) -> DataFrame:
-    """Texts cross the network once, to blocks of ids next to each other; a block's last document gets the next block's first by a join on the block."""
-    block = F.floor((F.col("doc_id") - low) / F.lit(width)).cast("long")
-    firsts = cut(ids.groupBy(block.alias("block")).agg(F.min("doc_id").alias("doc_id")))
-    after = neighbours(firsts.select("doc_id", F.lit(0).alias("n"))).select("doc_id", "next_id").join(firsts, "doc_id").select("block", F.col("next_id").alias("doc_id"))
+def by_blocks(texts: DataFrame, low: int, width: int) -> DataFrame:
+    """The result for (doc_id, place, text). Texts cross the network once, to blocks of places next to each other; a block's last document gets the next block's first by a join on the block."""
+    block = F.floor((F.col("place") - low) / F.lit(width)).cast("long")
+    firsts = cut(texts.groupBy(block.alias("block")).agg(F.min("place").alias("place")))
     few = firsts.count() <= BROADCAST_IDS
-    starts = firsts.select("doc_id")
-    edges = texts.join(F.broadcast(starts) if few else starts, "doc_id", "left_semi").join(after, "doc_id")
+    starts = firsts.select("place")
+    edges = texts.join(F.broadcast(starts) if few else starts, "place", "left_semi").join(following(firsts), "place")
     edges = edges.select("block", F.col("text").alias("edge_text"), tree(F.col("text")).alias("edge_tree"))
     # The exchange goes by the block, before the trees are made, so that these are not moved.
     rows = texts.withColumn("block", block).repartition("block").withColumns({"a": tree(F.col("text")), "n": F.length("text")})
-    order = W.partitionBy("block").orderBy("doc_id")
+    order = W.partitionBy("block").orderBy("place")
     rows = rows.withColumn("next", F.lead(F.struct("text", "a")).over(order)).join(edges, "block", "left")
     last = F.col("next").isNull()
-    following = F.when(last, F.col("edge_text")).otherwise(F.col("next.text"))
-    return finished(rows.select("doc_id", "n", F.left("text", F.col("n") - half(F.col("n"))).alias("head"), F.left(following, half(F.col("n"))).alias("tail"), "a", F.when(last, F.col("edge_tree")).otherwise(F.col("next.a")).alias("c")))
-
-
-def by_ids(texts: DataFrame, ids: DataFrame) -> DataFrame:
-    """For ids that lie far apart: the neighbours are joined to the texts, and the two halves meet by a grouping."""
-    own = texts.join(neighbours(ids), "doc_id").withColumn("t", tree(F.col("text")))
-    head, tail = F.left("text", F.col("n") - half(F.col("n"))), F.left("text", half(F.col("previous_n")))
-    kind = own.schema["t"].dataType.simpleString()
-    none = F.lit(None)
-    mine = F.struct(F.col("doc_id").alias("key"), F.struct(head.alias("text"), F.col("t").alias("t"), F.col("n").alias("n")).alias("own"), none.cast(f"struct<text:string,t:{kind}>").alias("other"))
-    given = F.struct(F.col("previous_id").alias("key"), none.cast(f"struct<text:string,t:{kind},n:int>").alias("own"), F.struct(tail.alias("text"), F.col("t").alias("t")).alias("other"))
-    met = own.select(F.explode(F.array(mine, given)).alias("p")).select("p.*").groupBy("key").agg(F.first("own", ignorenulls=True).alias("own"), F.first("other", ignorenulls=True).alias("other"))
-    return finished(met.select(F.col("key").alias("doc_id"), F.col("own.n").alias("n"), F.col("own.text").alias("head"), F.col("other.text").alias("tail"), F.col("own.t").alias("a"), F.col("other.t").alias("c")))
+    after = F.when(last, F.col("edge_text")).otherwise(F.col("next.text"))
+    return finished(rows.select("doc_id", "n", F.left("text", F.col("n") - half(F.col("n"))).alias("head"), F.left(after, half(F.col("n"))).alias("tail"), "a", F.when(last, F.col("edge_tree")).otherwise(F.col("next.a")).alias("c")))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for each document, and differs: the sections and paragraphs whose branches the edit changed."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).filter(F.col("doc_id").isNotNull())
-    ids = texts.select("doc_id")
-    if not ids.groupBy("doc_id").count().filter("count > 1").isEmpty():
-        texts = texts.groupBy("doc_id").agg(F.min("text").alias("text"))
-        ids = ids.distinct()
-    low, high, n = ids.agg(F.min("doc_id"), F.max("doc_id"), F.count(F.lit(1))).first()
-    if not n or (high - low + 1) <= SPREAD * n:
-        return by_blocks(texts, ids, low or 0, max(1, BLOCK * ((high or 0) - (low or 0) + 1) // max(n, 1)))
-    return by_ids(texts, texts.select("doc_id", F.length("text").alias("n")))
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for each row, and differs: the sections and paragraphs whose branches the edit changed."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    ids = texts.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"))
+    low, high, n, most, known = ids.agg(F.min("doc_id"), F.max("doc_id"), F.sum("rows"), F.max("rows"), F.count("doc_id")).first()
+    if n and (most > 1 or known < n or high - low + 1 > SPREAD * n):
+        return by_blocks(numbered(texts), 0, BLOCK)
+    return by_blocks(texts.withColumn("place", F.col("doc_id")), low or 0, max(1, BLOCK * ((high or 0) - (low or 0) + 1) // max(n or 0, 1)))
 
 
 def op2_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
