@@ -28,6 +28,53 @@ def test_base_domain(spark, url, base):
     assert one(spark, url, urls.base_domain) == base
 
 
+def test_base_domain_by_a_public_suffix_list(spark):
+    want = {
+        "a.github.io": "a", "www.x.co.ke": "x", "co.ke": "co.ke", "www.ck": "www", "q.www.ck": "www", "a.b.ck": "a", "b.ck": "b.ck", "city.kawasaki.jp": "city",
+        "z.x.y.kawasaki.jp": "x", "x.elb.amazonaws.com.cn": "x.elb.amazonaws.com.cn", "y.x.elb.amazonaws.com.cn": "y", "t.example.com": "example", "nosuchending": "nosuchending",
+        "a.nosuchending": "a", "a..com": "a..com", "com": "com", "shop.xn--55qx5d.cn": "shop",
+    }
+    hosts = spark.createDataFrame([(h,) for h in want], "host string")
+    base = urls.base_domain(F.concat(F.lit("https://"), "host", F.lit("/x")), urls.public_suffixes(spark))
+    assert {r["host"]: r["base"] for r in hosts.select("host", base.alias("base")).collect()} == want
+
+
+def test_public_suffixes_of_a_file(spark, tmp_path):
+    (tmp_path / "list.txt").write_text("// a list\n\nlocal.test comment\n*.deep.test\n!my.deep.test\n")
+    found = urls.public_suffixes(spark, str(tmp_path / "list.txt"))
+    assert set(found) == {"local.test", "*.deep.test", "!my.deep.test"}
+    got = [one(spark, f"http://{h}/", lambda u: urls.base_domain(u, found)) for h in ("a.local.test", "a.b.deep.test", "a.my.deep.test", "a.b.test")]
+    assert got == ["a", "a", "my", "b"]
+
+
+GROUPS = r"""
+rules:
+- group: Maybe Vulnerability
+  rule:
+  - {name: Java Deserialization, loaded: true, f_regex: 'rO0AB', s_regex: 'x', sensitive: false}
+  - {name: 'Two  Names_of.it/', loaded: false, f_regex: 'two', sensitive: true}
+- group: Some Group
+  rule:
+  - {name: One, loaded: true, f_regex: '(one)'}
+  - {name: one, loaded: true, f_regex: '(one)+'}
+  - {name: Bad, loaded: true, f_regex: '(?=x)'}
+  - {name: None, loaded: true, f_regex: ''}
+  - {name: '!!', loaded: true, f_regex: 'x'}
+"""
+
+
+def test_rules_of_a_file_of_groups(spark, tmp_path):
+    found, notes = rules.from_groups(GROUPS)
+    assert [(r.id, r.kind, r.enabled) for r in found] == [("vuln-java-deserialization", "vuln", True), ("vuln-two-names-of-it", "sensitive", False), ("some-group-one", "fingerprint", True), ("some-group-one-2", "fingerprint", True)]
+    assert len(notes) == 4 and rules.from_groups("") == ([], [])
+    own = [rules.Rule("java_deserialization", "vuln", "z", "other"), rules.Rule("sec-two-names-of-it", "vuln", "z", "p"), rules.Rule("q", "vuln", "z", " (one) "), rules.Rule("stays", "vuln", "A", "s"), rules.Rule("", "vuln", "A", "s")]
+    assert [r.id for r in rules.merged(found, own)] == ["stays", "vuln-java-deserialization", "vuln-two-names-of-it", "some-group-one", "some-group-one-2"]
+    (tmp_path / "groups.yaml").write_text(GROUPS)
+    (tmp_path / "own.yaml").write_text(rules.to_yaml(own[:4]))
+    assert cli.main(["convert", str(tmp_path / "groups.yaml"), str(tmp_path / "new.yaml"), "--rules", str(tmp_path / "own.yaml")]) == 0
+    assert [r.id for r in rules.load(str(tmp_path / "new.yaml")).rules] == ["stays", "vuln-java-deserialization", "some-group-one", "some-group-one-2"]
+
+
 def test_url_parts_that_strict_parsers_refuse(spark):
     assert one(spark, "http://h/{id}?q=1#f", urls.path) == "/{id}"
     assert one(spark, "http://u:p@h:81/a%20b", urls.hostname) == "h"

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import zlib
+
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 URL = r"(?s)^(?:([a-zA-Z][a-zA-Z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(\?[^#]*)?(#.*)?$"
 IPV4 = r"^(?:(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])$"
 IPV6 = r"^(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}$|^(?=.*::)(?!.*::.*::)[0-9A-Fa-f:]+$"
-#: Public suffixes of two labels that base domains are told by; a parameter of base_domain.
+#: Rules of public suffixes, where no list is given; `public_suffixes` reads a whole list.
 TWO_LABEL_SUFFIXES = (
     "co.uk", "org.uk", "ac.uk", "gov.uk", "me.uk", "ltd.uk", "plc.uk", "net.uk", "sch.uk",
     "com.cn", "net.cn", "org.cn", "gov.cn", "edu.cn", "ac.cn", "com.hk", "com.tw", "org.tw", "edu.tw", "gov.tw",
@@ -63,14 +65,70 @@ def is_ip(host) -> Column:
     return host.rlike(IPV4) | host.rlike(IPV6)
 
 
+#: A public suffix list that one of Spark's own libraries brings.
+SUFFIX_LIST = "mozilla/public-suffix-list.txt"
+
+
+def public_suffixes(spark: SparkSession, path: str | None = None) -> tuple[str, ...]:
+    """Rules of a public suffix list (a rule a line, comments after //), names in their ASCII form. Without a path the list among Spark's libraries; TWO_LABEL_SUFFIXES where there is none."""
+    if path:
+        lines = [r[0] for r in spark.read.text(path).toLocalIterator()]
+    else:
+        found = spark._jvm.java.lang.Thread.currentThread().getContextClassLoader().getResourceAsStream(SUFFIX_LIST)
+        if found is None:
+            return TWO_LABEL_SUFFIXES
+        lines = bytes(found.readAllBytes()).decode().splitlines()
+        found.close()
+    rules = [line.split()[0] for line in lines if line.strip() and not line.startswith("//")]
+    return tuple(sorted({ascii_name(r) for r in rules}))
+
+
+def ascii_name(rule: str) -> str:
+    try:
+        return rule if rule.isascii() else ".".join(label.encode("idna").decode() for label in rule.split("."))
+    except UnicodeError:  # no host name is written so
+        return rule
+
+
+def among(name, names) -> Column:
+    """Whether a name without spaces is one of many: they are lines of a constant table, and a CRC tells the line. Thousands of literals would take seconds to plan."""
+    lines = [" "] * max(1, len(names) // 4)
+    for own in names:
+        lines[zlib.crc32(own.encode()) % len(lines)] += own + " "
+    at = (F.crc32(name.cast("binary")) % len(lines) + 1).cast("int")
+    return F.contains(F.element_at(F.split(F.lit("\n".join(lines)), "\n"), at), F.concat(F.lit(" "), name, F.lit(" ")))
+
+
 def registered(host, suffixes=TWO_LABEL_SUFFIXES) -> Column:
-    """The registrable domain of a host name; null where there is none above the suffix."""
-    labels = F.split(host, r"\.")
-    n = F.size(labels)
-    two = F.array_join(F.slice(labels, F.greatest(n - 1, F.lit(1)), F.lit(2)), ".").isin(*suffixes)
-    keep = F.when(two, 3).otherwise(2)
-    bad = host.startswith(".") | host.endswith(".") | host.contains("..")
-    return F.when(~bad & (n >= keep), F.array_join(F.slice(labels, F.greatest(n - keep + 1, F.lit(1)), keep), "."))
+    """The registrable domain of a host name; null where there is none above the suffix.
+
+    suffixes: rules of a public suffix list. The longest that fits counts, a star is any one label, a rule with ! is no suffix; a name that none fits has a suffix of one label.
+    """
+    kinds: dict[tuple[str, int], list[str]] = {}
+    for rule in suffixes:
+        kind = rule[0] if rule[0] in "!*" else ""
+        kinds.setdefault((kind, rule.count(".") + 1), []).append(rule[{"!": 1, "*": 2}.get(kind, 0) :])
+    longest = range(max((k for _, k in kinds), default=1), 1, -1)
+
+    def above(labels):
+        n = F.size(labels)
+
+        def tail(k):
+            return F.array_join(F.slice(labels, F.greatest(n - (k - 1), F.lit(1)), F.lit(k)), ".")
+
+        found = F.when(F.array_contains(labels, ""), F.lit(None).cast("string"))
+        for k in longest:
+            if ("!", k) in kinds:
+                found = found.when(among(tail(k), kinds["!", k]), tail(k))
+        for k in longest:
+            fits = among(tail(k), kinds.get(("", k), []))
+            if ("*", k) in kinds:
+                fits = fits | ((n >= k) & among(tail(k - 1), kinds["*", k]))
+            found = found.when(fits, F.when(n > k, tail(k + 1)))
+        return found.otherwise(F.when(n > 1, tail(2)))
+
+    # In a lambda, so that the host is found and split once.
+    return F.get(F.transform(F.array(F.split(host, r"\.")), above), F.lit(0))
 
 
 def base_domain(url, suffixes=TWO_LABEL_SUFFIXES) -> Column:
@@ -80,9 +138,9 @@ def base_domain(url, suffixes=TWO_LABEL_SUFFIXES) -> Column:
     return F.when(~valid(url) | (netloc(url) == ""), F.lit("")).when(is_ip(host), host).otherwise(F.coalesce(F.substring_index(domain, ".", 1), host))
 
 
-def blacklisted_domain(url, domains, parts) -> Column:
+def blacklisted_domain(url, domains, parts, suffixes=TWO_LABEL_SUFFIXES) -> Column:
     host = hostname(url)
-    name = F.when(is_ip(host), host).otherwise(F.coalesce(registered(host), host))
+    name = F.when(is_ip(host), host).otherwise(F.coalesce(registered(host, suffixes), host))
     hit = name.isin(*domains)
     for p in parts:
         hit = hit | netloc(url).contains(p)

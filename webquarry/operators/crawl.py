@@ -42,7 +42,7 @@ def found_in(bodies: DataFrame) -> DataFrame:
     return out.filter("url != ''")
 
 
-def crawl(bodies: DataFrame, seeds: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+def crawl(bodies: DataFrame, seeds: DataFrame, max_depth: int = MAX_DEPTH, suffixes=urls.TWO_LABEL_SUFFIXES) -> DataFrame:
     """target, url, kind, referer, depth, source, method of everything that pages within depth name.
 
     bodies: target, url, status, body, and skipped if known; seeds: target, url, kind. What a body names is found once for all
@@ -54,7 +54,7 @@ def crawl(bodies: DataFrame, seeds: DataFrame, max_depth: int = MAX_DEPTH) -> Da
     usable = bodies.filter(ok).dropDuplicates(["target", "url"])
     found = persist(found_in(usable))
     known = seeds.filter(F.col("kind").isin("js", "no_js", "base_url")).select("target", "url").distinct()
-    bases = seeds.select("target").distinct().withColumn("base", urls.base_domain(F.col("target")))
+    bases = seeds.select("target").distinct().withColumn("base", urls.base_domain(F.col("target"), suffixes))
     node = F.struct("target", "url")
     scripts = found.filter("kind = 'js'").join(bases, "target").filter(urls.same_site(F.col("url"), F.col("base")))
     edges = persist(scripts.select(F.struct("target", F.col("referer").alias("url")).alias("src"), node.alias("dst")))

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import functools
 import os
+import re
+from collections import Counter
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 from pathlib import Path
 
@@ -13,6 +16,16 @@ from pyspark.sql import functions as F
 from webquarry.functions import dialect, values
 
 RULES_ENV = "WEBQUARRY_RULES"
+# Prefixes of ids and kinds of rules by group, names of rules that have another name in files of groups.
+PREFIXES = {"Fingerprint": "fp", "Maybe Vulnerability": "vuln", "Sensitive Information": "sec", "Basic Information": "info", "Other": "other"}
+KINDS = {"Maybe Vulnerability": "vuln", "Fingerprint": "fingerprint", "Basic Information": "sensitive", "Sensitive Information": "sensitive", "Other": "fingerprint"}
+ALIASES = {
+    "shiro": "shiro", "jwt_token": "json-web-token", "swagger_ui": "swagger-ui", "ueditor": "ueditor", "druid": "druid",
+    "java_deserialization": "java-deserialization", "debug_logic_params": "debug-logic-parameters", "url_as_value": "url-as-a-value",
+    "upload_form": "upload-form", "chinese_idcard": "chinese-idcard", "chinese_mobile": "chinese-mobile-number",
+    "internal_ip": "internal-ip-address", "mac_address": "mac-address", "jdbc_connection": "jdbc-connection", "wecom_key": "wecom-key",
+    "username_field": "username-field", "password_field": "password-field", "sensitive_field": "sensitive-field", "sourcemap_ref": "source-map",
+}
 #: Rules without a keyword are tried on every body; a keyword test comes first where a rule has keywords.
 EMBEDDED = "embedded"
 
@@ -69,10 +82,71 @@ def from_yaml(text: str, source: str) -> RuleSet:
     return build([Rule(str(r.get("id", "")), str(r.get("kind", "")), str(r.get("group", "")), str(r.get("pattern") or ""), r.get("enabled") is not False, str(r.get("scope", "any"))) for r in rows], source)
 
 
-def to_yaml(rules: RuleSet) -> str:
+def to_yaml(rules: RuleSet | Iterable[Rule]) -> str:
+    """Rules as the file that from_yaml reads; what is switched off stays so."""
     import yaml
 
-    return yaml.safe_dump({"rules": [{"id": r.id, "kind": r.kind, "group": r.group, "pattern": r.pattern} for r in rules.rules]}, allow_unicode=True, sort_keys=False)
+    rows = []
+    for r in rules.rules if isinstance(rules, RuleSet) else rules:
+        row = {"id": r.id, "kind": r.kind, "group": r.group, "pattern": r.pattern}
+        rows.append(row | ({} if r.enabled else {"enabled": False}) | ({} if r.scope == "any" else {"scope": r.scope}))
+    return yaml.safe_dump({"rules": rows}, allow_unicode=True, sort_keys=False)
+
+
+def from_groups(text: str) -> tuple[list[Rule], list[str]]:
+    """Rules of a file of named rules in groups (rules: group, rule: name, loaded, f_regex, s_regex, sensitive), and notes on what is left out.
+
+    A rule's id is its group's prefix and its name as a slug; one that is there already gets a number. A second expression is dropped.
+    """
+    import yaml
+
+    found, notes, used = [], [], Counter()
+    for part in (yaml.safe_load(text) or {}).get("rules") or []:
+        group = str(part.get("group") or "")
+        for row in part.get("rule") or []:
+            name, pattern = str(row.get("name") or ""), str(row.get("f_regex") or "")
+            where, slugged = f"{group}/{name}", plain_slug(name)
+            if not pattern:
+                notes.append(f"{where}: left out, no expression")
+                continue
+            if row.get("s_regex"):
+                notes.append(f"{where}: second expression dropped")
+            try:
+                dialect.java(pattern)
+            except dialect.PatternError as e:
+                notes.append(f"{where}: left out, {e}")
+                continue
+            if not slugged:
+                notes.append(f"{where}: left out, nothing of its name is left")
+                continue
+            own = f"{PREFIXES.get(group) or plain_slug(group)}-{slugged}"
+            own = f"{own}-{used[own] + 1}" if used[own] else own
+            used[own] += 1
+            kind = "sensitive" if row.get("sensitive") else KINDS.get(group, "fingerprint")
+            found.append(Rule(own, kind, group, pattern, bool(row.get("loaded"))))
+    return found, notes
+
+
+def merged(given: list[Rule], own: list[Rule]) -> list[Rule]:
+    """given, and those of own that it doesn't replace (by id without the prefix, by an alias, or by pattern), by group and id, each id once."""
+    names, patterns = {bare(r.id) for r in given}, {r.pattern.strip() for r in given}
+    kept = [r for r in own if bare(r.id) not in names and r.pattern.strip() not in patterns and ALIASES.get(r.id) not in names]
+    once: dict[str, Rule] = {}
+    for r in sorted([*given, *kept], key=lambda r: (r.group, r.id)):
+        if r.id.strip() and r.pattern.strip():
+            once.setdefault(r.id, r)
+    return list(once.values())
+
+
+def bare(rule_id: str) -> str:
+    for prefix in PREFIXES.values():
+        rule_id = rule_id.removeprefix(f"{prefix}-")
+    return rule_id
+
+
+def plain_slug(name: str) -> str:
+    """`slug` of a Python string."""
+    return re.sub("-{2,}", "-", re.sub("[^a-z0-9-]", "", re.sub(r"[ ./\\_]", "-", name.lower()))).strip("-")
 
 
 def user_path() -> Path:
@@ -147,9 +221,8 @@ def slug(name):
 
 
 def group_prefix(group):
-    known = {"Fingerprint": "fp", "Maybe Vulnerability": "vuln", "Basic Information": "info", "Sensitive Information": "sec", "Other": "other"}
     found = F.lit(None).cast("string")
-    for name, short in known.items():
+    for name, short in PREFIXES.items():
         found = F.when(group == name, short).otherwise(found)
     return F.coalesce(found, slug(group))
 

@@ -20,11 +20,12 @@ from .session import Config, State
 
 
 class Scan:
-    """targets: target lines. bodies: target, url, status, body. answers: target, url, method, status_code, content_type, response. requests: target, url, captured by a browser."""
+    """suffixes: rules of public suffixes, by default a whole list. targets: target lines. bodies: target, url, status, body. answers: target, url, method, status_code, content_type, response. requests: target, url, captured by a browser."""
 
-    def __init__(self, spark: SparkSession, targets: DataFrame, bodies: DataFrame, answers: DataFrame, requests: DataFrame | None = None, config: Config | None = None, rules: RuleSet | None = None, folder: str = "", name: str = "all", time=None):
+    def __init__(self, spark: SparkSession, targets: DataFrame, bodies: DataFrame, answers: DataFrame, requests: DataFrame | None = None, config: Config | None = None, rules: RuleSet | None = None, folder: str = "", name: str = "all", time=None, suffixes=None):
         self.spark, self.bodies, self.answers, self.requests = spark, bodies, answers, requests
-        self.targets = target_source.parsed(targets)
+        self.suffixes = urls.public_suffixes(spark) if suffixes is None else suffixes
+        self.targets = target_source.parsed(targets, suffixes=self.suffixes)
         self.config, self.rules, self.time = config or Config(), rules, time
         self.state = State(folder, name, spark) if folder and self.config.resume else None
         self.ran: list[str] = []
@@ -47,7 +48,7 @@ class Scan:
         return self.kept("homepage", lambda: target_source.homepages(pages.select("target", "body"), self.requests, self.config.chrome))
 
     def crawled(self, seeds: DataFrame) -> DataFrame:
-        return self.kept("crawl", lambda: crawl.crawl(self.bodies, seeds, self.config.max_depth))
+        return self.kept("crawl", lambda: crawl.crawl(self.bodies, seeds, self.config.max_depth, self.suffixes))
 
     def planned(self, found: DataFrame, seeds: DataFrame, endpoints: DataFrame) -> DataFrame:
         """target, url, methods, source: what was found, and what known bases, prefixes and endings make together."""

@@ -22,11 +22,11 @@ def read_targets(spark: SparkSession, path: str, first: str | None = None) -> Da
     return spark.createDataFrame([(first,)], "target string").unionByName(found) if first else found
 
 
-def parsed(targets: DataFrame, column: str = "target") -> DataFrame:
+def parsed(targets: DataFrame, column: str = "target", suffixes=urls.TWO_LABEL_SUFFIXES) -> DataFrame:
     """target with scheme, host, port, base_domain, folder; lines without scheme or host are left out."""
     u = F.col(column)
     ok = urls.valid(u) & (urls.scheme(u) != "") & (urls.netloc(u) != "")
-    return targets.filter(ok).withColumns({"scheme": urls.scheme(u), "host": urls.hostname(u), "port": urls.port(u), "base_domain": urls.base_domain(u), "folder": urls.folder(u)})
+    return targets.filter(ok).withColumns({"scheme": urls.scheme(u), "host": urls.hostname(u), "port": urls.port(u), "base_domain": urls.base_domain(u, suffixes), "folder": urls.folder(u)})
 
 
 def base_of(scheme, host, port):
