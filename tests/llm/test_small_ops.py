@@ -82,6 +82,14 @@ def test_ftrl_against_the_plain_rules():
     assert model.weights(np.arange(64)).tolist() == pytest.approx([weight(i) for i in range(64)], abs=1e-4)
 
 
+def test_toxicity_rows_that_repeat_an_id_teach_once(spark):
+    rows, labels = toxic_rows(200)
+    known = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    one = toxicity.train(docs(spark, rows), known)
+    two = toxicity.train(docs(spark, [*rows, *[(i, t + "~", s) for i, t, s in rows[:40] * 5]]), known)
+    assert len(one[0]) and all(np.array_equal(x, y) for x, y in zip(one, two, strict=True))
+
+
 def test_toxicity_awkward(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     some = spark.createDataFrame([(4, 1, 1), (4, 1, 0), (5, 1, None), (None, 1, 1)], "doc_id long, quality int, toxic int")

@@ -6,7 +6,8 @@ map over the whole texts without a shuffle.
 
 Defined cases: a null text counts as empty; an empty text gets the score of the bias alone. Without any
 labelled row, or with one class only, the model has the bias only. Repeated labels of a document: the
-largest counts. Repeated documents are scored one by one. Columns of the input other than the id and the
+largest counts. Repeated documents are scored one by one; of those that share a labelled id, the first text in
+byte order teaches. Columns of the input other than the id and the
 text are never read.
 """
 
@@ -183,6 +184,7 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, epoc
         yield pa.RecordBatch.from_arrays([pa.array(np.append(found, -1)), pa.array(np.append(weights, bias))], ["id", "weight"])
 
     sample = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(known), "doc_id")
+    sample = sample.groupBy("doc_id", "label").agg(F.min("text").alias("text"))
     rows = mapped(sample.select("doc_id", "text", "label").repartition(1), learn, "id long, weight double").collect()
     bias = next((r["weight"] for r in rows if r["id"] == -1), -4.0)  # no rows at all for an empty table
     kept = [r for r in rows if r["id"] >= 0]
