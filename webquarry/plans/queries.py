@@ -340,15 +340,15 @@ def url_base(spark, sf_dir):
 
 
 #: Hosts under suffixes of one label and more, under a star, under an exception, and suffixes themselves.
-HOSTS = """SELECT s_suppkey, CASE s_suppkey % 9 WHEN 0 THEN 'www.n' || s_suppkey || '.co.uk' WHEN 1 THEN 'a.n' || s_suppkey || '.github.io' WHEN 2 THEN 'a.b.n' || s_suppkey || '.com.cn'
+SUFFIXED = """SELECT s_suppkey, CASE s_suppkey % 9 WHEN 0 THEN 'www.n' || s_suppkey || '.co.uk' WHEN 1 THEN 'a.n' || s_suppkey || '.github.io' WHEN 2 THEN 'a.b.n' || s_suppkey || '.com.cn'
 WHEN 3 THEN 'a.b.n' || s_suppkey || '.ck' WHEN 4 THEN 'n' || s_suppkey || '.www.ck' WHEN 5 THEN 'n' || s_suppkey || '.kawasaki.jp' WHEN 6 THEN '10.0.0.' || (s_suppkey % 200)
 WHEN 7 THEN 'a.n' || s_suppkey || '.org' ELSE 'n' || s_suppkey END AS host FROM @supplier"""
 
 
-@query("base_domains", f"""SELECT s_suppkey, host, CASE s_suppkey % 9 WHEN 3 THEN 'b' WHEN 4 THEN 'www' WHEN 5 THEN host WHEN 6 THEN host ELSE 'n' || s_suppkey END AS base FROM ({HOSTS})""")
+@query("base_domains", f"""SELECT s_suppkey, host, CASE s_suppkey % 9 WHEN 3 THEN 'b' WHEN 4 THEN 'www' WHEN 5 THEN host WHEN 6 THEN host ELSE 'n' || s_suppkey END AS base FROM ({SUFFIXED})""")
 def base_domains(spark, sf_dir):
     url = F.concat(F.lit("https://"), F.col("host"), F.lit("/x"))
-    return made(spark, sf_dir, HOSTS).withColumn("base", urls.base_domain(url, urls.public_suffixes(spark)))
+    return made(spark, sf_dir, SUFFIXED).withColumn("base", urls.base_domain(url, urls.public_suffixes(spark)))
 
 
 LINKS = "SELECT page_id, url, link FROM @pages, (SELECT '/a' AS link UNION ALL SELECT '//cdn.t.net/x.js' UNION ALL SELECT 'js/y.js' UNION ALL SELECT 'z.js' UNION ALL SELECT 'q/z.js' UNION ALL SELECT '/' UNION ALL SELECT 'https://t.net/') l"
